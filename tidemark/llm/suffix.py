@@ -112,19 +112,21 @@ def two_stage_sort(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
 
 def adjacent_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
     """Common prefix length of each suffix in `order` and the one before it, up to `most`; 0 for the first."""
-    padded = np.concatenate([text, np.zeros(most, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(most + 8, np.uint8)]), 8)
     out, live = np.zeros(len(order), np.int64), np.arange(1, len(order))
-    step = 8
-    for depth in range(0, most, step):
-        rows = padded[order[live][:, None] + np.arange(depth, min(depth + step, most))]
-        past = padded[order[live - 1][:, None] + np.arange(depth, min(depth + step, most))]
-        same = np.cumprod(rows == past, axis=1).sum(1)
-        out[live] += same
-        live = live[same == min(step, most - depth)]
+    for depth in range(0, most, 8):
+        one = np.ascontiguousarray(view[order[live] + depth]).view("<u8").ravel()
+        two = np.ascontiguousarray(view[order[live - 1] + depth]).view("<u8").ravel()
+        apart = one ^ two
+        ends = apart != 0
+        lowest = apart[ends] & (~apart[ends] + np.uint64(1))
+        out[live] = depth + 8
+        out[live[ends]] = depth + (np.log2(lowest.astype(float)) / 8).astype(np.int64)
+        live = live[~ends]
         if not len(live):
             break
     room = len(text) - np.maximum(order[1:], order[:-1])
-    out[1:] = np.minimum(out[1:], room)
+    out[1:] = np.minimum(out[1:], np.minimum(room, most))
     return out
 
 
@@ -173,7 +175,8 @@ class Contexts:
             first, anchor = starts[head], place[head]
             span = (prefix[first + count + length - 1] - prefix[first]) * back[first]
             whole = mix(span ^ mix((count.astype(np.uint64) << np.uint64(32)) + (anchor - first).astype(np.uint64)))
-            parts.append((anchor + base, first + base, count, gram[anchor], whole))
+            # Anchors are small hashes by choice: mixed again, they spread over the buckets.
+            parts.append((anchor + base, first + base, count, mix(gram[anchor]), whole))
         zero = np.zeros(0, np.int64)
         self.anchor, self.first, self.count, self.gram, self.whole = (
             [np.concatenate(x) for x in zip(*parts)] if parts else [zero, zero, zero, zero.astype(np.uint64), zero.astype(np.uint64)])
