@@ -23,6 +23,8 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -75,19 +77,22 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, n.astype(np.uint32)
 
 
-def places(keys: np.ndarray, level, bits: np.ndarray | int, offset: np.ndarray | int = 0):
-    """The bits that an n-gram sets at a level, one probe at a time."""
-    a = mix(keys + np.uint64(0x632BE59BD9B4E019) * np.asarray(level, np.uint64))
+def places(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bits that n-grams set at a level, one probe at a time; send() the mask of those to go on with."""
+    a = mix(keys + np.uint64(0x632BE59BD9B4E019 * level % (1 << 64)))
     b = mix(a) | np.uint64(1)
+    bits = np.broadcast_to(np.asarray(bits, np.uint64), a.shape)
     for _ in range(PROBES):
-        yield (a % bits).astype(np.int64) + offset
+        keep = yield ((a >> np.uint64(32)) * bits >> np.uint64(32)).astype(np.int64)
+        if keep is not None:
+            a, b, bits = a[keep], b[keep], bits[keep]
         a = a + b
 
 
 def filled(keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
     """A filter segment: its size in bits and its bytes. Each key enters at levels 1 to its own."""
     bits = max(64, int(levels.sum()) * BITS)
-    bits += -bits % 8
+    bits += -bits % 8  # a segment is far below 2**32 bits
     out = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for at in places(keys[levels >= level], level, np.uint64(bits)):
@@ -113,10 +118,13 @@ class Filter:
         while len(alive) and level < 250:
             level += 1
             s = seg[alive]
-            hit = np.ones(len(alive), bool)
-            for at in places(keys[alive], level, self.bits[s], self.offset[s]):
-                hit &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[hit]
+            offset, probe = self.offset[s], places(keys[alive], level, self.bits[s])
+            at = next(probe) + offset
+            for k in range(PROBES):
+                hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                alive, offset = alive[hit], offset[hit]
+                if k + 1 < PROBES:
+                    at = probe.send(hit) + offset
             out[alive] = level
         return out
 
