@@ -6,13 +6,12 @@ are linked if 100 * intersection >= 100 * threshold * union; empty sets are link
 
 Documents of equal sets form one class, whatever their number. Class representatives are banded:
 BANDS bands of ROWS minima each find a pair of similarity 0.85 but for 1 in 100,000. In a band
-bucket every member is paired with the bucket's smallest and largest one and the next few in
-order, so a bucket of n gives a multiple of n pairs and none of its n*n; different bands pair a
-document with different others. Of each distinct pair the packed b-bit signatures give, by bit
-counts, the similarity corrected for chance collisions; pairs more than MARGIN below the threshold
-go. The rest are confirmed on their full sets, and confirmed links make components. Buckets in
-which more than one component is left are then paired again by another order, until no round
-confirms a link.
+bucket every member is first paired with the smallest one, so a bucket of n gives n - 1 pairs and
+none of its n*n; different bands pair a document with different others. Of each distinct pair the
+packed b-bit signatures give, by bit counts, the similarity corrected for chance collisions; pairs
+more than MARGIN below the threshold go. The rest are confirmed on their full sets, and confirmed
+links make components. Where a bucket still holds several components, members are paired across
+them, with another centre each round and with the next few in order, until no round confirms a link.
 
 Null texts are empty. Null doc_ids take part as their own component null. Repeated rows are in one
 class and keep together. Extra columns are ignored.
@@ -136,35 +135,43 @@ def estimate(x: str, y: str) -> Column:
     return ((1 - unequal / PACKED) - chance) / (1 - chance)
 
 
-def _pairs(members: DataFrame, by: str) -> DataFrame:
-    """key, rep, ... with `by` as order -> distinct pairs (a, b), a < b: least, greatest and the next PAIRED of each bucket."""
-    ends = members.groupBy("key").agg(F.min(F.struct(by, "rep")).alias("low"), F.max(F.struct(by, "rep")).alias("high"), F.count(F.lit(1)).alias("n"))
-    ends = ends.where("n > 1").select("key", F.col("low.rep").alias("low"), F.col("high.rep").alias("high"))
-    mine = members.join(ends, "key").select("rep", F.explode(F.array("low", "high")).alias("other"))
-    return mine.where("rep != other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+def _star(buckets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each bucket's smallest member and every other one."""
+    least = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    return buckets.join(least, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def _near_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of each member and the next PAIRED ones of its bucket; large buckets are cut by a hash of the member first."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = members.join(size, "key").withColumn("part", F.when(F.col("n") > 64, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / 32))).otherwise(F.lit(0)))
-    own = F.array_sort(F.collect_list("rep"))
-    groups = cut.groupBy("key", "part").agg(own.alias("g")).where(F.size("g") > 1)
-    at = groups.select("g", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("i"))
-    next_ = at.select(F.expr("g[i - 1]").alias("a"), F.explode(F.expr(f"slice(g, i + 1, {PAIRED})")).alias("b"))
-    return next_.distinct()
+def _across(placed: DataFrame, k: int) -> DataFrame:
+    """key, rep, component c -> distinct pairs (a, b) of unlike components in a bucket.
 
+    Each member is paired with the member whose component has the smallest hash in round k and with
+    the next PAIRED ones in the order of doc_id; buckets of over 64 are cut by a hash for the latter.
+    """
+    size = placed.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h"), F.count(F.lit(1)).alias("n")).where("l < h").select("key", "n")
+    open_ = placed.join(size, "key")
+    low = open_.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.struct(F.xxhash64("c", F.lit(k)), "rep")).alias("low"))
+    star = open_.join(low, "key").where("c != low.c").select(F.col("low.rep").alias("x"), F.col("rep").alias("y"))
+    part = F.when(F.col("n") > 64, F.pmod(F.xxhash64("rep", F.lit(k)), F.ceil(F.col("n") / 32))).otherwise(F.lit(0))
+    groups = open_.groupBy("key", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("rep", "c"))).alias("g")).where(F.size("g") > 1)
+    at = groups.select("g", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("i"))
+    next_ = at.select(F.expr("g[i - 1]").alias("x"), F.explode(F.expr(f"slice(g, i + 1, {PAIRED})")).alias("y"))
+    next_ = next_.where("x.c != y.c").select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))
+    return star.unionByName(next_).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets reach the threshold in hundredths."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
+def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """doc_id and s, the full set, of the documents in `needed`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, bounds = shingles(batch["text"], width)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))], ["doc_id", "s"])
 
-    sets = _rows(docs).join(needed, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>").groupBy("doc_id").agg(F.first("s").alias("s"))
+    found = _rows(docs).join(needed, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>")
+    return found.groupBy("doc_id").agg(F.first("s").alias("s"))
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full sets reach the threshold in hundredths."""
     first, second = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(first, "a").join(second, "b").where(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
@@ -182,19 +189,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
         signed = pairs.join(signatures.toDF("a", "x"), "a").join(signatures.toDF("b", "y"), "b")
         return signed.where(estimate("x", "y") >= threshold / 100 - MARGIN).select("a", "b")
 
-    ordered = buckets.withColumn("o", F.lit(0))
-    tried = alike(_pairs(ordered, "o").unionByName(_near_pairs(buckets)).distinct()).checkpoint()
-    links = confirmed(docs, tried, width, threshold).checkpoint()
+    star = _star(buckets).checkpoint()  # of every bucket, so each document that any pair can hold is in it
+    sets = full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width).checkpoint()
+    tried = alike(star).checkpoint()
+    links = confirmed(sets, tried, threshold).checkpoint()
     parts = components(links)
-    for k in range(1, rounds):
-        # Buckets with several components: pair their members with other ends, across components.
+    for k in range(1, rounds):  # buckets that still hold several components
         placed = buckets.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        open_ = placed.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h"), F.count(F.lit(1)).alias("n")).where(f"l < h and n > {PAIRED + 1}").select("key")
-        again = placed.join(open_, "key").withColumn("o", F.xxhash64("c", F.lit(k)))
-        fresh = alike(_pairs(again, "o").join(tried, ["a", "b"], "left_anti")).checkpoint()
-        if fresh.isEmpty():
-            break
-        more = confirmed(docs, fresh, width, threshold).checkpoint()
+        fresh = alike(_across(placed, k).join(tried, ["a", "b"], "left_anti")).checkpoint()
+        more = confirmed(sets, fresh, threshold).checkpoint()
         if more.isEmpty():
             break
         tried, links = tried.unionByName(fresh), links.unionByName(more)
