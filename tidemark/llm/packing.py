@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ CACHED = 300_000
 WORD = re.compile(f"[^{SPACE}]+")
 #: Controls that str.split() takes for white space and Unicode's White_Space doesn't.
 ODD = re.compile("[\x1c-\x1f]")
-#: Fixed value: the file's split pattern, for printable ASCII in lower case.
-ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(r"[!-~]+")
+#: Fixed value: the file's split pattern.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Beyond these characters normal forms and the case of a letter may depend on its neighbours.
+BEYOND = re.compile("[^\x00-\u017f]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 PACKED_TYPE = pa.schema([
@@ -58,7 +60,8 @@ class WordEncoder:
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+            name = "".join(map(self.chars.__getitem__, piece.encode()))
+            found = np.array([t.id for t in self.model.tokenize(name)], "<u4").tobytes()
             if len(self.pieces) >= CACHED:
                 self.pieces.clear()
             self.pieces[piece] = found
@@ -67,8 +70,8 @@ class WordEncoder:
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if PRINTABLE.fullmatch(word) and "<|" not in word:
-                found = b"".join(map(self.piece, ASCII_PIECE.findall(word.lower())))
+            if not BEYOND.search(word) and "<|" not in word:
+                found = b"".join(map(self.piece, PIECE.findall(word.lower())))
             else:
                 found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
             if len(self.words) >= CACHED:
@@ -79,7 +82,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if text.isascii() and "<|" not in text:
+        if not BEYOND.search(text) and "<|" not in text:
             text = text.lower()
         found = WORD.findall(text) if ODD.search(text) else text.split()
         return b"".join(map(self.word, found))
