@@ -135,10 +135,10 @@ def estimate(x: str, y: str) -> Column:
     return ((1 - unequal / PACKED) - chance) / (1 - chance)
 
 
-def _star(buckets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of each bucket's smallest member and every other one."""
+def _shared(buckets: DataFrame) -> DataFrame:
+    """key, rep and the bucket's smallest member a, of the buckets with several members."""
     least = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    return buckets.join(least, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    return buckets.join(least, "key")
 
 
 def _across(placed: DataFrame, k: int) -> DataFrame:
@@ -189,13 +189,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
         signed = pairs.join(signatures.toDF("a", "x"), "a").join(signatures.toDF("b", "y"), "b")
         return signed.where(estimate("x", "y") >= threshold / 100 - MARGIN).select("a", "b")
 
-    star = _star(buckets).checkpoint()  # of every bucket, so each document that any pair can hold is in it
+    shared = _shared(buckets).checkpoint()
+    star = shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct()  # each document that any pair can hold is in it
     sets = full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width).checkpoint()
     tried = alike(star).checkpoint()
     links = confirmed(sets, tried, threshold).checkpoint()
     parts = components(links)
     for k in range(1, rounds):  # buckets that still hold several components
-        placed = buckets.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+        placed = shared.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
         fresh = alike(_across(placed, k).join(tried, ["a", "b"], "left_anti")).checkpoint()
         more = confirmed(sets, fresh, threshold).checkpoint()
         if more.isEmpty():
