@@ -124,7 +124,7 @@ def _(v):
     return stats.measures(stats.confusion(v.predictions, c("label") == 1, c("prob") > 0.43))
 
 
-@query("threshold_sweep", f"WITH t AS (SELECT unnest(range(20)) AS i), m AS (SELECT i, {CONF.format('(prob > 0.3 + i * 0.03)')} FROM predictions, t GROUP BY i) SELECT i, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM m")
+@query("threshold_sweep", f"WITH t AS (SELECT unnest(range(20)) AS i), m AS (SELECT i, {CONF.format('(prob > CAST(0.3 AS DOUBLE) + i * CAST(0.03 AS DOUBLE))')} FROM predictions, t GROUP BY i) SELECT i, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM m")
 def _(v):
     rows = v.predictions.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
     return stats.measures(stats.confusion(rows, c("label") == 1, c("prob") > F.lit(0.3) + c("i") * 0.03, ["i"]), ["i"]).select("i", "f1")
