@@ -34,6 +34,7 @@ from . import exchange as ex
 from .text import INVERSE, MULTIPLIER, mix, powers, utf8
 
 LENGTH, ANCHOR = 200, 64
+COPIED, BLOCK = 32_000_000, 1_000_000  # bytes that one direct sort copies, suffixes compared at a time
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 DIGEST_TYPE = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -56,12 +57,33 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     change = np.flatnonzero(text[1:] != text[:-1])
     rises = text[change + 1] > text[change]
     out = np.zeros(n, bool)
-    of = np.searchsorted(change, np.arange(n))
-    known = of < len(change)
-    out[known] = rises[of[known]]
+    if len(change):
+        out[: change[-1] + 1] = np.repeat(rises, np.diff(np.append(-1, change)))
     return out
 
 
+def sort_directly(padded: np.ndarray, at: np.ndarray, start: int, depth: int) -> None:
+    """Orders `at` in place by the bytes from `start` to `depth` of the suffixes there.
+
+    Bytes of at most COPIED together are copied out and sorted; more are first dealt by 8 bytes, so
+    that memory follows the number of suffixes and not their length.
+    """
+    width = depth - start
+    if width <= 0 or len(at) < 2:
+        return
+    if width <= 8 or len(at) * width <= COPIED:
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[at + start]).view(f"S{width}").ravel()
+        at[:] = at[np.argsort(keys, kind="stable")]
+        return
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at + start]).view(">u8").ravel().astype(np.uint64)
+    by = np.argsort(key, kind="stable")
+    at[:], key = at[by], key[by]
+    cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(at)]])
+    del key, by
+    for i, j in ex.slices(cuts, COPIED // width):
+        sort_directly(padded, at[cuts[i] : cuts[j]], start + 8 if j == i + 1 else start, depth)
+
+
 def two_stage_sort(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """All suffixes of the bytes in `text`, ordered by their first `depth` bytes."""
     n = len(text)
@@ -70,9 +92,7 @@ def two_stage_sort(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     small = smaller_than_next(text)
     padded = np.concatenate([text, np.zeros(depth, np.uint8)])
     direct = np.flatnonzero(small)
-    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]).view(f"S{depth}").ravel()
-    direct = direct[np.argsort(keys, kind="stable")]
-    del keys
+    sort_directly(padded, direct, 0, depth)
     total = np.bincount(text, minlength=256)
     heads = np.cumsum(total) - total
     out = np.full(n, -1, np.int64)
@@ -114,6 +134,10 @@ def adjacent_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH) -
     """Common prefix length of each suffix in `order` and the one before it, up to `most`; 0 for the first."""
     view = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(most + 8, np.uint8)]), 8)
     out, live = np.zeros(len(order), np.int64), np.arange(1, len(order))
+    if len(order) > BLOCK + 1:  # in blocks that begin with the last suffix of the one before
+        for a in range(0, len(order) - 1, BLOCK):
+            out[a + 1 : a + BLOCK + 1] = adjacent_prefixes(text, order[a : a + BLOCK + 1], most)[1:]
+        return out
     for depth in range(0, most, 8):
         one = np.ascontiguousarray(view[order[live] + depth]).view("<u8").ravel()
         two = np.ascontiguousarray(view[order[live - 1] + depth]).view("<u8").ravel()
@@ -152,7 +176,7 @@ class Contexts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         parts = []
-        for i, j in ex.slices(offsets, 1_000_000):
+        for i, j in ex.slices(offsets, 250_000):
             base, end = offsets[i], offsets[j]
             part = data[base:end]
             if len(part) < length:
