@@ -130,3 +130,26 @@ def _(v):
     e = e.crossJoin(F.broadcast(share)).withColumn("w", F.when(c("y") == 1, 0.5 / c("p")).otherwise(0.5 / (1 - c("p"))))
     model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.01, maxIter=50).fit(e)
     return model.transform(e).select("vec_id", "y", vector_to_array("probability")[1].alias("probability"))
+
+
+def trained(v, learner):
+    """Probabilities of topic 0 by a tree learner."""
+    from pyspark.ml.functions import vector_to_array
+
+    e = vectors(v).withColumn("y", (c("topic") == 0).cast("double"))
+    return learner.fit(e).transform(e).select("vec_id", "y", vector_to_array("probability")[1].alias("probability"))
+
+
+@query("train_forest")
+def _(v):
+    """A random forest, the nearest that MLlib has to extremely random trees."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return trained(v, RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=6, seed=7))
+
+
+@query("train_boosting")
+def _(v):
+    from pyspark.ml.classification import GBTClassifier
+
+    return trained(v, GBTClassifier(labelCol="y", maxIter=10, maxDepth=4, seed=7))
