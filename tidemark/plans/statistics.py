@@ -16,10 +16,10 @@ def one():
     return F.count(F.lit(1))
 
 
-@query("overlap_jaccard", """WITH s AS (SELECT DISTINCT loc, k FROM posts WHERE k < 40), n AS (SELECT loc, count(*) AS n FROM s GROUP BY loc), p AS (SELECT a.loc AS a, b.loc AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.loc < b.loc GROUP BY 1, 2)
+@query("overlap_jaccard", """WITH s AS (SELECT DISTINCT loc, k FROM posts), n AS (SELECT loc, count(*) AS n FROM s GROUP BY loc), p AS (SELECT a.loc AS a, b.loc AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.loc < b.loc GROUP BY 1, 2)
  SELECT a, b, round(shared / (x.n + y.n - shared), 4) AS jaccard FROM p JOIN n x ON a = x.loc JOIN n y ON b = y.loc""")
 def _(v):
-    s = v.posts.where("k < 40").select("loc", "k").distinct()
+    s = v.posts.select("loc", "k").distinct()
     n = counts.value_counts(s, ["loc"])
     a, b = s.select(c("loc").alias("a"), "k"), s.select(c("loc").alias("b"), "k")
     p = a.join(b, "k").where("a < b").groupBy("a", "b").agg(one().alias("both"))
@@ -212,10 +212,10 @@ def _(v):
     return s.groupBy("vec_id").agg(R(pos / (pos + neg)).alias("score"))
 
 
-@query("dedup_embeddings", "WITH u AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings WHERE vec_id < 50) SELECT min(vec_id) AS vec_id FROM u GROUP BY embedding")
+@query("dedup_embeddings", "WITH u AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings) SELECT min(vec_id) AS vec_id FROM u GROUP BY embedding")
 def _(v):
     e = v.table("embeddings").select("vec_id", "embedding")
-    both = e.unionByName(e.where("vec_id < 50").select((c("vec_id") + 1000000).alias("vec_id"), "embedding"))
+    both = e.unionByName(e.select((c("vec_id") + 1000000).alias("vec_id"), "embedding"))
     return both.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
 
 
