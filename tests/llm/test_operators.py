@@ -99,6 +99,30 @@ def test_minhash(spark, docs):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_minhash_loses_no_link_of_a_family(spark, rounds):
+    """Edited copies of one text whose similarities lie on both sides of the threshold, so that links are few and chains long."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(260)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([2, 4, 5, 6])):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds))
+    assert len(set(parent)) > 3
+    assert [got[i]["component_id"] for i in range(len(sets))] == parent
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (8, 8)], "a long, b long")
     assert {tuple(r) for r in components.components(links).collect()} >= {(5, 1), (4, 1), (3, 1), (9, 8)}

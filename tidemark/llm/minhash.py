@@ -11,7 +11,10 @@ none of its n*n; different bands pair a document with different others. Of each
 packed b-bit signatures give, by bit counts, the similarity corrected for chance collisions; pairs
 more than MARGIN below the threshold go. The rest are confirmed on their full sets, and confirmed
 links make components. Where a bucket still holds several components, members are paired across
-them, with another centre each round and with the next few in order, until no round confirms a link.
+them, with another centre each round and with the next few in order, for a few rounds. Then each
+member outside its bucket's largest component is compared with all members of other components, in
+blocks of bounded size: a task compares two blocks' signatures and confirms what passes on full sets,
+so every pair that shares a bucket is either inside one component or has been tried.
 
 Null texts are empty. Null doc_ids take part as their own component null. Repeated rows are in one
 class and keep together. Extra columns are ignored.
@@ -36,6 +39,7 @@ PACKED = 96  # minima in a signature
 BITS = 4
 PER_LONG = 64 // BITS
 PAIRED = 4  # following members that a member of a bucket is paired with
+BLOCK, BLOCK_HASHES = 256, 50_000  # about so many members and shingles of a bucket meet as many others in a task
 SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>, bands array<long>"
 
@@ -177,6 +181,77 @@ def confirmed(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _blocks(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, rep, component c -> key, main, q, m and g: a block of a bucket's members outside its largest component `main`, and one of all."""
+    sized = placed.join(classes.select("rep", "n_shingles"), "rep")
+    counts = sized.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    most = counts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "c")).alias("top"))
+    parts = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_HASHES))
+    cut = most.where("k > 1").select("key", F.col("top.c").alias("main"), parts(F.col("n"), F.col("w")).alias("ms"),
+                                     parts(F.expr("n - top.n"), F.expr("w - top.w")).alias("qs"))
+    open_ = sized.select("key", "rep", "c").join(cut, "key")
+    place, every = lambda n: F.pmod(F.xxhash64("rep"), n), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = open_.where("c != main").select("key", "main", place("qs").alias("q"), every("ms").alias("m"), F.lit(True).alias("asks"), "rep", "c")
+    asked = open_.select("key", "main", every("qs").alias("q"), place("ms").alias("m"), F.lit(False).alias("asks"), "rep", "c")
+    rows = asking.unionByName(asked).join(classes.select("rep", "n_shingles", "signature", "bands"), "rep")
+    return rows.groupBy("key", "main", "q", "m").agg(F.collect_list(F.struct("asks", "rep", "c", "n_shingles", "signature", "bands")).alias("g"))
+
+
+def _unlike(blocks: DataFrame, threshold: int) -> DataFrame:
+    """key, q, m, a, b: the blocks' pairs of unlike components that sizes and signatures allow, each in the first band that it shares only."""
+    step, fields = range(1, BITS), np.uint64(sum(1 << (BITS * i) for i in range(PER_LONG)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                key, main, q, m = (batch[c][i].as_py() for c in ("key", "main", "q", "m"))
+                g = batch["g"].slice(i, 1).flatten()
+                asks, rep, c, n = (np.asarray(g.field(k)) for k in range(4))
+                signature, bands = (np.asarray(g.field(k).flatten()).reshape(len(g), -1) for k in (4, 5))
+                x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+                ok = (c[x][:, None] != c[y]) & ((c[y] == main) | (rep[x][:, None] < rep[y]))
+                ok &= 100 * np.minimum(n[x][:, None], n[y]) >= threshold * np.maximum(n[x][:, None], n[y])
+                unequal = np.zeros(ok.shape, np.int64)
+                for s in range(signature.shape[1]):
+                    d = (signature[x, s][:, None] ^ signature[y, s]).view(np.uint64)
+                    unequal += np.bitwise_count(np.bitwise_or.reduce([d, *(d >> np.uint64(b) for b in step)]) & fields)
+                ok &= (1 - unequal / PACKED - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS)) >= threshold / 100 - MARGIN
+                before, own = np.zeros(ok.shape, bool), np.zeros(ok.shape, bool)
+                for s in range(bands.shape[1]):
+                    same = bands[x, s][:, None] == bands[y, s]
+                    own |= same & ~before & (bands[y, s] == key)
+                    before |= same
+                a, b = np.nonzero(ok & own)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int64)) for k in (key, q, m)] + [pa.array(rep[x[a]]), pa.array(rep[y[b]])],
+                                                     ["key", "q", "m", "a", "b"])
+
+    return blocks.mapInArrow(run, "key long, q long, m long, a long, b long")
+
+
+def _confirmed_blocks(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """As confirmed(), for pairs of blocks: each block gets the set of each of its documents once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                docs, both = batch["docs"].slice(i, 1).flatten(), batch["pairs"].slice(i, 1).flatten()
+                rep, s = np.asarray(docs.field(0)), docs.field(1)
+                own = {int(r): np.asarray(s[k].values).view(np.uint64) for k, r in enumerate(rep)}
+                linked = []
+                for a, b in zip(np.asarray(both.field(0)).tolist(), np.asarray(both.field(1)).tolist()):
+                    common = len(np.intersect1d(own[a], own[b], assume_unique=True))
+                    if 100 * common >= threshold * (len(own[a]) + len(own[b]) - common):
+                        linked.append((a, b))
+                if linked:
+                    a, b = zip(*linked)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    at = ["key", "q", "m"]
+    needed = pairs.select(*at, F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
+    gathered = needed.groupBy(*at).agg(F.collect_list(F.struct("doc_id", "s")).alias("docs"))
+    return pairs.groupBy(*at).agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(gathered, at).select("docs", "pairs").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id is it)."""
     found = features(docs, width).checkpoint()
@@ -195,14 +270,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     tried = alike(star).checkpoint()
     links = confirmed(sets, tried, threshold).checkpoint()
     parts = components(links)
+
+    def place() -> DataFrame:
+        return shared.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+
     for k in range(1, rounds):  # buckets that still hold several components
-        placed = shared.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        fresh = alike(_across(placed, k).join(tried, ["a", "b"], "left_anti")).checkpoint()
+        fresh = alike(_across(place(), k).join(tried, ["a", "b"], "left_anti")).checkpoint()
         more = confirmed(sets, fresh, threshold).checkpoint()
         if more.isEmpty():
             break
         tried, links = tried.unionByName(fresh), links.unionByName(more)
         parts = components(links)
+    rest = _confirmed_blocks(sets, _unlike(_blocks(place(), classes), threshold).checkpoint(), threshold).checkpoint()
+    if not rest.isEmpty():
+        parts = components(links.unionByName(rest))
     member = classes.select("f1", "f2", "n_shingles", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(
         "f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("c"))
     out = found.select("doc_id", "n_shingles", "f1", "f2").join(member, ["f1", "f2", "n_shingles"], "left")
