@@ -39,7 +39,7 @@ PACKED = 96  # minima in a signature
 BITS = 4
 PER_LONG = 64 // BITS
 PAIRED = 4  # following members that a member of a bucket is paired with
-BLOCK, BLOCK_HASHES = 256, 50_000  # about so many members and shingles of a bucket meet as many others in a task
+BLOCK, BLOCK_HASHES = 1024, 200_000  # about so many members and shingles of a bucket meet as many others in a task
 SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>, bands array<long>"
 
@@ -197,59 +197,66 @@ def _blocks(placed: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.groupBy("key", "main", "q", "m").agg(F.collect_list(F.struct("asks", "rep", "c", "n_shingles", "signature", "bands")).alias("g"))
 
 
-def _unlike(blocks: DataFrame, threshold: int) -> DataFrame:
-    """key, q, m, a, b: the blocks' pairs of unlike components that sizes and signatures allow, each in the first band that it shares only."""
-    step, fields = range(1, BITS), np.uint64(sum(1 << (BITS * i) for i in range(PER_LONG)))
+def _passing(g: pa.StructArray, key: int, main: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in g of the pairs of unlike components that sizes and signatures allow, each in the first band that it shares only."""
+    asks, rep, c, n = (np.asarray(g.field(k)) for k in range(4))
+    signature, bands = (np.asarray(g.field(k).flatten()).reshape(len(g), -1) for k in (4, 5))
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    ok = (c[x][:, None] != c[y]) & ((c[y] == main) | (rep[x][:, None] < rep[y]))
+    ok &= 100 * np.minimum(n[x][:, None], n[y]) >= threshold * np.maximum(n[x][:, None], n[y])
+    unequal, fields = np.zeros(ok.shape, np.int64), np.uint64(sum(1 << (BITS * i) for i in range(PER_LONG)))
+    for s in range(signature.shape[1]):
+        d = (signature[x, s][:, None] ^ signature[y, s]).view(np.uint64)
+        unequal += np.bitwise_count(np.bitwise_or.reduce([d, *(d >> np.uint64(b) for b in range(1, BITS))]) & fields)
+    ok &= (1 - unequal / PACKED - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS)) >= threshold / 100 - MARGIN
+    before, own = np.zeros(ok.shape, bool), np.zeros(ok.shape, bool)
+    for s in range(bands.shape[1]):
+        same = bands[x, s][:, None] == bands[y, s]
+        own |= same & ~before & (bands[y, s] == key)
+        before |= same
+    a, b = np.nonzero(ok & own)
+    return x[a], y[b]
+
+
+def _across_blocks(blocks: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Confirmed links (a, b) between unlike components in blocks.
+
+    First each task names the members of its two blocks that have a partner by sizes and signatures;
+    only their full sets go to the block, once each, and the task there confirms its pairs. No pair
+    leaves a task but a link.
+    """
+    at = ["key", "main", "q", "m"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                key, main, q, m = (batch[c][i].as_py() for c in ("key", "main", "q", "m"))
-                g = batch["g"].slice(i, 1).flatten()
-                asks, rep, c, n = (np.asarray(g.field(k)) for k in range(4))
-                signature, bands = (np.asarray(g.field(k).flatten()).reshape(len(g), -1) for k in (4, 5))
-                x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-                ok = (c[x][:, None] != c[y]) & ((c[y] == main) | (rep[x][:, None] < rep[y]))
-                ok &= 100 * np.minimum(n[x][:, None], n[y]) >= threshold * np.maximum(n[x][:, None], n[y])
-                unequal = np.zeros(ok.shape, np.int64)
-                for s in range(signature.shape[1]):
-                    d = (signature[x, s][:, None] ^ signature[y, s]).view(np.uint64)
-                    unequal += np.bitwise_count(np.bitwise_or.reduce([d, *(d >> np.uint64(b) for b in step)]) & fields)
-                ok &= (1 - unequal / PACKED - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS)) >= threshold / 100 - MARGIN
-                before, own = np.zeros(ok.shape, bool), np.zeros(ok.shape, bool)
-                for s in range(bands.shape[1]):
-                    same = bands[x, s][:, None] == bands[y, s]
-                    own |= same & ~before & (bands[y, s] == key)
-                    before |= same
-                a, b = np.nonzero(ok & own)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int64)) for k in (key, q, m)] + [pa.array(rep[x[a]]), pa.array(rep[y[b]])],
-                                                     ["key", "q", "m", "a", "b"])
-
-    return blocks.mapInArrow(run, "key long, q long, m long, a long, b long")
-
-
-def _confirmed_blocks(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """As confirmed(), for pairs of blocks: each block gets the set of each of its documents once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(len(batch)):
-                docs, both = batch["docs"].slice(i, 1).flatten(), batch["pairs"].slice(i, 1).flatten()
-                rep, s = np.asarray(docs.field(0)), docs.field(1)
-                own = {int(r): np.asarray(s[k].values).view(np.uint64) for k, r in enumerate(rep)}
-                linked = []
-                for a, b in zip(np.asarray(both.field(0)).tolist(), np.asarray(both.field(1)).tolist()):
-                    common = len(np.intersect1d(own[a], own[b], assume_unique=True))
-                    if 100 * common >= threshold * (len(own[a]) + len(own[b]) - common):
-                        linked.append((a, b))
-                if linked:
-                    a, b = zip(*linked)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    at = ["key", "q", "m"]
-    needed = pairs.select(*at, F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
-    gathered = needed.groupBy(*at).agg(F.collect_list(F.struct("doc_id", "s")).alias("docs"))
-    return pairs.groupBy(*at).agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(gathered, at).select("docs", "pairs").mapInArrow(run, "a long, b long")
+                row, g = [batch[k][i].as_py() for k in at], batch["g"].slice(i, 1).flatten()
+                yield row, g, *_passing(g, row[0], row[1], threshold)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, g, a, b in each(batches):
+            if len(a):
+                some = np.unique(np.append(a, b))
+                fixed = [pa.array(np.full(len(some), k, np.int64)) for k in row]
+                yield pa.RecordBatch.from_arrays([*fixed, g.take(pa.array(some))], [*at, "d"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, g, a, b in each(batches):
+            rep, sets_ = np.asarray(g.field(1)), g.field(6)
+            own = {i: np.asarray(sets_[i].values).view(np.uint64) for i in np.unique(np.append(a, b)).tolist()}
+            linked = []
+            for i, j in zip(a.tolist(), b.tolist()):
+                common = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if 100 * common >= threshold * (len(own[i]) + len(own[j]) - common):
+                    linked.append((rep[i], rep[j]))
+            if linked:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64)) for v in zip(*linked)], ["a", "b"])
+
+    fields = "asks boolean, rep long, c long, n_shingles long, signature array<long>, bands array<long>"
+    named = blocks.mapInArrow(name, f"key long, main long, q long, m long, d struct<{fields.replace(' ', ':').replace(',:', ',')}>")
+    full = named.join(sets.withColumnRenamed("doc_id", "rep"), F.col("d.rep") == F.col("rep"))
+    whole = full.groupBy(*at).agg(F.collect_list(F.struct("d.*", "s")).alias("g"))
+    return whole.mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, rounds: int = 4) -> DataFrame:
@@ -281,7 +288,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
             break
         tried, links = tried.unionByName(fresh), links.unionByName(more)
         parts = components(links)
-    rest = _confirmed_blocks(sets, _unlike(_blocks(place(), classes), threshold).checkpoint(), threshold).checkpoint()
+    rest = _across_blocks(_blocks(place(), classes), sets, threshold).checkpoint()
     if not rest.isEmpty():
         parts = components(links.unionByName(rest))
     member = classes.select("f1", "f2", "n_shingles", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(
