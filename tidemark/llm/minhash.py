@@ -5,11 +5,12 @@ Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a document's
 are linked if 100 * intersection >= 100 * threshold * union; empty sets are linked with nothing.
 
 Documents of equal sets form one class, whatever their number. Class representatives are banded:
-BANDS bands of ROWS minima each find a pair of similarity 0.85 but for 1 in 100,000. In a band
+`banding` gives so many bands that a pair at the threshold is missed once in 100,000 at most (20 of
+5 minima at 0.85, 24 of 4 at 0.80). In a band
 bucket every member is first paired with the smallest one, so a bucket of n gives n - 1 pairs and
 none of its n*n; different bands pair a document with different others. Of each distinct pair the
 packed b-bit signatures give, by bit counts, the similarity corrected for chance collisions; pairs
-more than MARGIN below the threshold go. The rest are confirmed on their full sets, and confirmed
+below `floor` go, which a pair at the threshold is once in 10,000 at most. The rest are confirmed on their full sets, and confirmed
 links make components. Where a bucket still holds several components, members are paired across
 them, with another centre each round and with the next few in order, for a few rounds. Then each
 member outside its bucket's largest component is compared with all members of other components, in
@@ -22,6 +23,7 @@ class and keep together. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +36,38 @@ from .components import components
 from .exchange import slices
 from .text import LOWER, mix, utf8, window_hashes, word_hashes, words
 
-WIDTH, BANDS, ROWS, THRESHOLD, MARGIN = 5, 20, 5, 85, 0.15
+WIDTH, THRESHOLD = 5, 85  # op7's contract; callers without one pass their own threshold
+MISSED, UNLIKE = 1e-5, 1e-4  # of pairs at the threshold: share that no band finds, and that the signatures reject
 PACKED = 96  # minima in a signature
 BITS = 4
 PER_LONG = 64 // BITS
 PAIRED = 4  # following members that a member of a bucket is paired with
 BLOCK, BLOCK_HASHES = 1024, 200_000  # about so many members and shingles of a bucket meet as many others in a task
-SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>, bands array<long>"
 
 
+def seeds(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64))
+
+
+def banding(threshold: int) -> tuple[int, int]:
+    """Bands and minima in each, of PACKED minima or more, that miss a pair at the threshold with MISSED at most."""
+    rows = 5 if threshold >= 85 else 4
+    share = (threshold / 100) ** rows
+    bands = 1 if share >= 1 else math.ceil(math.log(MISSED) / math.log1p(-share))
+    return max(bands, -(-PACKED // rows)), rows
+
+
+def floor(threshold: int) -> float:
+    """The estimate below which a pair at the threshold stays with UNLIKE at most; half a step under the last that passes."""
+    differ = (1 - threshold / 100) * (1 - 1 / (1 << BITS))
+    passed, most = 0.0, -1
+    while passed < 1 - UNLIKE:
+        most += 1
+        passed += math.comb(PACKED, most) * differ**most * (1 - differ) ** (PACKED - most)
+    return (1 - (most + 0.5) / PACKED - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS))
+
+
 def shingles(column, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes of each document's distinct shingles, where documents begin in them."""
     data, offsets = utf8(column)
@@ -74,10 +98,10 @@ def shingles(column, width: int) -> tuple[np.ndarray, np.ndarray, int]:
 def minima(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     """n minima of every set that isn't empty; one row a set."""
     heads = bounds[:-1][np.diff(bounds) > 0]
-    out = np.zeros((len(heads), n), np.uint64)
+    out, seed = np.zeros((len(heads), n), np.uint64), seeds(2 * n)
     if len(heads):
         for p in range(n):
-            out[:, p] = np.minimum.reduceat((hashes ^ SEEDS[2 * p]) * (SEEDS[2 * p + 1] | np.uint64(1)), heads)
+            out[:, p] = np.minimum.reduceat((hashes ^ seed[2 * p]) * (seed[2 * p + 1] | np.uint64(1)), heads)
     return out
 
 
@@ -88,8 +112,10 @@ def pack_bits(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low, axis=2)
 
 
-def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def features(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set, signature and band hashes (null for empty sets)."""
+    n_bands, n_rows = banding(threshold)
+    first, second = seeds(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,12 +127,12 @@ def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 full = n > 0
                 f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                 if full.any():
-                    f1[full] = np.add.reduceat(mix(hashes ^ SEEDS[0]), bounds[:-1][full])
-                    f2[full] = np.add.reduceat(mix(hashes ^ SEEDS[1]), bounds[:-1][full])
-                least = minima(hashes, bounds, BANDS * ROWS)
-                bands = least.reshape(len(least), BANDS, ROWS)
-                key = np.broadcast_to(SEEDS[:BANDS], (len(least), BANDS)).copy()
-                for r in range(ROWS):
+                    f1[full] = np.add.reduceat(mix(hashes ^ first), bounds[:-1][full])
+                    f2[full] = np.add.reduceat(mix(hashes ^ second), bounds[:-1][full])
+                least = minima(hashes, bounds, n_bands * n_rows)
+                bands = least.reshape(len(least), n_bands, n_rows)
+                key = np.broadcast_to(seeds(n_bands), (len(least), n_bands)).copy()
+                for r in range(n_rows):
                     key = mix(key ^ bands[:, :, r])
 
                 def lists(x: np.ndarray) -> pa.Array:
@@ -208,7 +234,7 @@ def _passing(g: pa.StructArray, key: int, main: int, threshold: int) -> tuple[np
     for s in range(signature.shape[1]):
         d = (signature[x, s][:, None] ^ signature[y, s]).view(np.uint64)
         unequal += np.bitwise_count(np.bitwise_or.reduce([d, *(d >> np.uint64(b) for b in range(1, BITS))]) & fields)
-    ok &= (1 - unequal / PACKED - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS)) >= threshold / 100 - MARGIN
+    ok &= (1 - unequal / PACKED - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS)) >= floor(threshold)
     before, own = np.zeros(ok.shape, bool), np.zeros(ok.shape, bool)
     for s in range(bands.shape[1]):
         same = bands[x, s][:, None] == bands[y, s]
@@ -261,7 +287,7 @@ def _across_blocks(blocks: DataFrame, sets: DataFrame, threshold: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id is it)."""
-    found = features(docs, width).checkpoint()
+    found = features(docs, width, threshold).checkpoint()
     classes = found.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).checkpoint()
     buckets = classes.select("rep", F.explode("bands").alias("key"))
@@ -269,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
 
     def alike(pairs: DataFrame) -> DataFrame:
         signed = pairs.join(signatures.toDF("a", "x"), "a").join(signatures.toDF("b", "y"), "b")
-        return signed.where(estimate("x", "y") >= threshold / 100 - MARGIN).select("a", "b")
+        return signed.where(estimate("x", "y") >= floor(threshold)).select("a", "b")
 
     shared = _shared(buckets).checkpoint()
     star = shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct()  # each document that any pair can hold is in it
