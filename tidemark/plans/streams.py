@@ -25,4 +25,4 @@ def _(v):
 
 @query("stream_dedup_ids", "SELECT DISTINCT event_id FROM events")
 def _(v):
-    return folds.drain(folds.dedup(events(v).select("event_id", "ts"), "event_id", "ts"), "append").select("event_id")
+    return folds.drain(folds.dedup(events(v).select("event_id"), "event_id"), "append")

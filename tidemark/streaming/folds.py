@@ -20,11 +20,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a small stream to its end and returns its result table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what has arrived and returns its result table, kept as Parquet in the shared checkpoint folder."""
+    spark = stream.sparkSession
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/drained-{uuid.uuid4().hex}"
+    parts: list[str] = []
+
+    def keep(rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{k}")
+        parts.append(f"{folder}/rows/{k}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not parts:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(parts[-1:] if mode == "complete" else parts))
 
 
 def value_counts(rows: DataFrame, key: str) -> DataFrame:
@@ -35,5 +44,11 @@ def second_counts(rows: DataFrame, ts: str, delay: str = "10 minutes") -> DataFr
     return rows.withWatermark(ts, delay).groupBy(F.window(ts, "1 second").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("at"), "n")
 
 
-def dedup(rows: DataFrame, key: str, ts: str, delay: str = "10 minutes") -> DataFrame:
+def dedup(rows: DataFrame, key: str, ts: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """The first row of each key in whatever order rows come, so the state holds every key.
+
+    With ts the state is bounded instead: rows older than the watermark go, and repeats further apart than `delay` stay.
+    """
+    if ts is None:
+        return rows.dropDuplicates([key])
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
