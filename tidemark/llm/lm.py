@@ -1,18 +1,18 @@
 """LM scoring with a log-frequency Bloom filter of quantised bigram counts, broadcast to the workers.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end; the end also stands
-before the first word. A bigram seen c >= 2 times in training has the level floor(log2 c) and
-enters the filter once for each level up to it; a context enters with the mass S of its stored
-bigrams, its level ceil(2 log2 S). Probing level after level until one is absent gives a count
-back. Unigram counts are exact. The probability of w after h is
+before the first word. A bigram seen c >= 1 times in training has the level floor(log2 c) + 1 and
+enters the filter once for each level up to it; a context enters with the mass S of its
+bigrams, its level ceil(2 log2 S) + 3. Probing level after level until one is absent gives a count
+back, of which LESS is taken off. Unigram counts are exact. The probability of w after h is
 
     (count(h, w) + (max(c(h) - S(h), 0) + 1) * p(w)) / (max(c(h), S(h)) + 1),
     p(w) = (c(w) + 1) / (N + V + 1),
 
-so what training gave to bigrams seen once goes back to the unigrams, and the sum over w is at
+so what is taken off the bigrams' counts goes back to the unigrams, and the sum over w is at
 most 1 but for false positives of the filter (under 1 in 100 a probe).
 
-The filter's size follows the distinct repeated bigrams. Up to max_filter_mb it is broadcast;
+The filter's size follows the distinct bigrams. Up to max_filter_mb it is broadcast;
 beyond that its segments stay in Spark, every batch sends its distinct bigrams to them, and the
 tasks that hold a segment probe it and answer. Both ways give the same scores.
 
@@ -37,6 +37,7 @@ from .text import LOWER, mix, unmix, utf8, word_hashes, words
 END = np.uint64(0xD1B54A32D192ED03)
 LOW = np.uint64((1 << 28) - 1)
 PROBES, BITS = 4, 12
+LESS = 0.5  # off each bigram's count, the share of bigrams that training lacks
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SCORES_TYPE = pa.schema([
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -130,12 +131,12 @@ class Filter:
 
 
 def bigram_count(level: np.ndarray) -> np.ndarray:
-    """What a level stands for: 2**level, a little more for the counts above it."""
-    return np.where(level > 0, 1.4 * np.exp2(level.astype(float)), 0.0)
+    """What a level stands for less LESS: 1, or 2**(level - 1) and a little more for the counts above it."""
+    return np.where(level > 1, 1.4 * np.exp2(level.astype(float) - 1) - LESS, np.where(level > 0, 1 - LESS, 0.0))
 
 
 def context_mass(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, np.exp2(level / 2.0), 0.0)
+    return np.where(level > 0, np.exp2((level - 3.0) / 2.0), 0.0)
 
 
 class Model:
@@ -171,8 +172,7 @@ def train(docs: DataFrame, learn: Column, buckets: int) -> Model:
         if kind == UNIGRAM:
             rows = [(UNIGRAM, asked.bucket, 0, None, None, len(keys), int(n.sum()))]
         else:
-            keys, n = keys[n >= 2], n[n >= 2]
-            levels = np.floor(np.log2(n)).astype(np.int64)
+            levels = np.floor(np.log2(n)).astype(np.int64) + 1
             rows = [(BIGRAM, asked.bucket, *filled(keys, levels), None, 0, 0)]
             of, where = np.unique(context_key(unmix(keys)), return_inverse=True)
             mass = np.bincount(where, bigram_count(levels), len(of))
@@ -186,7 +186,7 @@ def train(docs: DataFrame, learn: Column, buckets: int) -> Model:
         keys = np.concatenate([ex.unpack(k.as_py(), n.as_py()) for k, n in zip(table["data"], table["bits"])])
         mass = np.concatenate([np.frombuffer(v.as_py()) for v in table["vals"]])
         keys, where = np.unique(keys, return_inverse=True)
-        levels = np.ceil(2 * np.log2(np.bincount(where, mass))).astype(np.int64)
+        levels = np.ceil(2 * np.log2(np.bincount(where, mass))).astype(np.int64) + 3
         rows = [(CONTEXT, table["seg"][0].as_py(), *filled(keys, levels), None, 0, 0)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), LEARNED_TYPE.types)], schema=LEARNED_TYPE)
 
