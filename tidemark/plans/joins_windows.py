@@ -269,8 +269,12 @@ def _(v):
  b AS (SELECT *, max(mean) OVER (ORDER BY n DESC, mean DESC, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM a) SELECT author, n, mean FROM b WHERE best IS NULL OR mean > best""")
 def _(v):
     a = v.posts.groupBy("author").agg(N().alias("n"), R(F.avg("plays")).alias("mean"))
-    best = F.max("mean").over(Window.orderBy(F.desc("n"), F.desc("mean"), "author").rowsBetween(Window.unboundedPreceding, -1))
-    return a.withColumn("best", best).where("best is null or mean > best").select("author", "n", "mean")
+    known = a.where("mean is not null")
+    top = known.groupBy("n").agg(F.min_by(F.struct("author", "mean"), F.struct(-c("mean"), "author")).alias("top")).select("top.author", "n", "top.mean")
+    best = F.max("mean").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))  # rows: the distinct n, whose sum is at most the posts
+    front = top.withColumn("best", best).where("best is null or mean > best").select("author", "n", "mean")
+    ahead = a.where("mean is null").crossJoin(F.broadcast(known.agg(F.max("n").alias("last")))).where("last is null or n > last")
+    return front.unionByName(ahead.select("author", "n", "mean"))
 
 
 @query("win_row_number", "SELECT event_id, row_number() OVER (PARTITION BY author ORDER BY event_id) AS rn FROM posts")

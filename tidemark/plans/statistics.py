@@ -241,5 +241,9 @@ def _(v):
 def _(v):
     from pyspark.sql import Window
 
-    rn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    return v.table("labels").select("doc_id", "toxic", (rn % 5).alias("fold"))
+    rows = v.table("labels").select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(7)).alias("h")).withColumn("part", F.shiftright("h", 52))  # 4096 ranges of the hash
+    before = F.sum("n").over(Window.partitionBy("toxic").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offset = rows.groupBy("toxic", "part").agg(one().alias("n")).select(c("toxic").alias("y"), c("part").alias("p"), F.coalesce(before, F.lit(0)).alias("offset"))
+    rn = F.row_number().over(Window.partitionBy("toxic", "part").orderBy("h", "doc_id"))
+    ranked = rows.select("doc_id", "toxic", "part", rn.alias("rn")).join(F.broadcast(offset), c("toxic").eqNullSafe(c("y")) & (c("part") == c("p")))
+    return ranked.select("doc_id", "toxic", ((c("rn") + c("offset")) % 5).cast("int").alias("fold"))
