@@ -99,8 +99,7 @@ def test_minhash(spark, docs):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [1, 4])
-def test_minhash_loses_no_link_of_a_family(spark, rounds):
+def test_minhash_loses_no_link_of_a_family(spark):
     """Edited copies of one text whose similarities lie on both sides of the threshold, so that links are few and chains long."""
     rng = random.Random(11)
     base = [f"w{rng.randrange(400)}" for _ in range(260)]
@@ -118,7 +117,7 @@ def test_minhash_loses_no_link_of_a_family(spark, rounds):
             if 100 * both >= 85 * len(sets[i] | sets[j]):
                 a, b = sorted((parent[i], parent[j]))
                 parent = [a if p == b else p for p in parent]
-    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert len(set(parent)) > 3
     assert [got[i]["component_id"] for i in range(len(sets))] == parent
 

@@ -15,13 +15,13 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame, most: int = 50) -> DataFrame:
-    """links: a, b of long -> node, component: the smallest node it is connected with. Loops and repeats are ignored."""
+    """links: a, b of one type that has an order -> node, component: the smallest node it is connected with. Loops and repeats are ignored."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct().checkpoint()
     state = _state(edges)
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         edges = small.where("a > b").distinct().checkpoint()
