@@ -9,26 +9,28 @@ equal the run's own token there. Two neighbouring tokens that stand together in
 so in every right encoding, so such an agreement makes the joined run exact.
 
 Texts up to LEAF * 2 characters are encoded whole. Strings of special tokens are cut out first, as
-the tokenizers library does. Null text is empty and has no ids. Repeated rows give repeated
-results. Extra columns are ignored.
+the tokenizers library does. The leaves of a text are gathered by its doc_id and a hash of it, never
+by a place in a partition, so a task that is run again gives the same ones. Null text is empty and
+has no ids. Repeated rows give repeated results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import slices
+
 LEAF = 16_384
-CACHED = 300_000
+SLICE = 2_000_000  # bytes of text that a task works on at a time
 #: The split pattern of byte-level BPE, and White_Space of Unicode.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -45,55 +47,65 @@ def byte_chars() -> dict[int, str]:
     return out
 
 
+def special_tokens(path: str) -> tuple[dict[str, int], re.Pattern | None]:
+    """The file's special tokens and a pattern that finds them, the longest first."""
+    with open(path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    names = sorted(special, key=len, reverse=True)
+    return special, re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+
+
+def parts(text: str, cut: re.Pattern | None) -> list[str]:
+    """Ordinary texts at even places, special tokens between them."""
+    return cut.split(text) if cut and cut.search(text) else [text]
+
+
+def vocabulary(path: str) -> dict[str, int]:
+    """The file's tokens but special ones; their ids must follow the order of the merges, so that ids can serve as ranks."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    special = {t["content"] for t in told["added_tokens"]}
+    vocab = {k: v for k, v in told["model"]["vocab"].items() if k not in special}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in told["model"]["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("ids must follow the order of the merges")
+    return vocab
+
+
+def encoding(pattern: str, ranks: dict[bytes, int]):
+    """Splits by a pattern, then merges bytes by rank."""
+    import tiktoken
+
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class Codec:
     """Encodes and decodes with one byte-level vocabulary file."""
 
     def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
         back = {c: b for b, c in byte_chars().items()}
-        self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        vocab = {k: v for k, v in told["model"]["vocab"].items() if k not in self.special}
-        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items()}
-        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in told["model"]["merges"]]
-        if [vocab[m] for m in merged] != sorted(vocab[m] for m in merged):
-            raise ValueError("ids must follow the order of the merges")
-        self.base = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.special, self.cut = special_tokens(path)
+        ranks = {bytes(back[c] for c in token): i for token, i in vocabulary(path).items()}
+        self.base = encoding(SPLIT, ranks)
         self.bytes = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in self.special.items()}
         self.length = np.zeros(max(self.bytes) + 1, np.int64)
         for i, b in self.bytes.items():
             self.length[i] = len(b)
-        names = sorted(self.special, key=len, reverse=True)
-        self.cut = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
-        self.cache: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        """Ordinary texts at even places, special tokens between them."""
-        return self.cut.split(text) if self.cut and self.cut.search(text) else [text]
-
-    def unit(self, unit: str) -> bytes:
-        found = self.cache.get(unit)
-        if found is None:
-            found = np.array(self.base.encode_ordinary(unit), "<u4").tobytes()
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            if len(unit) <= 64:
-                self.cache[unit] = found
-        return found
 
     def ordinary(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.unit, UNIT.findall(text))), "<u4")
+        return np.array(self.base.encode_ordinary(text), "<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self.parts(text)
-        if len(parts) == 1:
+        found = parts(text, self.cut)
+        if len(found) == 1:
             return self.ordinary(text)
-        return np.concatenate([self.ordinary(p) if i % 2 == 0 else np.array([self.special[p]], "<u4") for i, p in enumerate(parts)])
+        return np.concatenate([self.ordinary(p) if i % 2 == 0 else np.array([self.special[p]], "<u4") for i, p in enumerate(found)])
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.raw(ids).decode("utf-8", "replace")
 
     # Joins ------------------------------------------------------------------------------------
 
@@ -138,7 +150,7 @@ class Codec:
         return runs[0][1]
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     """One for each Python worker and file."""
     return Codec(path)
@@ -150,51 +162,67 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
 
-ENCODED = "doc_id long, text string, ids array<int>"
-LEAVES = "row long, doc_id long, part int, leaf int, special boolean, text string"
+def _decoded(c: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([np.asarray(i, "<u4").tobytes() for i in ids], pa.binary()), pa.array(map(c.decode, ids), pa.string())]
 
 
-def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """doc_id, text (null as empty) and ids of every whole text."""
+def _texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about SLICE bytes of text each."""
+    size = np.asarray(pa.compute.binary_length(batch["text"])).astype(np.int64)
+    for i, j in slices(np.append(0, np.cumsum(size)), SLICE):
+        yield batch.slice(i, j - i)
+
+
+def _encoded(docs: DataFrame, path: str, leaf: int, make: Callable[[Codec, list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """doc_id and what `make` makes of the ids of every whole text, in the task that encodes or joins it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    names = [f.split()[0] for f in schema.split(", ")]
     size = F.char_length("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], _lists([c.encode(t) for t in part["text"].to_pylist()])], ["doc_id", "text", "ids"])
+            for part in _texts(batch):
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *make(c, [c.encode(t.as_py()) for t in part["text"]])], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, n = codec(path), TaskContext.get().partitionId() << 33
+        _, special = special_tokens(path)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                out = [(n, doc_id, p, i, p % 2 == 1, part[at : at + leaf]) for p, part in enumerate(c.parts(text))
+            for doc_id, key, text in zip(batch["doc_id"].to_pylist(), batch["key"].to_pylist(), batch["text"]):
+                out = [(doc_id, key, p, i, part[at : at + leaf]) for p, part in enumerate(parts(text.as_py(), special))
                        for i, at in enumerate(range(0, max(1, len(part)), leaf if p % 2 == 0 else len(part)))]
-                n += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))],
-                    ["row", "doc_id", "part", "leaf", "special", "text"])
+                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))],
+                    ["doc_id", "key", "part", "leaf", "text"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [np.array([c.special[t]], np.uint32) if s else c.ordinary(t) for t, s in zip(batch["text"].to_pylist(), batch["special"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], [*batch.schema.names, "ids"])
+            ids = [np.array([c.special[t]], "<u4") if p % 2 else c.ordinary(t) for t, p in zip(batch["text"].to_pylist(), batch["part"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "key", "part", "leaf", "ids"])
 
     def join(table: pa.Table) -> pa.Table:
         c = codec(path)
         table = table.sort_by([("part", "ascending"), ("leaf", "ascending")])
-        part, text = table["part"].to_numpy(), table["text"].to_pylist()
-        runs = [(t.encode(), np.asarray(i.values).astype(np.uint32)) for t, i in zip(text, table["ids"])]
+        same = int(((table["part"].to_numpy() == 0) & (table["leaf"].to_numpy() == 0)).sum())  # repeated rows: so many equal leaves
+        table = table.take(pa.array(range(0, len(table), same)))
+        part = table["part"].to_numpy()
+        ids = [np.frombuffer(i.as_py(), "<u4") for i in table["ids"]]
+        runs = [(c.raw(i), i) for i in ids]
         heads = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-        ids = np.concatenate([c.tree(runs[a:b]) for a, b in zip(heads[:-1], heads[1:])])
-        return pa.table([table["doc_id"].slice(0, 1), pa.array(["".join(text)]), _lists([ids])], names=["doc_id", "text", "ids"])
+        made = make(c, [np.concatenate([c.tree(runs[a:b]) for a, b in zip(heads[:-1], heads[1:])])])
+        one = pa.table([table["doc_id"].slice(0, 1), *made], names=names)
+        return pa.concat_tables([one] * same)
+
+    short = rows.where(size <= 2 * leaf).mapInArrow(whole, schema)
+    long = rows.where(size > 2 * leaf).withColumn("key", F.md5("text")).mapInArrow(cut, "doc_id long, key string, part int, leaf int, text string")
+    found = long.repartition("doc_id", "key", "part", "leaf").mapInArrow(leaves, "doc_id long, key string, part int, leaf int, ids binary")
+    return short.unionByName(found.groupBy("doc_id", "key").applyInArrow(join, schema))
 
-    short = rows.where(size <= 2 * leaf).mapInArrow(whole, ENCODED)
-    long = rows.where(size > 2 * leaf).mapInArrow(cut, LEAVES).repartition("row", "leaf").mapInArrow(leaves, LEAVES + ", ids array<int>")
-    return short.unionByName(long.groupBy("row").applyInArrow(join, ENCODED))
+
+def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """doc_id and ids of every whole text."""
+    return _encoded(docs, path, leaf, lambda c, ids: [_lists(ids)], "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -209,14 +237,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of decode's rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.asarray(i.values).astype("<u4") for i in batch["ids"]]
-            yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in batch["decoded"].to_pylist()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """doc_id, ids as little-endian unsigned 32-bit integers, and decoded, the text they stand for, by one task for each text."""
+    return _encoded(docs, path, leaf, _decoded, "doc_id long, ids binary, decoded string")
