@@ -18,26 +18,25 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPACE, byte_chars
+from .bpe import SPACE, byte_chars, encoding, vocabulary
 
 END_ID, CAPACITY = 1, 4096
-CACHED = 300_000
 WORD = re.compile(f"[^{SPACE}]+")
-#: Controls that str.split() takes for white space and Unicode's White_Space doesn't.
-ODD = re.compile("[\x1c-\x1f]")
-#: Fixed value: the file's split pattern.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Beyond these characters normal forms and the case of a letter may depend on its neighbours.
-BEYOND = re.compile("[^\x00-\u017f]")
+#: The file's split pattern, as it reads among ASCII's characters and among those up to U+017F, and its mark of a word's end.
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+LATIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+WORD_END, MARK = "</w>", "\0"
+#: The mark, controls that Python takes for white space and Unicode doesn't, and characters whose normal form or case may depend on neighbours.
+BEYOND = re.compile("[^\x01-\x1b\x20-\u017f]|<\\|")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 PACKED_TYPE = pa.schema([
@@ -46,49 +45,38 @@ PACKED_TYPE = pa.schema([
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, word by word: no piece crosses white space, which is dropped."""
+    """Ids as by the tokenizers library: no piece crosses white space, which is dropped.
+
+    The file marks a piece's last byte. Here a byte that plain texts lack stands for the mark, so that
+    merging bytes by rank gives the file's ids: the ids of marked bytes come before those of all merges.
+    Words with something of BEYOND go to the library itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.chars = byte_chars()
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            name = "".join(map(self.chars.__getitem__, piece.encode()))
-            found = np.array([t.id for t in self.model.tokenize(name)], "<u4").tobytes()
-            if len(self.pieces) >= CACHED:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if not BEYOND.search(word) and "<|" not in word:
-                found = b"".join(map(self.piece, PIECE.findall(word.lower())))
-            else:
-                found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
+        back = {c: bytes([b]) for b, c in byte_chars().items()}
+        ranks = {}
+        for token, i in vocabulary(path).items():
+            end = token.endswith(WORD_END)
+            ranks[b"".join(map(back.__getitem__, token[: -len(WORD_END)] if end else token)) + MARK.encode() * end] = i
+        self.base = encoding(f"[^{MARK}]+{MARK}", ranks)
+
+    def plain(self, text: str) -> bytes:
+        text = text.lower()
+        found = (ASCII_PIECE if text.isascii() else LATIN_PIECE).findall(text)
+        return array("I", self.base.encode_ordinary(MARK.join(found) + MARK) if found else []).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if not BEYOND.search(text) and "<|" not in text:
-            text = text.lower()
-        found = WORD.findall(text) if ODD.search(text) else text.split()
-        return b"".join(map(self.word, found))
+        if not BEYOND.search(text):
+            return self.plain(text)
+        return b"".join(array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() if BEYOND.search(w) else self.plain(w)
+                        for w in WORD.findall(text))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
