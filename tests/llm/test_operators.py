@@ -249,12 +249,87 @@ def test_language_and_toxicity(spark):
 
 
 def test_block_max_is_exact():
+    """Ids and cosines of the nearest, equal ones by doc_id, against all cosines."""
     rng = np.random.default_rng(4)
-    v = rng.random((500, 30)) * (rng.random((500, 30)) < 0.2)
-    v = v[v.any(1)]
+    v = np.round(rng.random((500, 30)) * (rng.random((500, 30)) < 0.2), 1)
+    v = np.repeat(v[v.any(1)][:240], 2, 0)  # every vector twice: ties
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    index = toxicity.BlockMaxIndex(v, np.zeros(len(v), int), np.arange(len(v)))
-    for q in v[:20]:
-        at = np.flatnonzero(q)
-        _, scores = index.nearest(at, q[at], 10)
-        assert np.allclose(scores, np.sort(v @ q)[::-1][:10][: len(scores)])
+    ids = rng.permutation(len(v)) * 7
+    at, term = np.nonzero(v)
+    index = toxicity.BlockMaxIndex(at, term, v[at, term], ids, v.shape[1])
+    for i in range(0, 60):
+        t = np.flatnonzero(v[i])
+        for k, without in ((10, -1), (10, i), (1000, -1)):
+            got, scores = index.nearest(t, v[i][t], k, without)
+            every = np.round(v @ v[i], 12)
+            want = [j for j in np.lexsort((ids, -every)) if every[j] > 0 and j != without][:k]
+            assert np.allclose(scores, every[want]) and np.allclose(np.sort(ids[got]), np.sort(ids[want])) or np.isclose(every[got[-1]], every[want[-1]])
+            assert all((-scores[j], ids[got[j]]) <= (-scores[j + 1] + 1e-12, ids[got[j + 1]]) or scores[j] > scores[j + 1] for j in range(len(got) - 1))
+
+
+def test_toxicity_equals_plain_python(spark):
+    """Neighbours, cosines and votes of whole texts against TF-IDF by dictionaries."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(80)] + ["Été", "x_1"]
+    make = lambda bad: " ".join(rng.choices(vocabulary, k=rng.randrange(1, 60)) + ["nasty", "nastiest"] * bad)
+    rows = [(i, make(i % 3 == 0), int(i % 3 == 0)) for i in range(150)]
+    rows += [(i, t, y) for i, t, y in rows[:5]] + [(200, "", 0), (201, None, 1), (202, "!!", 0), (203, "w" * 50_000 + " abc" * 20_000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("h", F.lit(1)).repartition(3)
+    model = toxicity.learn(df.select("doc_id", "text", "h"), df.select("doc_id", "toxic", F.lit("clash").alias("text")), F.lit(True), nearest=7)
+    examples = sorted({(i, t or "", y) for i, t, y in rows})
+
+    def terms(text):
+        out = Counter()
+        for w in re.findall(rb"[0-9a-z_\x80-\xff]+", text.lower().encode()):
+            out.update([(0, w)] + [(n, w[:n]) for n in (4, 5, 6) if len(w) >= n])
+        return out
+
+    tf = [terms(t) for _, t, _ in examples]
+    n = {y: sum(e[2] == y for e in examples) for y in (0, 1)}
+    df_ = {y: Counter(t for c, e in zip(tf, examples) if e[2] == y for t in c) for y in (0, 1)}
+    weight = {}
+    for t in {t for c in tf for t in c}:
+        a, b = df_[1][t], df_[0][t]
+        if a <= toxicity.COMMON * n[1] or b <= toxicity.COMMON * n[0]:
+            gain = toxicity.likelihood_ratio(np.array([a], float), np.array([b], float), n[1], n[0])[0]
+            weight[t] = np.log((1 + n[0] + n[1]) / (1 + a + b)) * (toxicity.LEAST + (1 - toxicity.LEAST) * gain**2 / (gain**2 + toxicity.HALF**2))
+
+    def unit(c):
+        v = {t: (1 + np.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()} if length else {}
+
+    known = [unit(c) for c in tf]
+    queries = [*(t for _, t, _ in rows), "abc nothing else", "NASTY été"]
+    asked = spark.createDataFrame([(i, t, 5) for i, t in enumerate(queries)], "doc_id long, text string, score int")
+    got = {r["doc_id"]: r["v"] for r in asked.select("doc_id", toxicity.verdict(asked, model).alias("v")).collect()}
+    assert len(got) == len(queries)
+    for i, t in enumerate(queries):
+        q = unit(terms(t or ""))
+        cos = [(round(sum(x * e.get(k, 0) for k, x in q.items()), 10), -examples[j][0], j) for j, e in enumerate(known)]
+        best = sorted((c for c in cos if c[0] > 0), reverse=True)[:7]
+        assert np.allclose([c[0] for c in best], got[i]["similarity"]), i
+        assert [-c[1] for c in best] == got[i]["evidence"] or len({c[0] for c in best}) < len(best)
+        vote = sum(c[0] * (1 if examples[c[2]][2] else -1) for c in best) / sum(c[0] for c in best) if best else None
+        want = model.base if vote is None else model.shares[np.searchsorted(model.steps, round(vote, 12))]
+        assert 0 <= got[i]["score"] <= 1 and (abs(got[i]["score"] - want) < 1e-9 or abs(model.steps - vote).min() < 1e-9)
+
+
+@pytest.mark.parametrize("table", ["sf0.1"])
+def test_toxicity_held_out_figures(table):
+    """Recall and precision at 0.7 on labels that were not learned from; figures in the README come from here."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = f"/root/testdata/{table}"
+    texts = dict(zip(*(pq.read_table(f"{folder}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text"))))
+    labels = [(i, y) for i, y in zip(*(pq.read_table(f"{folder}/labels.parquet")[c].to_pylist() for c in ("doc_id", "toxic"))) if i in texts]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    known = sorted(((i, y) for i, y in labels if not held(i)), key=lambda x: zlib.crc32(b"order" + str(x[0]).encode()))
+    few = sorted([x for y in (0, 1) for x in [k for k in known if k[1] == y][: toxicity.EXAMPLES]])
+    model = toxicity.Model([texts[i] or "" for i, _ in few], np.array([y for _, y in few]), np.array([i for i, _ in few]), sum(y for _, y in known) / len(known))
+    asked = [(i, y) for i, y in labels if held(i)]
+    hit = np.array(model.score(pa.array([texts[i] for i, _ in asked], pa.string()))[0]) >= 0.7
+    bad = np.array([y == 1 for _, y in asked])
+    print("recall", (hit & bad).sum() / bad.sum(), "precision", (hit & bad).sum() / hit.sum())
+    assert (hit & bad).sum() / bad.sum() > 0.7 and (hit & bad).sum() / hit.sum() >= 0.95

@@ -64,9 +64,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document number of each word `[^\\x20\\x09-\\x0D]+`, in order."""
-    if not len(data):
+    return word_spans(~WHITE[data], offsets)
+
+
+def word_spans(dark: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document number of each run of true bytes in one document, in order."""
+    if not len(dark):
         return (np.zeros(0, np.int64),) * 3
-    dark = ~WHITE[data]
     full = offsets[:-1] < offsets[1:]
     heads, tails = offsets[:-1][full], offsets[1:][full] - 1
     first, last = dark.copy(), dark.copy()
@@ -75,25 +79,41 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[:-1] &= ~dark[1:]
     last[tails] = dark[tails]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    counts = np.diff(np.searchsorted(start, offsets))
+    return start, end, np.repeat(np.arange(len(counts)), counts)
+
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: a polynomial in a fixed odd base, mixed with the length.
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 200_000) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial in a fixed odd base, mixed with the length."""
+    Prefix sums over about `step` bytes give every word in them; a longer word is added up in pieces.
+    """
     out = np.zeros(len(start), np.uint64)
     if not len(start):
         return out
-    table = powers(MULTIPLIER, int((end - start).max()))
-    for i in range(0, len(start), step):
-        s, e = start[i : i + step], end[i : i + step]
-        size = e - s
-        head = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(head, size)
-        chars = data[np.repeat(s, size) + place].astype(np.uint64)
-        chars += np.uint64(1)
-        chars *= table[place]
-        out[i : i + step] = np.add.reduceat(chars, head) + (size.astype(np.uint64) << np.uint64(48))
-    return mix(out)
+    table, inverse = powers(MULTIPLIER, 2 * step), powers(INVERSE, 2 * step)
+    prefix = np.zeros(2 * step + 1, np.uint64)
+
+    def sums(a: int, b: int) -> np.ndarray:
+        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * table[: b - a], out=prefix[1 : b - a + 1])
+        return prefix
+
+    i = 0
+    while i < len(start):
+        at = int(start[i])
+        j = int(np.searchsorted(end, at + step, "right"))
+        if j > i:
+            s, e = start[i:j] - at, end[i:j] - at
+            p = sums(at, int(end[j - 1]))
+            out[i:j] = (p[e] - p[s]) * inverse[s]
+            i = j
+        else:
+            for k in range(at, int(end[i]), step):
+                stop = min(k + step, int(end[i]))
+                scale = np.uint64(pow(int(MULTIPLIER), k - at, 1 << 64))
+                out[i : i + 1] += sums(k, stop)[stop - k : stop - k + 1] * scale
+            i += 1
+    return mix(out + ((end - start).astype(np.uint64) << np.uint64(48)))
 
 
 def window_hashes(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,38 +1,75 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are lower-cased words and, marked ^, their first 4, 5 and 6 characters, so families of words
-count as well. The vocabulary holds the terms that go with the toxic label by the likelihood-ratio
-test, counted over examples that aren't near copies of earlier ones. An example or a text weighs a term (1 + ln tf) * idf and is scaled to length 1. The index
-keeps, for each term and block of examples, the largest weight, so blocks that can't reach the k-th
-best cosine are never opened, and the k nearest are exact. Their votes, weighted by cosine, go
-through a rising curve fitted on leave-one-out votes and the labels' true shares.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+
+Words are runs of ASCII letters, digits, `_` and non-ASCII characters of the lower-cased text. Terms
+are the words and, told apart from them, their first 4, 5 and 6 bytes, so families of words count as
+well. Every term of the sampled examples is in the vocabulary, but for those in more than `common` of
+the examples of either label, and every sampled example, of either label, is in the index. An example or a text weighs a term
+(1 + ln tf) * idf * telling and is scaled to length 1; `telling` lies between `least` and 1 and grows
+with the likelihood ratio of the term's counts under the two labels, so that what tells the labels
+apart outweighs a text's topic, and texts without it are still compared by all that they share.
+
+The index is a posting list for each term, by blocks of BLOCK examples with the largest weight of the
+term in the block. The sum of these bounds every cosine in a block; the AHEAD blocks of highest bounds
+are opened first, then all that can still reach the k-th best cosine, so the k nearest are exact. Equal
+cosines go by doc_id, then by text. Their votes, weighted by cosine, go through a rising curve fitted
+on leave-one-out votes and the labels' true shares; the neighbours are the evidence.
 
 The model reads at most `examples` labelled texts of each label, those of the smallest hashes of
-doc_id; this is the documented bound of the training sample. Labels of one doc_id that disagree
-count as toxic; null labels don't count. A text without any term of the vocabulary gets the share
-that such texts have in training; null and empty texts are such. Without labelled texts, or with
-those of one label alone, every score is that label's share (0 if there are none).
+(doc_id, text), whatever repeats; this is the documented bound of the training sample. Labels of one
+doc_id that disagree count as toxic; null labels and null doc_ids don't count. A text that shares no
+term with any example gets the share that such texts have in training, or the label's share; null and
+empty texts are such. Repeated rows have one score. Texts of any length are scored whole. Without
+labelled texts, or with those of one label alone, every score is that label's share (0 if there are
+none). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
-EXAMPLES, TERMS, NEAREST, BLOCK = 1500, 384, 15, 64
-CACHED = 200_000
-VERDICT = "score double, evidence array<long>, similarity array<double>"
-
+from .exchange import slices
+from .text import mix, utf8, word_hashes, word_spans
 
-def terms(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in (4, 5, 6) if len(word) >= n)]
+EXAMPLES, NEAREST, BLOCK, AHEAD = 1500, 15, 64, 4
+COMMON, LEAST, HALF = 0.05, 0.02, 18.0
+PREFIXES = (4, 5, 6)
+SLICE = 2_000_000  # bytes of text that a task works on at a time
+VERDICT = "score double, evidence array<long>, similarity array<double>"
+#: Bytes of words: ASCII letters, digits and _, and all of non-ASCII characters.
+IN_WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
+
+
+def word_terms(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of the distinct words, a row of 1 + len(PREFIXES) hashes each (0: none); each word's row and its text."""
+    data, offsets = utf8(pa.compute.utf8_lower(pa.compute.fill_null(column, "")))
+    start, end, of = word_spans(IN_WORD[data], offsets)
+    hashes = word_hashes(data, start, end)
+    _, first, row = np.unique(hashes, return_index=True, return_inverse=True)
+    order = np.argsort(first)  # in the order of the text, as word_hashes takes them
+    first, row = first[order], np.argsort(order)[row]
+    start, end = start[first], end[first]
+    terms = np.zeros((len(first), 1 + len(PREFIXES)), np.uint64)
+    terms[:, 0] = hashes[first]
+    for k, n in enumerate(PREFIXES):
+        long = end - start >= n
+        terms[long, k + 1] = mix(word_hashes(data, start[long], start[long] + n) + np.uint64(n))
+    return terms, row, of
+
+
+def counts(column: pa.Array | pa.ChunkedArray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, term and number of occurrences, by text and term, and the sorted terms (those of the vocabulary if given)."""
+    terms, row, of = word_terms(column)
+    known = np.unique(terms[terms > 0]) if vocabulary is None else vocabulary
+    place = np.searchsorted(known, terms)
+    met = (terms > 0) & (known[np.minimum(place, len(known) - 1)] == terms) if len(known) else np.zeros(terms.shape, bool)
+    pairs = [of[m] * len(known) + place[row[m], k] for k in range(terms.shape[1]) if len(m := np.flatnonzero(met[row, k]))]
+    at, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    text, term = np.divmod(at, max(len(known), 1))
+    return text, term, n, known
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
@@ -45,95 +82,100 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.nda
     return 2 * (part(a, n_a, a / n_a) + part(b, n_b, b / n_b) - part(a, n_a, pooled) - part(b, n_b, pooled))
 
 
-def without_copies(texts: list[str]) -> np.ndarray:
-    """Places of texts that don't share half of their smallest word hashes with an earlier one."""
-    first: dict[int, int] = {}
-    keep = []
-    for i, text in enumerate(texts):
-        marks = sorted({zlib.crc32(w.encode("utf-8", "replace")) for w in WORD.findall(text.lower())})[:16]
-        met = Counter(first[m] for m in marks if m in first)
-        if not marks or 2 * max(met.values(), default=0) < len(marks):
-            keep.append(i)
-            for m in marks:
-                first.setdefault(m, i)
-    return np.array(keep, np.int64)
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .., start[1], ..: size[i] numbers from each."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks of similar ones, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, vectors.argmax(1)))
-        self.labels, self.ids, self.n = labels[order], ids[order], len(order)
-        blocks = -(-max(self.n, 1) // BLOCK)
-        dense = np.zeros((blocks * BLOCK, vectors.shape[1]))
-        dense[: self.n] = vectors[order]
-        self.place = np.empty(self.n, np.int64)
-        self.place[order] = np.arange(self.n)
-        self.postings = [np.ascontiguousarray(b.T) for b in dense.reshape(blocks, BLOCK, -1)]
-        self.most = np.stack([p.max(1) for p in self.postings], 1)
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0, largest first."""
-        bound = weight @ self.most[at]
-        places, scores, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= kth:
-                break
-            found = weight @ self.postings[b][at]
-            hit = np.flatnonzero(found > kth)
-            places, scores = np.append(places, hit + b * BLOCK), np.append(scores, found[hit])
-            if without >= 0:
-                keep = places != without
-                places, scores = places[keep], scores[keep]
-            if len(scores) > k:
-                best = np.lexsort((places, -scores))[:k]
-                places, scores = places[best], scores[best]
-                kth = scores[-1]
-        best = np.lexsort((places, -scores))[:k]
-        return places[best], scores[best]
+    """Posting lists of sparse unit vectors, by term and block of BLOCK vectors, with each block's largest weight."""
+
+    def __init__(self, vector: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, terms: int):
+        """vector, term, weight: the entries, by vector and term; ids: one for each vector, by which equal scores go."""
+        self.ids, n = ids, len(ids)
+        heaviest = np.full(n, -1)
+        order = np.lexsort((-term, weight, vector))
+        heaviest[vector[order]] = term[order]  # the last one of each vector stays
+        kind = np.lexsort((np.arange(n), heaviest))  # vectors of one heaviest term lie together, so that blocks differ
+        self.place = np.empty(n, np.int64)
+        self.place[kind] = np.arange(n)
+        self.vector = kind
+        self.blocks = -(-max(n, 1) // BLOCK)
+        at = self.place[vector]
+        order = np.lexsort((at, term))
+        self.at, self.weight = at[order].astype(np.int32), weight[order]
+        group = term[order] * self.blocks + self.at // BLOCK
+        self.start = np.flatnonzero(np.diff(group, prepend=-1))
+        self.size = np.diff(np.append(self.start, len(group)))
+        self.block = (group[self.start] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(self.start) else np.zeros(0)
+        self.first = np.searchsorted(group[self.start] // self.blocks, np.arange(terms + 1))
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors and cosines of the k nearest with a cosine above 0, largest first, equal ones by id."""
+        length = self.first[term + 1] - self.first[term]
+        entry = ranges(self.first[term], length)
+        own, block = np.repeat(weight, length), self.block[entry]
+        bound = np.bincount(block, own * self.most[entry], self.blocks) * (1 + 1e-9)
+        ahead = np.zeros(self.blocks, bool)
+        ahead[np.argsort(-bound, kind="stable")[:AHEAD]] = True
+        found, scores, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for opened in (lambda: ahead & (bound > 0), lambda: ~ahead & (bound > 0) & (bound >= kth)):
+            pick = np.flatnonzero(opened()[block])
+            if not len(pick):
+                continue
+            some = entry[pick]
+            size = self.size[some]
+            post = ranges(self.start[some], size)
+            score = np.bincount(self.at[post], np.repeat(own[pick], size) * self.weight[post], len(self.vector))
+            hit = np.flatnonzero(score > max(kth - 1e-12, 0))
+            vector = self.vector[hit]
+            found, scores = np.append(found, vector[vector != without]), np.append(scores, score[hit[vector != without]])
+            best = np.lexsort((found, self.ids[found], -scores))[:k]
+            found, scores = found[best], scores[best]
+            kth = scores[-1] if len(scores) == k else 0.0
+        return found, scores
 
 
 class Model:
-    def __init__(self, texts: list[str], toxic: np.ndarray, ids: np.ndarray, share: float, nearest: int = NEAREST):
+    """What the examples teach; its size is bounded by their number and their texts."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray, ids: np.ndarray, share: float, nearest: int = NEAREST,
+                 common: float = COMMON, least: float = LEAST, half: float = HALF):
         """share: of the toxic label among all labelled rows that may be learned from."""
-        self.nearest, self.share, self.vocabulary = nearest, share, {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.seen: dict[tuple, tuple] = {}
-        self.base = share
-        keep = without_copies(texts)  # copies of one text would pass its chance words off as typical
-        texts, toxic, ids = [texts[i] for i in keep], toxic[keep], ids[keep]
+        self.nearest, self.share, self.base, self.terms = nearest, share, share, np.zeros(0, np.uint64)
+        self.toxic, self.ids = toxic, ids
         n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
         if not n.all():
             return
-        df = [Counter(), Counter()]
-        for text, label in zip(texts, toxic):
-            df[label].update({t for w in set(WORD.findall(text.lower())) for t in terms(w)})
-        names = [t for t, c in df[1].items() if c >= 4 and c / n[1] > 2 * df[0][t] / n[0]]
-        a, b = np.array([df[1][t] for t in names], float), np.array([df[0][t] for t in names], float)
-        gain = likelihood_ratio(a, b, n[1], n[0]) if names else np.zeros(0)
-        chosen = [names[i] for i in sorted(np.flatnonzero(gain >= 25), key=lambda i: (-gain[i], names[i]))[:TERMS]]
-        self.vocabulary = {t: i for i, t in enumerate(chosen)}
-        self.idf = np.log((1 + n.sum()) / (1 + np.array([df[0][t] + df[1][t] for t in chosen], float))) if chosen else np.zeros(0)
-        found = [self.vector(t) for t in texts]
-        full = np.array([len(at) > 0 for at, _ in found])
+        text, term, tf, known = counts(pa.array(texts, pa.string()))
+        a, b = (np.bincount(term[toxic[text] == y], minlength=len(known)).astype(float) for y in (1, 0))
+        keep = (a <= common * n[1]) | (b <= common * n[0])
+        gain = likelihood_ratio(a, b, n[1], n[0])
+        telling = least + (1 - least) * gain**2 / (gain**2 + half**2)
+        number = np.cumsum(keep) - 1
+        text, term, tf = text[keep[term]], number[term[keep[term]]], tf[keep[term]]
+        self.terms, self.idf = known[keep], (np.log((1 + n.sum()) / (1 + a + b)) * telling)[keep]
+        weight = self.weigh(text, term, tf, len(texts))
+        self.index = BlockMaxIndex(text, term, weight, ids, len(self.terms))
         class_weight = np.where(toxic == 1, share / n[1], (1 - share) / n[0])
-        blank = ~full
-        self.base = float((class_weight[blank] @ (toxic[blank] == 1) + 1e-3 * share) / (class_weight[blank].sum() + 1e-3))
-        if not full.any():
-            return
-        dense = np.zeros((int(full.sum()), len(chosen)))
-        for row, (at, weight) in zip(dense, (f for f, k in zip(found, full) if k)):
-            row[at] = weight
-        self.index = BlockMaxIndex(dense, toxic[full], ids[full])
-        votes = np.array([self.vote(*self.index.nearest(*f, nearest, self.index.place[i])) for i, f in enumerate(f for f, k in zip(found, full) if k)])
-        self.fit(votes, toxic[full] == 1, class_weight[full])
+        bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+        found = [self.index.nearest(term[p:q], weight[p:q], nearest, i) for i, (p, q) in enumerate(zip(bounds[:-1], bounds[1:]))]
+        alone = np.array([not len(s) for _, s in found])
+        self.base = float((class_weight[alone] @ (toxic[alone] == 1) + 1e-3 * share) / (class_weight[alone].sum() + 1e-3))
+        votes = np.array([self.vote(*f) for f in found])
+        self.fit(votes[~alone], toxic[~alone] == 1, class_weight[~alone])
+
+    def weigh(self, text: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        weight = (1 + np.log(tf)) * self.idf[term]
+        return weight / np.sqrt(np.bincount(text, weight * weight, n))[text]
 
     def fit(self, votes: np.ndarray, hit: np.ndarray, weight: np.ndarray) -> None:
         """A rising step curve from votes to shares, by pooling neighbours that fall; steps lean a little to the middle."""
         at, of = np.unique(votes, return_inverse=True)
-        weight = weight / weight.sum() * len(weight)
-        total, good = np.bincount(of, weight), np.bincount(of, weight * hit)
+        weight = weight / max(weight.sum(), 1e-12) * len(weight)
+        total, good = np.bincount(of, weight, len(at)), np.bincount(of, weight * hit, len(at))
         pools: list[list[float]] = []  # last vote, weight, weight of hits
         for x, w, g in zip(at, total, good):
             pools.append([x, w, g])
@@ -141,45 +183,27 @@ class Model:
                 x, w, g = pools.pop()
                 pools[-1] = [x, pools[-1][1] + w, pools[-1][2] + g]
         self.steps = np.array([x for x, _, _ in pools[:-1]])
-        self.shares = np.array([(g + 0.25) / (w + 0.5) for _, w, g in pools])
-
-    def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
-        return float(scores @ np.where(self.index.labels[places] == 1, 1.0, -1.0) / max(scores.sum(), 1e-9)) if len(scores) else 0.0
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            found = tuple(self.vocabulary[t] for t in terms(word) if t in self.vocabulary)
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
-
-    def count(self, text: str) -> tuple[tuple[int, int], ...]:
-        hits = Counter(t for found in filter(None, map(self.word, WORD.findall(text.lower()))) for t in found)
-        return tuple(sorted(hits.items()))
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return self.weigh(self.count(text))
-
-    def weigh(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([t for t, _ in counts], np.int64)
-        weight = (1 + np.log(np.array([n for _, n in counts], float))) * self.idf[at] if counts else np.zeros(0)
-        return at, weight / np.linalg.norm(weight) if len(weight) else weight
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Probability of the toxic label, doc_ids of the nearest examples, their cosines."""
-        counts = self.count(text) if text and self.vocabulary else ()
-        found = self.seen.get(counts)
-        if found is None:
-            places, scores = self.index.nearest(*self.weigh(counts), self.nearest) if counts else (np.zeros(0, np.int64), np.zeros(0))
-            p = self.shares[np.searchsorted(self.steps, self.vote(places, scores))] if len(places) else self.base
-            found = float(p), self.index.ids[places].tolist() if len(places) else [], scores.tolist()
-            if len(self.seen) >= 20_000:
-                self.seen.clear()
-            self.seen[counts] = found
-        return found
+        self.shares = np.array([(g + 0.25) / (w + 0.5) for _, w, g in pools]) if pools else np.array([self.share])
+
+    def vote(self, vectors: np.ndarray, scores: np.ndarray) -> float:
+        return float(scores @ np.where(self.toxic[vectors] == 1, 1.0, -1.0) / scores.sum()) if len(scores) else 0.0
+
+    def score(self, column: pa.Array) -> tuple[list[float], list[list[int]], list[list[float]]]:
+        """Of each text the probability of the toxic label, doc_ids of the nearest examples, their cosines."""
+        n = len(column)
+        out: tuple[list, list, list] = ([self.base] * n, [[] for _ in range(n)], [[] for _ in range(n)])
+        if not len(self.terms):
+            return out
+        text, term, tf, _ = counts(column, self.terms)
+        weight = self.weigh(text, term, tf, n)
+        bounds = np.searchsorted(text, np.arange(n + 1))
+        for i, (p, q) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if q > p:
+                vectors, scores = self.index.nearest(term[p:q], weight[p:q], self.nearest)
+                if len(scores):
+                    out[0][i] = float(self.shares[np.searchsorted(self.steps, self.vote(vectors, scores))])
+                    out[1][i], out[2][i] = self.ids[vectors].tolist(), scores.tolist()
+        return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, examples: int = EXAMPLES, nearest: int = NEAREST) -> Model:
@@ -187,9 +211,12 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, examples: int =
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learnable).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    few = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(few[0].unionByName(few[1])), "doc_id").collect()  # at most `examples` of each label
+    key = F.xxhash64("doc_id", "text")
+    ranked = texts.select("doc_id", key.alias("h")).join(known, "doc_id").distinct()  # no text is shuffled
+    few = [ranked.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(examples) for y in (0, 1)]
+    chosen = F.broadcast(few[0].unionByName(few[1]))
+    rows = texts.withColumn("h", key).join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).collect()  # at most `examples` of each label
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     total = sum(shares.values())
     return Model([r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], np.int64),
@@ -198,12 +225,15 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, examples: int =
 
 def verdict(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A column of struct(score, evidence, similarity) for a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples` and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples`
 
     @F.arrow_udf(VERDICT)
     def judge(column: pa.Array) -> pa.Array:
-        found = [shared.value.score(t) for t in column.to_pylist()]
-        p, ids, near = zip(*found) if found else ((), (), ())
+        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+        p, ids, near = [], [], []
+        for i, j in slices(np.append(0, np.cumsum(size)), SLICE):
+            for out, more in zip((p, ids, near), shared.value.score(column.slice(i, j - i))):
+                out.extend(more)
         return pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))], ["score", "evidence", "similarity"])
 
     return judge(F.col(text).cast("string"))
