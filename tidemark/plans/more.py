@@ -68,12 +68,6 @@ def _(v):
     return v.posts.select("id", *[F.array_contains(tags, f"#{t}").cast("int").alias(t) for t in ("click", "error")])
 
 
-@query("local_hour_share", "WITH h AS (SELECT hour(ts + to_hours(user_id % 25 - 12)) AS h FROM posts) SELECT h AS local_hour, count(*) AS n, round(count(*) / (SELECT count(*) FROM h), 6) AS share FROM h GROUP BY h")
-def _(v):
-    h = v.posts.select(F.pmod(F.hour("ts") + c("user_id") % 25 - 12, F.lit(24)).cast("long").alias("local_hour"))
-    return h.groupBy("local_hour").agg(one().alias("n")).crossJoin(F.broadcast(h.agg(one().alias("t")))).select("local_hour", "n", R(c("n") / c("t"), 6).alias("share"))
-
-
 @query("topic_keyword_stats", "WITH t AS (SELECT k, plays, k = (SELECT min(k) FROM posts WHERE contains(descr, '#error')) AS m FROM posts) SELECT round(100.0 * count(*) FILTER (WHERE m) / count(*), 4) AS percent, count(*) FILTER (WHERE m) AS n, round(avg(plays) FILTER (WHERE m), 4) AS mean FROM t")
 def _(v):
     first = v.posts.where(c("descr").contains("#error")).agg(F.min("k").alias("first"))
@@ -82,14 +76,6 @@ def _(v):
     return t.agg(R(100.0 * F.count_if(m) / one()).alias("percent"), F.count_if(m).alias("n"), R(F.avg(F.when(m, c("plays")))).alias("mean"))
 
 
-@query("cached_results_merge", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'cached' ELSE 'computed' END AS origin FROM documents")
-def _(v):
-    cached = v.table("labels").select("doc_id").distinct()
-    docs = v.table("documents").select("doc_id")
-    misses = docs.join(cached, "doc_id", "left_anti").select("doc_id", F.lit("computed").alias("origin"))
-    return docs.join(cached, "doc_id", "left_semi").select("doc_id", F.lit("cached").alias("origin")).unionByName(misses)
-
-
 def vectors(v):
     from pyspark.ml.functions import array_to_vector
 
@@ -117,39 +103,3 @@ def _(v):
     size = made.groupBy("prediction").agg(one().alias("n"))
     rank = size.select("prediction", (F.row_number().over(Window.orderBy(F.desc("n"), "prediction")) - 1).alias("topic"))
     return made.join(F.broadcast(rank), "prediction").select("vec_id", "topic")
-
-
-@query("train_logistic")
-def _(v):
-    """Class-balanced logistic regression of topic 0 against the rest."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    e = vectors(v).withColumn("y", (c("topic") == 0).cast("double"))
-    share = e.agg(F.avg("y").alias("p"))
-    e = e.crossJoin(F.broadcast(share)).withColumn("w", F.when(c("y") == 1, 0.5 / c("p")).otherwise(0.5 / (1 - c("p"))))
-    model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.01, maxIter=50).fit(e)
-    return model.transform(e).select("vec_id", "y", vector_to_array("probability")[1].alias("probability"))
-
-
-def trained(v, learner):
-    """Probabilities of topic 0 by a tree learner."""
-    from pyspark.ml.functions import vector_to_array
-
-    e = vectors(v).withColumn("y", (c("topic") == 0).cast("double"))
-    return learner.fit(e).transform(e).select("vec_id", "y", vector_to_array("probability")[1].alias("probability"))
-
-
-@query("train_forest")
-def _(v):
-    """A random forest, the nearest that MLlib has to extremely random trees."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    return trained(v, RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=6, seed=7))
-
-
-@query("train_boosting")
-def _(v):
-    from pyspark.ml.classification import GBTClassifier
-
-    return trained(v, GBTClassifier(labelCol="y", maxIter=10, maxDepth=4, seed=7))

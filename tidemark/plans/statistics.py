@@ -173,10 +173,10 @@ def _(v):
     return v.posts.agg(R(F.corr("plays", "value")).alias("r"))
 
 
-@query("topic_centroids", "SELECT label, i, round(avg(x), 4) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2")
+@query("topic_centroids", "SELECT label, i, round(avg(x), 4) + 0.0 AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2")
 def _(v):
     flat = v.table("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return flat.groupBy("label", (c("i") + 1).cast("long").alias("i")).agg(R(F.avg(c("x").cast("double"))).alias("mean"))
+    return flat.groupBy("label", (c("i") + 1).cast("long").alias("i")).agg((R(F.avg(c("x").cast("double"))) + 0.0).alias("mean"))
 
 
 @query("cosine_nearest_topic", """WITH t AS (SELECT vec_id AS topic, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 10), s AS (SELECT v.vec_id, t.topic, list_dot_product(CAST(v.embedding AS DOUBLE[]), t.e) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(t.e, t.e)) AS c FROM embeddings v, t)
