@@ -9,8 +9,8 @@ GONE = "item doesn't exist"
 
 
 def success(status: Column, post_id: Column) -> Column:
-    """Kleene OR: null where neither side decides."""
-    return (status != GONE) | F.when(post_id.isNotNull(), F.lit(True)).otherwise(F.lit(None).cast("boolean"))
+    """Kleene OR: null for an answer with neither status nor id."""
+    return (status != GONE) | post_id.isNotNull()
 
 
 def maybe_existed(code: Column, status: Column, post_id: Column) -> Column:
@@ -21,8 +21,12 @@ def maybe_existed(code: Column, status: Column, post_id: Column) -> Column:
     return ~(none | F.coalesce(missing, F.lit(False)) | F.coalesce(invalid, F.lit(False)))
 
 
+#: What counts as a hashtag in ASCII and in Unicode.
+ASCII_TAG, UNICODE_TAG = "#[a-zA-Z0-9_]+", r"(?U)#\w+"
+
+
 def hashtags(text: Column, unicode: bool = False) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)#\w+" if unicode else "#[a-zA-Z0-9_]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(UNICODE_TAG if unicode else ASCII_TAG), F.lit(0))
 
 
 def zero_if_missing(c: Column) -> Column:

@@ -47,9 +47,10 @@ def with_share(counts: DataFrame, within: list[str]) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in a stated order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The row of each key with the least values of `order`; one row a key and task is shuffled."""
+    rest = [x for x in df.columns if x not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return first.select(*[x if x in keys else F.col("_row")[x].alias(x) for x in df.columns])
 
 
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The shares of hits of the curve.
+SHARES = (0.9, 0.95, 0.99, 0.995, 0.999, 1.0)
+
 
 def N():
     return F.count(F.lit(1))
-SHARES = (0.9, 0.95, 0.99, 0.995, 0.999, 1.0)
 
 
 def split_counts(df: DataFrame, tags: Column, inside: Column) -> DataFrame:
@@ -20,16 +22,33 @@ def split_counts(df: DataFrame, tags: Column, inside: Column) -> DataFrame:
 
 def blocks(df: DataFrame, member: str, author: str) -> DataFrame:
     """Members grouped by the identical set of authors: authors, members."""
-    sets = df.groupBy(member).agg(F.array_sort(F.collect_set(author)).alias("s"))
-    return sets.groupBy(F.array_join("s", ",").alias("authors")).agg(N().alias("members"))
+    sets = df.groupBy(member).agg(F.array_join(F.array_sort(F.collect_set(author)), ",").alias("s"))
+    keyed = sets.select(F.md5("s").alias("k"), "s")  # sets meet by 128 bits; one text a set and task is shuffled
+    return keyed.groupBy("k").agg(F.first("s").alias("authors"), N().alias("members")).drop("k")
+
 
+def shared_members(edges: DataFrame, group: str, member: str, least_size: int, least_shared: int, hot: int = 1000) -> DataFrame:
+    """Pairs of groups with at least least_shared members in common, among groups of least_size or more.
 
-def shared_members(edges: DataFrame, group: str, member: str, least_size: int, least_shared: int) -> DataFrame:
-    """Pairs of groups with at least least_shared members in common, among groups of least_size or more."""
+    A member of over `hot` groups isn't paired by itself: it counts in pairs that have another one or
+    least_shared hot ones in common, and only such can be in the result. There are few hot members
+    (edges / hot at most), so a group keeps its own as an array.
+    """
     large = edges.groupBy(group).agg(N().alias("n")).where(F.col("n") >= least_size)
-    kept = edges.join(large, group, "left_semi")
-    a, b = kept.select(F.col(group).alias("a"), member), kept.select(F.col(group).alias("b"), member)
-    return a.join(b, member).where("a < b").groupBy("a", "b").agg(N().alias("shared")).where(F.col("shared") >= least_shared)
+    kept = edges.join(large, group, "left_semi").select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
+    busy = kept.groupBy("m").agg(N().alias("n")).where(F.col("n") > hot).select("m")
+    own = kept.join(busy, "m", "left_semi").groupBy("g").agg(F.array_sort(F.collect_set("m")).alias("h"))
+    some = F.array(F.array().cast("array<bigint>"))
+    for _ in range(least_shared):  # all sets of least_shared hot members of a group
+        some = F.flatten(F.transform(some, lambda s: F.transform(F.filter("h", lambda x: (F.size(s) == 0) | (x > F.try_element_at(s, F.lit(-1)))), lambda x: F.array_append(s, x))))
+    by_few = kept.join(busy, "m", "left_anti").select("g", "m")
+    by_hot = own.select("g", F.explode(some).alias("m"))
+    pair = lambda d: d.select(F.col("g").alias("a"), "m").join(d.select(F.col("g").alias("b"), "m"), "m").where("a < b")
+    found = pair(by_few).groupBy("a", "b").agg(N().alias("n")).unionByName(pair(by_hot).select("a", "b", F.lit(0).cast("long").alias("n")).distinct())
+    sums = found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    with_hot = sums.join(own.toDF("a", "x"), "a", "left").join(own.toDF("b", "y"), "b", "left")
+    shared = F.col("n") + F.coalesce(F.size(F.array_intersect("x", "y")), F.lit(0))
+    return with_hot.select("a", "b", F.when(F.col("x").isNull() | F.col("y").isNull(), F.col("n")).otherwise(shared).alias("shared")).where(F.col("shared") >= least_shared)
 
 
 def entropy(df: DataFrame, x: str) -> DataFrame:

@@ -127,7 +127,7 @@ def prevalence_interval(groups: DataFrame, key: str, precision: float, recall: f
                 q = r.beta(recall * tested, (1 - recall) * tested, replicates)
                 made = r.binomial(n, k / n, replicates) * p / q / n * 100
                 low, high = np.percentile(made, [(1 - level) / 2 * 100, (1 + level) / 2 * 100])
-                out.append((g, prevalence(k, n, precision, recall), max(0.0, low), min(100.0, high)))
+                out.append((g, prevalence(k, n, precision, recall), *np.clip([low, high], 0.0, 100.0)))
             yield pd.DataFrame(out, columns=[key, "point", "lower", "upper"])
 
     return groups.mapInPandas(draw, f"{key} string, point double, lower double, upper double")

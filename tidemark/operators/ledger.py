@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 
-MAX_SUFFIXES = 1 << 22  # a suffix has 22 bits, so a dictionary can't be larger
+def milliseconds(starts: DataFrame, start: str, n: int) -> DataFrame:
+    """ms: n milliseconds from each start (since the epoch) on."""
+    return starts.select(F.explode(F.sequence(F.col(start), F.col(start) + n - 1)).alias("ms"))
 
 
 def candidates(milliseconds: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """ms (since the epoch) x suffix -> id; the dictionary is broadcast, it has MAX_SUFFIXES rows at most."""
+    """ms (since the epoch) x suffix -> id; the dictionary is cut to distinct numbers of 22 bits, so what is broadcast is bounded."""
     sec, ms = F.floor(F.col("ms") / 1000), F.col("ms") % 1000
-    both = milliseconds.crossJoin(F.broadcast(dictionary.select("suffix")))
+    few = dictionary.select(ids.suffix(F.col("suffix")).alias("suffix")).distinct()
+    both = milliseconds.crossJoin(F.broadcast(few))
     return both.select((ids.compose(sec, ms, F.lit(0), F.lit(0)) + F.col("suffix")).alias("id"), "ms", "suffix")
 
 

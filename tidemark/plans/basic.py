@@ -63,7 +63,7 @@ def _(v):
     return v.posts.select("id", F.coalesce("status_msg", F.lit("success")).alias("status"))
 
 
-@query("success_flag", "SELECT event_id, (status_msg <> 'item doesn''t exist' OR CASE WHEN status_msg IS NULL THEN TRUE END) AS success FROM posts WHERE status_msg IS NULL OR status_msg <> 'item doesn''t exist'")
+@query("success_flag", "SELECT event_id, (status_msg <> 'item doesn''t exist' OR CASE WHEN status_msg IS NULL THEN id END IS NOT NULL) AS success FROM posts")
 def _(v):
     return v.posts.select("event_id", rules.success(c("status_msg"), F.when(c("status_msg").isNull(), c("id"))).alias("success")).where("success is not null")
 

@@ -65,17 +65,18 @@ def _(v):
     return v.table("events").select("event_id").join(v.table("labels").select(c("doc_id").alias("event_id")), "event_id", "left_anti")
 
 
-@query("join_cross_candidates", "SELECT s.create_s * 4294967296 + d.suffix AS id FROM (SELECT DISTINCT create_s FROM posts WHERE event_id < 20) s, (SELECT DISTINCT id & 4194303 AS suffix FROM posts WHERE event_id < 30) d")
+@query("join_cross_candidates", "SELECT s.create_s * 4294967296 + d.suffix AS id FROM (SELECT DISTINCT create_s // 86400 * 86400 AS create_s FROM posts) s, (SELECT DISTINCT id & 4194303 AS suffix FROM posts) d")
 def _(v):
-    seconds = v.posts.where("event_id < 20").select("create_s").distinct()
-    dictionary = v.posts.where("event_id < 30").select(ids.suffix(c("id")).alias("suffix")).distinct()
-    return ledger.candidates(seconds.select((c("create_s") * 1000).alias("ms")), dictionary).select("id")
+    """The first millisecond of every day with posts, for the whole dictionary."""
+    days = v.posts.select((F.floor(c("create_s") / 86400) * 86400000).alias("ms")).distinct()
+    return ledger.candidates(days, v.posts.select(ids.suffix(c("id")).alias("suffix"))).select("id")
 
 
-@query("ledger_candidates", "SELECT (1700000000 + m // 1000) * 4294967296 + (m % 1000) * 4194304 + suffix AS id FROM (SELECT unnest(range(0, 2000, 100)) AS m), (SELECT DISTINCT id & 4194303 AS suffix FROM posts WHERE event_id < 200)")
+@query("ledger_candidates", "SELECT (m // 1000) * 4294967296 + (m % 1000) * 4194304 + suffix AS id FROM (SELECT unnest(range(s * 1000, s * 1000 + 20)) AS m FROM (SELECT min(create_s) AS s FROM posts)), (SELECT DISTINCT id & 4194303 AS suffix FROM posts)")
 def _(v):
-    dictionary = v.posts.where("event_id < 200").select(ids.suffix(c("id")).alias("suffix")).distinct()
-    return ledger.candidates(v.spark.range(1700000000000, 1700000002000, 100).toDF("ms"), dictionary).select("id")
+    """20 ms from the first post's second on, at 1 ms each, for the whole dictionary."""
+    start = v.posts.agg((F.min("create_s") * 1000).alias("s"))
+    return ledger.candidates(ledger.milliseconds(start, "s", 20), v.posts.select(ids.suffix(c("id")).alias("suffix"))).select("id")
 
 
 @query("ledger_schedule", """SELECT d.day + s AS at, 'hour' AS slice FROM (SELECT min(create_s) // 86400 * 86400 AS day FROM posts) d, (SELECT unnest(range(68400, 72000)) AS s)
@@ -89,9 +90,9 @@ def _(v):
     return ledger.load(v.posts.select("id", F.when(c("status_msg").isNull(), c("id")).alias("found"), "status_code"))
 
 
-@query("ledger_resume", "SELECT event_id AS args, k % 3 > 0 AS completed FROM posts WHERE event_id < 500 UNION ALL SELECT o_orderkey, FALSE FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events WHERE event_id < 500)")
+@query("ledger_resume", "SELECT event_id AS args, k % 3 > 0 AS completed FROM posts UNION ALL SELECT DISTINCT o_orderkey, FALSE FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events)")
 def _(v):
-    done = v.posts.where("event_id < 500").select(c("event_id").alias("args"), (c("k") % 3 > 0).alias("completed"))
+    done = v.posts.select(c("event_id").alias("args"), (c("k") % 3 > 0).alias("completed"))
     return ledger.resume(done, v.table("orders").select(c("o_orderkey").alias("args")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import counts, stats
+from ..operators import counts, models, stats
 from .registry import query
 
 c = F.col
@@ -16,6 +16,10 @@ def one():
     return F.count(F.lit(1))
 
 
+CENTROIDS = """WITH m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
+ t AS (SELECT label AS topic, list(x ORDER BY i) AS e FROM m GROUP BY label)"""
+
+
 @query("overlap_jaccard", """WITH s AS (SELECT DISTINCT loc, k FROM posts), n AS (SELECT loc, count(*) AS n FROM s GROUP BY loc), p AS (SELECT a.loc AS a, b.loc AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.loc < b.loc GROUP BY 1, 2)
  SELECT a, b, round(shared / (x.n + y.n - shared), 4) AS jaccard FROM p JOIN n x ON a = x.loc JOIN n y ON b = y.loc""")
 def _(v):
@@ -35,12 +39,12 @@ def _(v):
     p = n.join(n.groupBy("loc").agg(F.sum("n").alias("t")), "loc").select("loc", "k", (c("n") / c("t")).alias("p"))
     names = p.select("loc").distinct()
     pairs = names.select(c("loc").alias("a")).join(F.broadcast(names.select(c("loc").alias("b"))), c("a") < c("b"))  # countries only
-    left = pairs.join(p.select(c("loc").alias("a"), "k", "p"), "a")
-    right = pairs.join(p.select(c("loc").alias("b"), "k", c("p").alias("q")), "b")
-    both = left.join(right, ["a", "b", "k"], "full").fillna(0.0, ["p", "q"])
+    both = p.select(c("loc").alias("a"), "k", "p").join(p.select(c("loc").alias("b"), "k", c("p").alias("q")), "k").where("a < b")
     m = (c("p") + c("q")) / 2
-    part = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
-    return both.groupBy("a", "b").agg(R(1 - F.sqrt(F.greatest(F.sum(part(c("p")) + part(c("q"))) / 2, F.lit(0.0)))).alias("overlap"))
+    shared = both.groupBy("a", "b").agg(F.sum(c("p") * F.ln(c("p") / m) + c("q") * F.ln(c("q") / m)).alias("s"), F.sum(c("p") + c("q")).alias("mass"))
+    apart = (2 - F.coalesce("mass", F.lit(0.0))) * F.ln(F.lit(2.0))  # what only one of two has adds its share times ln 2
+    divergence = F.greatest((F.coalesce("s", F.lit(0.0)) + apart) / 2, F.lit(0.0))
+    return pairs.join(shared, ["a", "b"], "left").select("a", "b", R(1 - F.sqrt(divergence)).alias("overlap"))
 
 
 @query("error_category_share", "SELECT m AS message, count(*) FILTER (WHERE contains(status_msg, m)) AS n, round(count(*) FILTER (WHERE contains(status_msg, m)) * 100.0 / count(*), 4) AS percent FROM posts, (SELECT unnest(['status', 'item', 'self']) AS m) GROUP BY m")
@@ -179,12 +183,13 @@ def _(v):
     return flat.groupBy("label", (c("i") + 1).cast("long").alias("i")).agg((R(F.avg(c("x").cast("double"))) + 0.0).alias("mean"))
 
 
-@query("cosine_nearest_topic", """WITH t AS (SELECT vec_id AS topic, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 10), s AS (SELECT v.vec_id, t.topic, list_dot_product(CAST(v.embedding AS DOUBLE[]), t.e) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(t.e, t.e)) AS c FROM embeddings v, t)
+@query("cosine_nearest_topic", CENTROIDS + """, s AS (SELECT v.vec_id, t.topic, list_dot_product(CAST(v.embedding AS DOUBLE[]), t.e) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(t.e, t.e)) AS c FROM embeddings v, t)
  SELECT vec_id, topic FROM (SELECT vec_id, topic, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 8) DESC, topic) AS rn FROM s) WHERE rn = 1""")
 def _(v):
+    """Of all topics the one whose mean is nearest."""
     e = v.table("embeddings")
-    t = e.where("vec_id < 10").select(c("vec_id").alias("topic"), c("embedding").alias("e"))
-    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(t)).select("vec_id", "topic", F.round(rules.cosine(c("embedding"), c("e")), 8).alias("s"))
+    t = models.centroids(e, "label", "embedding").toDF("topic", "e")
+    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(t)).select("vec_id", "topic", F.round(rules.cosine(c("embedding"), c("e")), 8).alias("s"))  # a row a topic
     return s.groupBy("vec_id").agg(F.max_by("topic", F.struct("s", -c("topic"))).alias("topic"))
 
 
@@ -202,13 +207,14 @@ def _(v):
     return s.withColumn("rn", rn).where("rn <= 10").drop("rn")
 
 
-@query("zero_shot_scores", """WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 10), s AS (SELECT v.vec_id, p.vec_id AS prompt, exp(5 * list_dot_product(CAST(v.embedding AS DOUBLE[]), p.e)) AS x FROM embeddings v, p)
- SELECT vec_id, round(avg(CASE WHEN prompt < 5 THEN x END) / (avg(CASE WHEN prompt < 5 THEN x END) + avg(CASE WHEN prompt >= 5 THEN x END)), 4) AS score FROM s GROUP BY vec_id""")
+@query("zero_shot_scores", CENTROIDS + """, s AS (SELECT v.vec_id, t.topic, exp(5 * list_dot_product(CAST(v.embedding AS DOUBLE[]), t.e)) AS x FROM embeddings v, t)
+ SELECT vec_id, round(avg(CASE WHEN topic < 5 THEN x END) / (avg(CASE WHEN topic < 5 THEN x END) + avg(CASE WHEN topic >= 5 THEN x END)), 4) AS score FROM s GROUP BY vec_id""")
 def _(v):
+    """Prompts are the topics' mean vectors, those of topics 0 to 4 positive."""
     e = v.table("embeddings")
-    p = e.where("vec_id < 10").select(c("vec_id").alias("prompt"), c("embedding").alias("e"))
-    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(p)).select("vec_id", "prompt", F.exp(5 * rules.dot(c("embedding"), c("e"))).alias("x"))
-    pos, neg = F.avg(F.when(c("prompt") < 5, c("x"))), F.avg(F.when(c("prompt") >= 5, c("x")))
+    p = models.centroids(e, "label", "embedding").toDF("topic", "e")
+    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(p)).select("vec_id", "topic", F.exp(5 * rules.dot(c("embedding"), c("e"))).alias("x"))
+    pos, neg = F.avg(F.when(c("topic") < 5, c("x"))), F.avg(F.when(c("topic") >= 5, c("x")))
     return s.groupBy("vec_id").agg(R(pos / (pos + neg)).alias("score"))
 
 

@@ -15,7 +15,8 @@ def ship(spark: SparkSession) -> SparkSession:
     """Makes this package importable in the Python workers, and sets what the operators rely on.
 
     The package goes to the executors through Spark's own file distribution, once per application.
-    A checkpoint folder is set only where neither the session nor the cluster names one.
+    A checkpoint folder is set only where the session has none: the one that spark.checkpoint.dir
+    names, else, on a local master alone, a temporary one.
     """
     sc = spark.sparkContext
     if not getattr(sc, "_tidemark_shipped", False):
@@ -28,6 +29,8 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._tidemark_shipped = True
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
