@@ -23,5 +23,6 @@ def test_levels_give_counts_and_masses_back():
     counts = np.arange(1, 2000)
     back = lm.bigram_count(np.floor(np.log2(counts)).astype(np.int64) + 1) + lm.LESS
     assert back[0] == 1 and (abs(np.log2(back / counts)) < 0.6).all()
-    mass = np.array([1 - lm.LESS, 1, 2.3, 100, 1e6])
-    assert (lm.context_mass(np.ceil(2 * np.log2(mass)) + 3) >= mass - 1e-9).all() and lm.context_mass(np.array([1]))[0] == 0.5
+    mass = np.array([1 - lm.LESS, 2 * (1 - lm.LESS), 1, 2.3, 100, 1e6])
+    level = lm.context_level(mass)
+    assert (lm.context_mass(level) >= mass * (1 - 1e-6)).all() and (lm.context_mass(level) < 1.5 * mass).all() and level[0] == 0

@@ -18,6 +18,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import trim
+
 ASK = "_b int, _k int, n int, keys binary, vals binary"
 ASK_TYPE = pa.schema([("_b", pa.int32()), ("_k", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 ANSWER = "_b int, _k int, reply binary"
@@ -46,13 +48,13 @@ def unpack(packed: bytes, n: int) -> np.ndarray:
 class Batches:
     """Documents as (doc_id, text, _b): batches of about batch_mb MB with consecutive doc_ids.
 
-    Rows of equal doc_id are in one batch; a null doc_id counts as the smallest. frame is dealt by
-    _b, so every grouping by it reuses one shuffle of the texts.
+    Rows of equal doc_id are in one batch; a null doc_id counts as the smallest. The rows are shuffled
+    once, as compressed runs of one batch each, and every grouping by _b reuses that shuffle.
     """
 
     def __init__(self, docs: DataFrame, batch_mb: float = 8, **more: Column):
-        """more: further columns of the frame."""
-        rows = docs.select(
+        """more: further columns of the rows."""
+        self.rows = rows = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
             *[c.alias(name) for name, c in more.items()])
         size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least")).first()
@@ -64,13 +66,35 @@ class Batches:
             cuts = rows.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * self.n)).alias("c")).first()["c"] or []
         edges = np.array(sorted({c for c in cuts if c > size["least"]}), np.int64)  # so no batch is empty
 
-        @F.arrow_udf("int")
-        def place(ids: pa.Array) -> pa.Array:
-            return pa.array(np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right").astype(np.int32))
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                b = np.searchsorted(edges, rows["doc_id"].fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
+                order = np.argsort(b, kind="stable")
+                heads = np.append(np.flatnonzero(np.diff(b[order], prepend=-1)), len(b))
+                runs = [(int(b[order[i]]), zipped(rows.take(pa.array(order[i:j])))) for i, j in zip(heads[:-1], heads[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in runs], pa.int32()), pa.array([z for _, z in runs], pa.binary())], ["_b", "rows"])
+            trim()
 
         self.n = len(edges) + 1
-        batch = place("doc_id") if len(edges) else F.lit(0)
-        self.frame = rows.withColumn("_b", batch).repartition(max(self.n, 1) if self.n > 1 else 1, "_b")
+        self._dealt = rows.mapInArrow(deal, "_b int, rows binary").repartition(self.n, "_b")
+
+    def each(self, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        """What `work` makes of each batch's rows."""
+        def run(table: pa.Table) -> pa.Table:
+            out = work(unzipped(table))
+            trim()
+            return out
+
+        return self._dealt.groupBy("_b").applyInArrow(run, schema)
+
+    def each_with(self, other: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """What `work` makes of each batch's rows and the other rows of its _b."""
+        def run(table: pa.Table, right: pa.Table) -> pa.Table:
+            out = work(unzipped(table), right)
+            trim()
+            return out
+
+        return self._dealt.groupBy("_b").cogroup(other.groupBy("_b")).applyInArrow(run, schema)
 
     def buckets(self, keys_per_byte: float, most: int = 1_500_000) -> int:
         """A power of two of buckets so that each gets about `most` keys."""
@@ -78,6 +102,19 @@ class Batches:
         return 1 << max(0, int(np.ceil(np.log2(max(need, min(self.n, 16))))))
 
 
+def zipped(rows: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def unzipped(table: pa.Table) -> pa.Table:
+    """The rows of a batch with its number _b; the order of its runs is any."""
+    rows = pa.concat_tables([pa.ipc.open_stream(z.as_buffer()).read_all() for z in table["rows"]])
+    return rows.append_column("_b", pa.array(np.full(len(rows), table["_b"][0].as_py(), np.int32)))
+
+
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted keys; a bucket holds the keys that agree in their high bits."""
     if buckets == 1:
@@ -86,10 +123,10 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def questions(batch: int, keys: np.ndarray, buckets: int, values: np.ndarray | None = None) -> pa.Table:
-    """One row for each bucket that gets some of the batch's sorted distinct keys, with a value of each."""
+def questions(batch: int, keys: np.ndarray, buckets: int, values: np.ndarray | None = None, every: bool = False) -> pa.Table:
+    """One row for each bucket that gets some of the batch's sorted distinct keys (or for every one), with a value of each."""
     bounds, rows = bucket_bounds(keys, buckets), []
-    for k in np.flatnonzero(np.diff(bounds)):
+    for k in range(buckets) if every else np.flatnonzero(np.diff(bounds)):
         a, b = bounds[k], bounds[k + 1]
         rows.append((batch, int(k), int(b - a), pack(keys[a:b]), values[a:b].tobytes() if values is not None else None))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, ASK_TYPE.types)], schema=ASK_TYPE)
@@ -102,7 +139,7 @@ def ask(batches: Batches, make: Callable[[pa.Table], tuple[np.ndarray, np.ndarra
         keys, values = make(table)
         return questions(table["_b"][0].as_py(), keys, buckets, values)
 
-    return batches.frame.groupBy("_b").applyInArrow(send, ASK)
+    return batches.each(send, ASK)
 
 
 class Asked:
@@ -127,10 +164,10 @@ class Asked:
         group[order] = np.cumsum(new) - 1
         return order, np.flatnonzero(new), group
 
-    def answer(self, replies: np.ndarray, bits: bool = False) -> pa.Table:
-        """A reply for each asked key, cut by batch."""
+    def answer(self, replies: np.ndarray, bits: bool = False, head: bytes = b"") -> pa.Table:
+        """A reply for each asked key, cut by batch; head: what every batch hears first."""
         ends = np.cumsum(self.size)
-        parts = [(np.packbits(p) if bits else p).tobytes() for p in np.split(replies, ends[:-1])]
+        parts = [head + (np.packbits(p) if bits else p).tobytes() for p in np.split(replies, ends[:-1])]
         return pa.table([pa.array(self.batch), pa.array(np.full(len(parts), self.bucket, np.int32)), pa.array(parts, pa.binary())], schema=ANSWER_TYPE)
 
 
@@ -138,13 +175,13 @@ def answers(asked: DataFrame, reply: Callable[[pa.Table], pa.Table]) -> DataFram
     return asked.groupBy("_k").applyInArrow(reply, ANSWER)
 
 
-def heard(table: pa.Table, keys: np.ndarray, buckets: int, dtype: np.dtype | str = np.uint8, bits: bool = False) -> np.ndarray:
-    """The replies to a batch's sorted distinct keys, put together again."""
+def heard(table: pa.Table, keys: np.ndarray, buckets: int, dtype: np.dtype | str = np.uint8, bits: bool = False, skip: int = 0) -> np.ndarray:
+    """The replies to a batch's sorted distinct keys, put together again, without `skip` bytes at the head of each."""
     bounds = bucket_bounds(keys, buckets)
     got = dict(zip(table["_k"].to_pylist(), table["reply"].to_pylist()))
     parts: list[np.ndarray] = []
     for k in np.flatnonzero(np.diff(bounds)):
-        x = np.frombuffer(got[int(k)], np.uint8 if bits else dtype)
+        x = np.frombuffer(got[int(k)], np.uint8 if bits else dtype, offset=skip)
         parts.append(np.unpackbits(x, count=bounds[k + 1] - bounds[k]).astype(bool) if bits else x)
     return np.concatenate(parts) if parts else np.zeros(0, bool if bits else dtype)
 
@@ -157,12 +194,7 @@ def ordered(table: pa.Table) -> pa.Table:
 
 def finish(batches: Batches, replies: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """work: a batch's rows and the replies to it -> result rows."""
-    right = replies.groupBy("_b")
-
-    def run(left: pa.Table, answers: pa.Table) -> pa.Table:
-        return work(left, answers)
-
-    return batches.frame.groupBy("_b").cogroup(right).applyInArrow(run, schema)
+    return batches.each_with(replies, work, schema)
 
 
 def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -126,8 +126,13 @@ def fingerprints(docs: DataFrame, batch_mb: float = 8) -> DataFrame:
     """
     batches = ex.Batches(docs, batch_mb)
     n = batches.n
-    first = batches.frame.groupBy("_b").agg(F.min(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("first"))
-    after = first.select(((F.col("_b") + (n - 1)) % n).cast("int").alias("_b"), F.col("first.text").alias("text"))
+
+    def head(table: pa.Table) -> pa.Table:
+        """A batch's first text, for the batch before it."""
+        text = ex.ordered(table)["text"][0].as_py() or ""
+        return pa.table([pa.array([(table["_b"][0].as_py() + n - 1) % n], pa.int32()), pa.array([text], pa.string())], names=["_b", "text"])
+
+    after = batches.each(head, "_b int, text string")
 
     def work(table: pa.Table, after: pa.Table) -> pa.Table:
         table = ex.ordered(table)

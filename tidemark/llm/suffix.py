@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .text import INVERSE, MULTIPLIER, mix, powers, utf8
+from .text import INVERSE, MULTIPLIER, mix, powers, trim, utf8
 
 LENGTH, ANCHOR = 200, 64
 COPIED, BLOCK = 32_000_000, 1_000_000  # bytes that one direct sort copies, suffixes compared at a time
@@ -331,9 +331,14 @@ def _plan(docs: DataFrame, length: int, batch_mb: float, more: dict[str, Column]
             pa.array(code[keys] == SETTLED_SEND), pa.array([raw[a : a + k + length - 1] for a, k in zip(first.tolist(), count.tolist())], pa.binary())],
             schema=SENT_TYPE)
 
-    judged = ex.answers(batches.frame.groupBy("_b").applyInArrow(send, ex.ASK), _judge)
+    judged = ex.answers(batches.each(send, ex.ASK), _judge)
     sent = ex.finish(batches, judged, ship, SENT)
-    compared = sent.groupBy("_k").applyInArrow(lambda t: _compare(t, length), ex.ANSWER)
+    def compare(table: pa.Table) -> pa.Table:
+        out = _compare(table, length)
+        trim()
+        return out
+
+    compared = sent.groupBy("_k").applyInArrow(compare, ex.ANSWER)
     return batches, judged.unionByName(compared), buckets
 
 
@@ -371,7 +376,7 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, batch_mb: float = 4) -> D
     """
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
     batches, replies, buckets = _plan(docs, length, batch_mb, {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(names)})
-    kind = batches.frame.drop("_b").schema
+    kind = batches.rows.schema
 
     def left(data: np.ndarray, gone: np.ndarray) -> str:
         head = np.flatnonzero((data & 0xC0) != 0x80)  # a character goes only if all of its bytes go
