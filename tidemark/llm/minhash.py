@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import slices
-from .text import LOWER, mix, utf8, window_hashes, word_hashes, words
+from .text import LOWER, mix, trim, utf8, window_hashes, word_hashes, words
 
 WIDTH, THRESHOLD = 5, 85  # op7's contract; callers without one pass their own threshold
 MISSED, UNLIKE = 1e-5, 1e-4  # of pairs at the threshold: share that no band finds, and that the signatures reject
@@ -118,7 +118,7 @@ def minima(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
 def pack_bits(least: np.ndarray) -> np.ndarray:
     """The low BITS bits of each minimum, mixed first, packed into longs."""
     low = mix(least[:, :PACKED]) & np.uint64((1 << BITS) - 1)
-    low = low.reshape(len(least), -1, PER_LONG) << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS))
+    low = low.reshape(len(least), PACKED // PER_LONG, PER_LONG) << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS))
     return np.bitwise_or.reduce(low, axis=2)
 
 
@@ -149,6 +149,7 @@ def features(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["text_key"], pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists(pack_bits(least)), lists(key)],
                     ["doc_id", "text_key", "n_shingles", "f1", "f2", "signature", "bands"])
+        trim()
 
     return _rows(docs).mapInArrow(run, FEATURES)
 
@@ -206,6 +207,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
                 f = set_hashes(hashes, bounds, first)
                 sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(f.view(np.int64)), sets], ["id", "f", "s"])
+        trim()
 
     ids = bounded(needed.select(F.col("rep.id").alias("doc_id")).distinct())
     found = _rows(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, f long, s array<long>")
@@ -310,6 +312,7 @@ def _across_blocks(blocks: DataFrame, sets: DataFrame, threshold: int) -> DataFr
                 some = np.unique(np.append(a, b))
                 fixed = [pa.array(np.full(len(some), k, np.int64)) for k in row]
                 yield pa.RecordBatch.from_arrays([*fixed, g.take(pa.array(some))], [*at, "d"])
+        trim()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g, a, b in each(batches):
@@ -317,6 +320,7 @@ def _across_blocks(blocks: DataFrame, sets: DataFrame, threshold: int) -> DataFr
             if len(found):
                 ends = [g.take(pa.array(found[:, k])) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([e.field(1), e.field(2)], ["id", "f"]) for e in ends], ["a", "b"])
+        trim()
 
     fields = "asks boolean, id long, f long, c long, n_shingles long, signature array<long>, bands array<long>"
     named = blocks.mapInArrow(name, f"key long, main long, q long, m long, d struct<{fields.replace(' ', ':').replace(',:', ',')}>")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPACE, byte_chars, encoding, vocabulary
+from .text import trim
 
 END_ID, CAPACITY = 1, 4096
 WORD = re.compile(f"[^{SPACE}]+")
@@ -95,6 +96,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, p, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, PACKED_TYPE.types)], PACKED_TYPE.names[:5])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 

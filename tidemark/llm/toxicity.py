@@ -25,6 +25,8 @@ none). Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import slices
-from .text import mix, utf8, word_hashes, word_spans
+from .text import mix, trim, utf8, word_hashes, word_spans
 
 EXAMPLES, NEAREST, BLOCK, AHEAD = 1500, 15, 64, 4
 COMMON, LEAST, HALF = 0.05, 0.02, 18.0
@@ -60,16 +62,21 @@ def word_terms(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return terms, row, of
 
 
-def counts(column: pa.Array | pa.ChunkedArray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, term and number of occurrences, by text and term, and the sorted terms (those of the vocabulary if given)."""
+def counts(column: pa.Array | pa.ChunkedArray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, number of the term in the sorted vocabulary, and its occurrences, by text and term."""
     terms, row, of = word_terms(column)
-    known = np.unique(terms[terms > 0]) if vocabulary is None else vocabulary
-    place = np.searchsorted(known, terms)
-    met = (terms > 0) & (known[np.minimum(place, len(known) - 1)] == terms) if len(known) else np.zeros(terms.shape, bool)
-    pairs = [of[m] * len(known) + place[row[m], k] for k in range(terms.shape[1]) if len(m := np.flatnonzero(met[row, k]))]
+    place = np.searchsorted(vocabulary, terms)
+    met = (terms > 0) & (vocabulary[np.minimum(place, len(vocabulary) - 1)] == terms) if len(vocabulary) else np.zeros(terms.shape, bool)
+    pairs = [of[m] * len(vocabulary) + place[row[m], k] for k in range(terms.shape[1]) if len(m := np.flatnonzero(met[row, k]))]
     at, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    text, term = np.divmod(at, max(len(known), 1))
-    return text, term, n, known
+    return *np.divmod(at, max(len(vocabulary), 1)), n
+
+
+def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices with about SLICE bytes of text and their first text's number."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    for i, j in slices(np.append(0, np.cumsum(size)), SLICE):
+        yield i, column.slice(i, j - i)
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
@@ -149,7 +156,13 @@ class Model:
         n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
         if not n.all():
             return
-        text, term, tf, known = counts(pa.array(texts, pa.string()))
+        column = pa.array(texts, pa.string())
+        known = np.zeros(0, np.uint64)
+        for _, part in pieces(column):
+            known = np.union1d(known, word_terms(part)[0])
+        known = known[known > 0]
+        found = [(c[0] + i, *c[1:]) for i, part in pieces(column) for c in [counts(part, known)]]
+        text, term, tf = (np.concatenate(x) for x in zip(*found))
         a, b = (np.bincount(term[toxic[text] == y], minlength=len(known)).astype(float) for y in (1, 0))
         keep = (a <= common * n[1]) | (b <= common * n[0])
         gain = likelihood_ratio(a, b, n[1], n[0])
@@ -194,7 +207,7 @@ class Model:
         out: tuple[list, list, list] = ([self.base] * n, [[] for _ in range(n)], [[] for _ in range(n)])
         if not len(self.terms):
             return out
-        text, term, tf, _ = counts(column, self.terms)
+        text, term, tf = counts(column, self.terms)
         weight = self.weigh(text, term, tf, n)
         bounds = np.searchsorted(text, np.arange(n + 1))
         for i, (p, q) in enumerate(zip(bounds[:-1], bounds[1:])):
@@ -229,11 +242,11 @@ def verdict(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.arrow_udf(VERDICT)
     def judge(column: pa.Array) -> pa.Array:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
         p, ids, near = [], [], []
-        for i, j in slices(np.append(0, np.cumsum(size)), SLICE):
-            for out, more in zip((p, ids, near), shared.value.score(column.slice(i, j - i))):
+        for _, part in pieces(column):
+            for out, more in zip((p, ids, near), shared.value.score(part)):
                 out.extend(more)
+        trim()
         return pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))], ["score", "evidence", "similarity"])
 
     return judge(F.col(text).cast("string"))
