@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -74,10 +75,12 @@ def numbered(rows: DataFrame, by: list[str], order: Column, ties: list[str]) ->
     """rows with i: the place from 0 in `by`, in the order of a hexadecimal string and tie breakers, sorted in 4096 ranges of it."""
     parts = rows.withColumn("_o", order).withColumn("_p", F.substring("_o", 1, 3))
     before = F.sum("n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.groupBy(*by, "_p").agg(N().alias("n")).select(*by, "_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    keys = [*by, "_p"]
+    offsets = parts.groupBy(*keys).agg(N().alias("n")).select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(keys)])
     place = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_o", *ties)) - 1
-    ranked = parts.withColumn("_i", place).join(F.broadcast(offsets), [*by, "_p"])  # at most 4096 rows for each value of `by`
-    return ranked.withColumn("i", F.col("_i") + F.col("_before")).drop("_o", "_p", "_i", "_before")
+    ranked = parts.withColumn("_i", place).join(F.broadcast(offsets), same)  # at most 4096 rows for each value of `by`
+    return ranked.withColumn("i", F.col("_i") + F.col("_before")).drop("_o", "_p", "_i", "_before", *[f"_by{i}" for i in range(len(keys))])
 
 
 def shuffled(rows: DataFrame, key: str, keep: str, move: str, replicates: int) -> DataFrame:

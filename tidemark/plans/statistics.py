@@ -16,6 +16,11 @@ def one():
     return F.count(F.lit(1))
 
 
+def seeded(key: str, seed: int = 7):
+    """An order of keys that is random and the same in every run."""
+    return F.md5(F.concat_ws(":", key, F.lit(seed)))
+
+
 CENTROIDS = """WITH m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
  t AS (SELECT label AS topic, list(x ORDER BY i) AS e FROM m GROUP BY label)"""
 
@@ -230,16 +235,16 @@ def _(v):
     return v.table("embeddings").groupBy(c("label").alias("batch")).agg(one().alias("n"), F.count_distinct("vec_id").alias("d")).where("n = d").select("batch", "n")
 
 
-@query("sample_n")
+@query("sample_n", "SELECT id, plays FROM posts ORDER BY md5(id || ':7'), id, plays LIMIT 500")
 def _(v):
-    return counts.top_k(v.posts.select("id", "plays"), [F.xxhash64("id", F.lit(7)), "id"], 500)
+    return counts.top_k(v.posts.select("id", "plays"), [seeded("id"), "id", "plays"], 500)
 
 
-@query("sample_per_class")
+@query("sample_per_class", "SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':7'), vec_id) AS rn FROM embeddings) WHERE rn <= 5")
 def _(v):
     from pyspark.sql import Window
 
-    rn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id"))
+    rn = F.row_number().over(Window.partitionBy("label").orderBy(seeded("vec_id"), "vec_id"))
     return v.table("embeddings").select("vec_id", "label", rn.alias("rn")).where("rn <= 5").drop("rn")
 
 
