@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: filter, deduplicate, pack. Counted as part of tidemark.llm."""
+"""A training corpus from raw documents: filter, deduplicate, pack. Counted as part of tidemark.llm.
+
+Every stage takes empty tables, nulls in any column, repeated rows, rows of one doc_id with unlike texts, and
+extra columns of any name; all but the last give the columns of their input back.
+"""
 
 from __future__ import annotations
 
@@ -19,14 +23,14 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told (operator 5); null texts and texts without a letter go."""
+    """Documents in which a language can be told (operator 5); null texts and texts without a letter go. Repeated rows go or stay together."""
     ship(spark)
     model = language.learn(docs, ~fold(3, 1))
     return docs.where(language.verdict(docs, model)["lang_pred"] != "und").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.7 (operator 1)."""
+    """Documents that score below 0.7 (operator 1). Null and empty texts have the score of texts without known terms; without labels all stay."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, ~fold(3, 1))
@@ -34,20 +38,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates (operator 7 at 0.8)."""
+    """The row of the smallest doc_id of each group of near duplicates (operator 7 at 0.8), one of equal rows; null ids and texts without words stay."""
     ship(spark)
     return minhash.without_near_duplicates(docs, threshold=NEAR).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes or more that stand elsewhere too (operator 10)."""
+    """Texts without the passages of 200 bytes or more that stand elsewhere too, in every copy (operator 10); n_chars, if there, follows. Null texts stay null."""
     ship(spark)
     left = suffix.dedup_texts(docs)
-    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens (operator 6)."""
+    """Sequences of 4096 tokens (operator 6); a null text is its end alone, repeated rows are documents of their own."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path(WORD_BPE))
 
