@@ -45,7 +45,7 @@ def _(v):
  SELECT start, stop, sd FROM d ORDER BY sd, start, stop LIMIT 5""")
 def _(v):
     low = v.posts.select(c("id").bitwiseAND(F.lit((1 << 32) - 1).cast("long")).alias("w"))
-    d = estimators.uniform_segments(low, "w", 32, 3, 12).select("start", "stop", R(c("sd")).alias("sd"))
+    d = estimators.uniform_segments(low, "w", 32, 3, 12).select(c("start").cast("long").alias("start"), c("stop").cast("long").alias("stop"), R(c("sd")).alias("sd"))
     return d.orderBy("sd", "start", "stop").limit(5)
 
 
