@@ -14,6 +14,11 @@ by two-stage sorting, finds neighbours that share the full length, and answers w
 that recur. Anchors of 64-bit hashes only choose what meets; whole contexts stand for their bytes
 by 64 more bits of hash.
 
+An anchor with over `crowd` different contexts, as at the edges of a passage that very many documents
+share, isn't sent to one task. Its strings are dealt over all buckets by 64-bit hashes of their bytes,
+each batch's distinct ones packed with their counts, and those that occur twice or more recur. So no
+group grows with the number of documents that share a passage.
+
 Two-stage sorting: suffixes smaller than their successors are sorted directly by their first
 `length` bytes; the others are induced by one scan over the buckets of first bytes.
 
@@ -41,12 +46,13 @@ DIGEST_TYPE = pa.schema([
 SPANS = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>"
 SPANS_TYPE = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-SENT = "_b int, _k int, anchor long, first int, before int, strings int, again boolean, bytes binary"
+SENT = "_b int, _k int, anchor long, first int, before int, strings int, again boolean, bytes binary, vals binary"
 SENT_TYPE = pa.schema([
     ("_b", pa.int32()), ("_k", pa.int32()), ("anchor", pa.int64()), ("first", pa.int32()), ("before", pa.int32()),
-    ("strings", pa.int32()), ("again", pa.bool_()), ("bytes", pa.binary())])
+    ("strings", pa.int32()), ("again", pa.bool_()), ("bytes", pa.binary()), ("vals", pa.binary())])
 #: Answers of round one.
-ALONE, SETTLED, SETTLED_SEND, SEND = 0, 1, 2, 3
+ALONE, SETTLED, SETTLED_SEND, SEND, CROWD, SETTLED_CROWD = 0, 1, 2, 3, 4, 5
+MANY = 4096  # contexts of one anchor that one task sorts at most
 
 
 # Two-stage suffix sorting -----------------------------------------------------------------
@@ -216,7 +222,7 @@ class Contexts:
         self.times = np.bincount(self.of, minlength=len(self.keys))
 
 
-def _judge(table: pa.Table) -> pa.Table:
+def _judge(table: pa.Table, crowd: int) -> pa.Table:
     """Round one. Of each (anchor, context) of each batch: does the anchor, does the context recur?"""
     asked = ex.Asked(table, np.dtype([("whole", "<u8"), ("many", "u1")]))
     whole, many = asked.values["whole"], asked.values["many"].astype(np.int64)
@@ -234,6 +240,7 @@ def _judge(table: pa.Table) -> pa.Table:
     reply[(times >= 2)] = SETTLED
     reply[(times >= 2) & (kinds >= 2) & new_context] = SETTLED_SEND
     reply[(times == 1) & (kinds >= 2)] = SEND
+    reply[kinds > crowd] = np.where(times >= 2, SETTLED_CROWD, CROWD)[kinds > crowd]
     out = np.empty(n, np.uint8)
     out[order] = reply
     return asked.answer(out)
@@ -284,24 +291,56 @@ def _compare_block(table: pa.Table, length: int) -> pa.Table:
     return pa.table([pa.array(numbers.astype(np.int32)), pa.array(np.full(len(numbers), -1, np.int32)), pa.array(found, pa.binary())], schema=ex.ANSWER_TYPE)
 
 
+def _crowded(data: np.ndarray, contexts: Contexts, code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string of a batch's contexts with crowded anchors begins, one occurrence of each context, and its hash."""
+    at = contexts.example[np.flatnonzero((code == CROWD) | (code == SETTLED_CROWD))]
+    count = contexts.count[at]
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    size = count + length - 1
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    part = data[np.repeat(contexts.first[at], size) + inner]
+    prefix = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, len(part)), out=prefix[1:])
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    here = np.repeat(np.cumsum(size) - size, count) + step
+    return np.repeat(contexts.first[at], count) + step, mix((prefix[here + length] - prefix[here]) * powers(INVERSE, len(part) + 1)[here])
+
+
+def _recurring(table: pa.Table) -> pa.Table:
+    """Of the strings that batches sent by hash: does each occur twice or more?"""
+    asked = ex.Asked(pa.table([table["_b"], table["_k"], table["first"], table["bytes"], table["vals"]], schema=ex.ASK_TYPE), np.uint8)
+    order, heads, group = asked.grouped()
+    return asked.answer((np.add.reduceat(asked.values[order].astype(np.int64), heads) >= 2)[group], bits=True)
+
+
 def _removed(table: pa.Table, replies: pa.Table, buckets: int, length: int):
     """Of a batch in order: its bytes, where documents begin, which bytes go."""
     data, offsets = utf8(table["text"])
     contexts = Contexts(data, offsets, length)
     cover = np.zeros(len(data) + 1, np.int32)
     kind = replies["_k"].to_numpy()
-    code = ex.heard(replies.filter(pa.array(kind >= 0)), contexts.keys, buckets)[contexts.of]
-    done = (code == SETTLED) | (code == SETTLED_SEND)
+    codes = ex.heard(replies.filter(pa.array((kind >= 0) & (kind < buckets))), contexts.keys, buckets)
+    code = codes[contexts.of]
+    done = (code == SETTLED) | (code == SETTLED_SEND) | (code == SETTLED_CROWD)
     np.add.at(cover, contexts.first[done], 1)
     np.subtract.at(cover, (contexts.first + contexts.count + length - 1)[done], 1)
     for found in replies.filter(pa.array(kind < 0))["reply"]:
         at = np.frombuffer(found.as_py(), "<i4")
         np.add.at(cover, at, 1)
         np.subtract.at(cover, at + length, 1)
+    starts, hashes = _crowded(data, contexts, codes, length)
+    if len(starts):
+        keys, of = np.unique(hashes, return_inverse=True)
+        crowd = replies.filter(pa.array(kind >= buckets))
+        crowd = crowd.set_column(1, "_k", pa.array(crowd["_k"].to_numpy() - np.int32(buckets)))
+        at = starts[ex.heard(crowd, keys, buckets, bits=True)[of]]
+        np.add.at(cover, at, 1)
+        np.subtract.at(cover, at + length, 1)
     return data, offsets, np.cumsum(cover)[:-1] > 0
 
 
-def _plan(docs: DataFrame, length: int, batch_mb: float, more: dict[str, Column]):
+def _plan(docs: DataFrame, length: int, batch_mb: float, more: dict[str, Column], crowd: int = MANY):
     """The batches, the replies to them, and how many buckets they asked."""
     if length < 2 * ANCHOR:
         raise ValueError(f"strings of at least {2 * ANCHOR} bytes")
@@ -325,16 +364,22 @@ def _plan(docs: DataFrame, length: int, batch_mb: float, more: dict[str, Column]
         n = len(keys)
         shift = np.uint64(65 - buckets.bit_length())
         bucket = (c.keys[keys] >> shift).astype(np.int32) if buckets > 1 else np.zeros(n, np.int32)
-        return pa.table([
-            pa.array(np.full(n, table["_b"][0].as_py() if len(table) else 0, np.int32)), pa.array(bucket), pa.array(c.keys[keys].view(np.int64)),
+        b = table["_b"][0].as_py()
+        some, times = np.unique(_crowded(data, c, code, length)[1], return_counts=True)
+        hashed = ex.questions(b, some, buckets, np.minimum(times, 2).astype(np.uint8))
+        none = lambda t: pa.nulls(len(hashed), t)
+        return pa.concat_tables([pa.table([
+            hashed["_b"], pa.array(hashed["_k"].to_numpy() + np.int32(buckets)), none(pa.int64()), hashed["n"], none(pa.int32()), none(pa.int32()),
+            none(pa.bool_()), hashed["keys"], hashed["vals"]], schema=SENT_TYPE), pa.table([
+            pa.array(np.full(n, b, np.int32)), pa.array(bucket), pa.array(c.keys[keys].view(np.int64)),
             pa.array(first.astype(np.int32)), pa.array((c.anchor[at] - first).astype(np.int32)), pa.array(count.astype(np.int32)),
-            pa.array(code[keys] == SETTLED_SEND), pa.array([raw[a : a + k + length - 1] for a, k in zip(first.tolist(), count.tolist())], pa.binary())],
-            schema=SENT_TYPE)
+            pa.array(code[keys] == SETTLED_SEND), pa.array([raw[a : a + k + length - 1] for a, k in zip(first.tolist(), count.tolist())], pa.binary()),
+            pa.nulls(n, pa.binary())], schema=SENT_TYPE)])
 
-    judged = ex.answers(batches.each(send, ex.ASK), _judge)
+    judged = ex.answers(batches.each(send, ex.ASK), lambda t: _judge(t, crowd))
     sent = ex.finish(batches, judged, ship, SENT)
     def compare(table: pa.Table) -> pa.Table:
-        out = _compare(table, length)
+        out = _recurring(table) if table["_k"][0].as_py() >= buckets else _compare(table, length)
         trim()
         return out
 
@@ -342,8 +387,8 @@ def _plan(docs: DataFrame, length: int, batch_mb: float, more: dict[str, Column]
     return batches, judged.unionByName(compared), buckets
 
 
-def _run(docs: DataFrame, length: int, batch_mb: float, row, schema: str, kind: pa.Schema) -> DataFrame:
-    batches, replies, buckets = _plan(docs, length, batch_mb, {})
+def _run(docs: DataFrame, length: int, batch_mb: float, row, schema: str, kind: pa.Schema, crowd: int = MANY) -> DataFrame:
+    batches, replies, buckets = _plan(docs, length, batch_mb, {}, crowd)
 
     def work(table: pa.Table, replies: pa.Table) -> pa.Table:
         table = ex.ordered(table)
@@ -396,10 +441,10 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, batch_mb: float = 4) -> D
     return out.select(*[F.col(f"c{names.index(c)}" if c in names else c).alias(c) for c in docs.columns])
 
 
-def dedup_byte_digests(docs: DataFrame, length: int = LENGTH, batch_mb: float = 4) -> DataFrame:
+def dedup_byte_digests(docs: DataFrame, length: int = LENGTH, batch_mb: float = 4, crowd: int = MANY) -> DataFrame:
     """The same as digests: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def row(data: np.ndarray, gone: np.ndarray):
         return int(gone.sum()), len(_edges(gone)) // 2, hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
-    return _run(docs, length, batch_mb, row, DIGEST, DIGEST_TYPE)
+    return _run(docs, length, batch_mb, row, DIGEST, DIGEST_TYPE, crowd)
