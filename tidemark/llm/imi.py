@@ -5,15 +5,19 @@ trained on a bounded sample (the `sample` smallest hashes of vec_id). A vector l
 its two centroids. A query takes cells by the sum of its halves' squared distances, smallest first,
 with a heap over the two sorted lists, until they hold `share` of all vectors; then every entry of
 those cells is ranked by exact cosine in double precision. K is twice the fourth root of the
-number of vectors, so a cell holds about a quarter of the square root of them.
+number of vectors and `most` at most, so a cell holds about a quarter of the square root of them
+until then. Without a given share, the sample tells it: of PROBES of its vectors and their nearest
+within it, by brute force, the share of all vectors at which traversal has reached `recall` of these
+neighbours. Vectors that lie close together so need few cells, vectors without structure many.
 
 Cells are cut by a hash of vec_id into blocks of about `block` vectors, so a hot cell is as many
 tasks' work as it needs. Spark joins queries and blocks by cell; a task keeps a query's best few.
 
 Vectors that are null or zero, or hold null or non-finite components, or aren't of the most
-frequent dimension (the smaller one on ties), take no part. Rows of one vec_id count apart; a
-query isn't compared with rows of its own vec_id. Ties go to the smaller vec_id. Extra columns are
-ignored.
+frequent dimension (the smaller one on ties), take no part: a cosine needs one dimension. Rows of
+one vec_id count apart as candidates; a query isn't compared with rows of its own vec_id. Equal query
+rows are one query, rows of one vec_id with unlike vectors are queries of their own, each with ranks
+from 1. Ties go to the smaller vec_id. An empty table has no rows in the result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NEAREST, SHARE, SAMPLE, BLOCK = 5, 0.65, 20_000, 2_000
-FOUND = "query_id long, vec_id long, score double"
+NEAREST, RECALL, SAMPLE, PROBES, MOST, BLOCK = 5, 0.97, 20_000, 200, 256, 2_000
+FOUND = "query_id long, q long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -85,6 +89,25 @@ def traverse(one: np.ndarray, two: np.ndarray, filled: np.ndarray, enough: int)
     return out
 
 
+def needed_share(x: np.ndarray, one: np.ndarray, two: np.ndarray, filled: np.ndarray, nearest: int, recall: float) -> float:
+    """The share of all vectors that traversal visits before it has reached `recall` of the neighbours within a sample x."""
+    half, n = one.shape[1], max(1, int(filled.sum()))
+    cell = nearest_centre(x[:, :half], one) * len(two) + nearest_centre(x[:, half:], two)
+    reached = []
+    for i in range(min(PROBES, len(x))):
+        near = x @ x[i]
+        near[i] = -2
+        k = min(nearest, len(x) - 1)
+        if k:
+            found = np.argpartition(-near, k - 1)[:k]
+            cost = distances(x[i : i + 1, :half], one)[0][:, None] + distances(x[i : i + 1, half:], two)[0][None]
+            order = np.argsort(cost.ravel(), kind="stable")
+            share = np.empty(len(order))
+            share[order] = np.cumsum(filled.ravel()[order]) / n
+            reached.append(share[cell[found]])
+    return float(np.quantile(np.concatenate(reached), recall)) if reached else 1.0
+
+
 def cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Equal for equal rows, wherever they stand."""
     return (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
@@ -103,7 +126,8 @@ def best(query_id: int, query: np.ndarray, near: np.ndarray, ids: np.ndarray, ro
     return ids[take][order], score[order]
 
 
-def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, share: float = SHARE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, share: float | None = None, sample: int = SAMPLE, block: int = BLOCK,
+           recall: float = RECALL, most: int = MOST) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every row for which is_query, of vec_id, holds."""
     rows = usable(vectors)
     n = rows.count()
@@ -112,7 +136,7 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, share:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = unit(matrix(some["embedding"]))
     half = x.shape[1] // 2
-    k = int(max(1, min(len(x), round(2 * n**0.25), 256)))
+    k = int(max(1, min(len(x), round(2 * n**0.25), most)))
     one, two = k_means(x[:, :half], k) if half else np.zeros((1, 0)), k_means(x[:, half:], k)
     wide = len(two)
 
@@ -128,7 +152,10 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, share:
     for r in placed.groupBy("cell").count().collect():  # k*k cells at most
         filled[r["cell"]] = r["count"]
     parts = np.maximum(1, -(-filled // block))
-    grid, enough = filled.reshape(len(one), wide), max(min(n, 50 * nearest), int(np.ceil(share * n)))
+    grid = filled.reshape(len(one), wide)
+    if share is None:
+        share = needed_share(x, one, two, grid, nearest, recall)
+    enough = max(min(n, 50 * nearest), int(np.ceil(share * n)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,13 +170,13 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, share:
                 take = pa.array(np.full(len(part), i))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(cells, times).astype(np.int32)), pa.array(part.astype(np.int32)),
-                    batch["vec_id"].take(take), batch["embedding"].take(take)], ["cell", "part", "query_id", "embedding"])
+                    batch["vec_id"].take(take), batch["q"].take(take), batch["embedding"].take(take)], ["cell", "part", "query_id", "q", "embedding"])
 
     def rank(block_rows: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, scores, who = [], [], []
+        ids, scores, who, which = [], [], [], []
         if len(block_rows) and len(asked):
             mine, v, q = block_rows["vec_id"].to_numpy(), matrix(block_rows["embedding"]), matrix(asked["embedding"])
-            normal, names = unit(v), asked["query_id"].to_numpy()
+            normal, names, keys = unit(v), asked["query_id"].to_numpy(), asked["q"].to_numpy()
             for a in range(0, len(q), 256):
                 near = unit(q[a : a + 256]) @ normal.T
                 for i in range(len(near)):
@@ -157,8 +184,9 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, share:
                     ids.append(found)
                     scores.append(score)
                     who.append(np.full(len(found), names[a + i]))
+                    which.append(np.full(len(found), keys[a + i]))
         cat = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
-        return pa.table([cat(who, pa.int64()), cat(ids, pa.int64()), cat(scores, pa.float64())], names=["query_id", "vec_id", "score"])
+        return pa.table([cat(who, pa.int64()), cat(which, pa.int64()), cat(ids, pa.int64()), cat(scores, pa.float64())], names=["query_id", "q", "vec_id", "score"])
 
     blocks = F.array(*[F.lit(int(p)) for p in parts]) if len(parts) <= 64 else None
     if blocks is None:
@@ -167,7 +195,8 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, share:
     else:
         split = placed.withColumn("parts", blocks[F.col("cell")])
     split = split.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("cell", "part", "vec_id", "embedding")
-    asked = rows.where(is_query).mapInArrow(ask, "cell int, part int, query_id long, embedding array<double>")
+    asking = rows.where(is_query).dropDuplicates(["vec_id", "embedding"]).withColumn("q", F.xxhash64("embedding"))
+    asked = asking.mapInArrow(ask, "cell int, part int, query_id long, q long, embedding array<double>")
     found = split.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(lambda a, b: rank(a, b), FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

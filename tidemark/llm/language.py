@@ -7,9 +7,11 @@ in training, and takes the codeword of the least loss; its share among exp(-loss
 lead below `lead` over the second is flagged as ambiguous.
 
 N-grams are of 1 to 3 bytes of the whole text in lower case, ASCII without letters as a space.
-Frequencies come from at most `per_language` training texts of each language, chosen by a hash of
-doc_id: the documented bound of the training sample. `und` with score 0 for null texts, texts
-without a letter, and when nothing was learned. Ties go to the first language by name.
+Frequencies come from at most `per_language` training texts of each language, those of the smallest
+hashes of (doc_id, text), whatever repeats: the documented bound of the training sample. `und` with
+score 0 for null texts, texts without a letter, and when nothing was learned; with one language
+learned, it is every other text's. Ties go to the first language by name. Repeated rows have one
+verdict, texts of any length are read whole, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import slices
-from .text import utf8
+from .text import trim, utf8
 
 SIZE, PER_LANGUAGE, LEAD = 4096, 2000, 0.2
 PLAIN = np.arange(256, dtype=np.uint8)
@@ -91,14 +93,20 @@ class Model:
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Model:
     """A model from text and non-null lang of the rows for which `learnable` holds."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(learnable).select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
+        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return Model([], np.zeros((0, SIZE)))
     of = {name: i for i, name in enumerate(names)}
-    step = F.create_map(*[F.lit(x) for name in names for x in (name, -(-sizes[name] // per_language))])
-    sample = rows.where(F.pmod("h", step[F.col("lang")]) == 0).select("lang", "text")
+    over = [n for n in names if sizes[n] > per_language]
+    sample = rows
+    if over:  # a hash that at least per_language rows of a language don't pass, then an exact limit
+        cuts = {n: rows.where(F.col("lang") == n).agg(F.percentile_approx("h", min(1.0, per_language / sizes[n] + 2e-4), 10_000)).first()[0] for n in over}
+        cut = F.create_map(*[F.lit(x) for n in names for x in (n, cuts.get(n, 2**63 - 1))])
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        sample = rows.where(F.col("h") <= cut[F.col("lang")]).withColumn("_r", place).where(F.col("_r") <= per_language)
+    sample = sample.select("lang", "text")
 
     def summed(make, width: int) -> np.ndarray:
         """Sums of make(x, language numbers) by language, one row a task and language."""
@@ -148,6 +156,7 @@ def verdict(docs: DataFrame, model: Model, text: str = "text", lead: float = LEA
             best[i:j], second[i:j], share[i:j] = order[:, 0], order[:, min(1, len(m.names) - 1)], p[:, 0]
             gap[i:j] = p[:, 0] - p[:, 1] if p.shape[1] > 1 else 1
         letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        trim()
         name = [m.names[b] if k else "und" for b, k in zip(best, letters)]
         return pa.StructArray.from_arrays([
             pa.array(name, pa.string()), pa.array(np.where(letters, share, 0.0)),
