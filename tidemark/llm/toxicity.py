@@ -25,6 +25,7 @@ none). Extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,19 +106,31 @@ class BlockMaxIndex:
         order = np.lexsort((-term, weight, vector))
         heaviest[vector[order]] = term[order]  # the last one of each vector stays
         kind = np.lexsort((np.arange(n), heaviest))  # vectors of one heaviest term lie together, so that blocks differ
-        self.place = np.empty(n, np.int64)
-        self.place[kind] = np.arange(n)
-        self.vector = kind
+        place = np.empty(n, np.int64)
+        place[kind] = np.arange(n)
+        self.vector, self.terms = kind, terms
         self.blocks = -(-max(n, 1) // BLOCK)
-        at = self.place[vector]
+        at = place[vector]
         order = np.lexsort((at, term))
         self.at, self.weight = at[order].astype(np.int32), weight[order]
-        group = term[order] * self.blocks + self.at // BLOCK
-        self.start = np.flatnonzero(np.diff(group, prepend=-1))
-        self.size = np.diff(np.append(self.start, len(group)))
+        self.postings = np.bincount(term, minlength=terms).astype(np.int32)
+        self.derive()
+
+    def derive(self) -> None:
+        """Where the postings of each term and block begin, how many they are, and the largest weight in them."""
+        group = np.repeat(np.arange(self.terms), self.postings) * self.blocks + self.at // BLOCK
+        self.start = np.flatnonzero(np.diff(group, prepend=-1)).astype(np.int32)
+        self.size = np.diff(np.append(self.start, len(group))).astype(np.int32)
         self.block = (group[self.start] % self.blocks).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, self.start) if len(self.start) else np.zeros(0)
-        self.first = np.searchsorted(group[self.start] // self.blocks, np.arange(terms + 1))
+        self.first = np.searchsorted(group[self.start] // self.blocks, np.arange(self.terms + 1))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("start", "size", "block", "most", "first")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self.derive()
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Vectors and cosines of the k nearest with a cosine above 0, largest first, equal ones by id."""
@@ -229,11 +242,19 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, examples: int =
     ranked = texts.select("doc_id", key.alias("h")).join(known, "doc_id").distinct()  # no text is shuffled
     few = [ranked.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(examples) for y in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]))
-    rows = texts.withColumn("h", key).join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).collect()  # at most `examples` of each label
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows = texts.withColumn("h", key).join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])  # at most `examples` of each label
     total = sum(shares.values())
-    return Model([r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], np.int64),
-                 np.array([r["doc_id"] for r in rows], np.int64), shares.get(1, 0) / total if total else 0.0, nearest)
+    share = shares.get(1, 0) / total if total else 0.0
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for b in batches for r in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["toxic"].to_pylist())]
+        found.sort(key=lambda r: (r[0], r[1] or ""))
+        model = Model([t or "" for _, t, _ in found], np.array([y for *_, y in found], np.int64), np.array([i for i, *_ in found], np.int64), share, nearest)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], ["model"])
+        trim()
+
+    made = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(fit, "model binary").first()  # one task: the sample is bounded
+    return pickle.loads(made["model"]) if made else Model([], np.zeros(0, np.int64), np.zeros(0, np.int64), share, nearest)
 
 
 def verdict(docs: DataFrame, model: Model, text: str = "text") -> Column:
