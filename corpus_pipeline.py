@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, minhash, packing, suffix, toxicity
+from tidemark.llm.components import let_go
 from tidemark.llm.queries import WORD_BPE, fold
 from tidemark.session import ship
 
@@ -24,14 +25,14 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told (operator 5); null texts and texts without a letter go. Repeated rows go or stay together."""
-    ship(spark)
+    let_go(ship(spark))
     model = language.learn(docs, ~fold(3, 1))
     return docs.where(language.verdict(docs, model)["lang_pred"] != "und").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7 (operator 1). Null and empty texts have the score of texts without known terms; without labels all stay."""
-    ship(spark)
+    let_go(ship(spark))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, ~fold(3, 1))
     return docs.where(toxicity.verdict(docs, model)["score"] < 0.7).select(*docs.columns)
@@ -39,13 +40,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id of each group of near duplicates (operator 7 at 0.8), one of equal rows; null ids and texts without words stay."""
-    ship(spark)
+    let_go(ship(spark))
     return minhash.without_near_duplicates(docs, threshold=NEAR).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes or more that stand elsewhere too, in every copy (operator 10); n_chars, if there, follows. Null texts stay null."""
-    ship(spark)
+    let_go(ship(spark))
     left = suffix.dedup_texts(docs)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -54,7 +55,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens (operator 6); a null text is its end alone, repeated rows are documents of their own."""
-    ship(spark)
+    let_go(ship(spark))
     return packing.pack(docs, public_tokenizers.path(WORD_BPE))
 
 

@@ -6,10 +6,18 @@ executor costs a round at most; rounds end when the edges no longer change.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collects the driver's garbage, upon which Spark's cleaner drops shuffles, broadcasts and code of jobs that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -31,5 +39,6 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
         state = after
     else:
         raise RuntimeError(f"components didn't settle in {most} rounds")
+    let_go(links.sparkSession)
     # Now every edge leads to the least node of its component.
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
