@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over whole tables, and SQL for those that it can express."""
+"""The numbered operators and the pipeline as queries over whole tables, and SQL for those that it can express."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, imi, language, lm, minhash, packing, suffix, toxicity, windows
+from . import alignment, audit, bpe, fingerprint, imi, language, lm, minhash, packing, pieces, suffix, toxicity, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def fold(n: int, k: int):
@@ -71,10 +71,25 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_byte_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("n_bytes"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    own = (op1_toxicity, op2_bpe, op3_lm, op4_windows, op5_language, op6_packing, op7_minhash, op8_neighbours, op9_fingerprints, op10_suffixes)
+    own = (op1_toxicity, op2_bpe, op3_lm, op4_windows, op5_language, op6_packing, op7_minhash, op8_neighbours, op9_fingerprints, op10_suffixes,
+           op11_audit, op12_alignment, op13_pieces)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -102,5 +117,24 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN c ON w.doc_id = c.doc_id
 """
 
 
+AUDIT_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, CAST(len(ws) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INTEGER)
+  + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+  + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE) AS INTEGER) AS fails FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+cell AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || letter FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter) WHERE NOT contains(o, letter)),
+steps AS (SELECT o, step, o[step] AS letter, 1 << (ascii(o[step]) - 65) AS own, CAST(list_sum([0] || list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65))) AS BIGINT) AS before
+  FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5)),
+s AS (SELECT part, o, step, letter, sum(CASE WHEN fails & before = 0 AND fails & own = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails & before > 0 AND fails & own > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM cell, steps GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+ CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_windows": WINDOWS_SQL, "op7_minhash": MINHASH_SQL}
+    return {"op11_audit": AUDIT_SQL, "op4_windows": WINDOWS_SQL, "op7_minhash": MINHASH_SQL}
