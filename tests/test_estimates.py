@@ -25,13 +25,36 @@ def test_good_turing_mass(spark):
 
 def test_prevalence_of_a_known_case(spark):
     assert abs(estimators.prevalence(88, 1000, 0.9, 0.8) - 9.9) < 1e-9
-    g = spark.createDataFrame([("a", 88, 1000), ("b", 0, 50), ("c", 50, 50)], "loc string, k long, n long")
-    for out in (estimators.prevalence_interval(g, "loc", 0.9, 0.8, 300), estimators.prevalence_interval_adjusted(g, "loc", 0.9, 0.8, 300, 0.95)):
-        rows = {r["loc"]: r for r in out.collect()}
-        assert rows["a"]["lower"] < 9.9 < rows["a"]["upper"] and rows["b"]["upper"] < 1e-9 and 0 <= rows["c"]["lower"] <= rows["c"]["upper"]
-        assert {tuple(r) for r in out.collect()} == {tuple(r) for r in rows.values()}  # seeded
-    wide = estimators.prevalence_interval_adjusted(g, "loc", 0.9, 0.8, 300, 0.5).where("loc = 'a'").first()
-    assert wide["upper"] - wide["lower"] > rows["a"]["upper"] - rows["a"]["lower"]
+    g = spark.createDataFrame([("a", 88, 1000), ("b", 0, 50), ("c", 50, 50), ("d", 0, 0)], "loc string, k long, n long")
+    out = estimators.prevalence_interval(g.where("n > 0"), "loc", 0.9, 0.8, 300)
+    rows = {r["loc"]: r for r in out.collect()}
+    assert rows["a"]["lower"] < 9.9 < rows["a"]["upper"] and rows["b"]["upper"] < 1e-9 and 0 <= rows["c"]["lower"] <= rows["c"]["upper"]
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in rows.values()}  # seeded
+    wide = {t: {r["loc"]: r for r in estimators.prevalence_interval_adjusted(g, "loc", 0.9, 0.8, 300, t).collect()} for t in (1.0, 0.95, 0.5)}
+    assert all(abs(w["a"]["point"] - 9.9) < 1e-9 and w["b"]["lower"] == 0 and 0 < w["b"]["upper"] < 12 and w["c"]["upper"] == 100 and w["d"]["lower"] is None for w in wide.values())
+    width = [w["a"]["upper"] - w["a"]["lower"] for w in wide.values()]
+    assert width == sorted(width) and width[2] > 1.5 * width[1]
+    a = wide[1.0]["a"]
+    assert abs(np.log(a["upper"] / a["lower"]) / 2 - 1.959964 * np.sqrt(0.912 / 88 + 0.1 / 270 + 0.2 / 240)) < 1e-6
+
+
+@pytest.mark.parametrize("trust", [1.0, 0.8])
+def test_adjusted_intervals_hold_the_true_prevalence(spark, trust):
+    """Populations of a known prevalence, tested with a set that is off by as much as the trust says."""
+    rng, truth, precision, recall, tested, n = np.random.default_rng(6), 0.08, 0.85, 0.8, 400, 3000
+    rows, ends = [], {}
+    for i in range(400):
+        off = rng.normal(0, (1 - trust) * 0.2, 2) if trust < 0.9 else np.zeros(2)
+        p, r = np.clip(np.array([precision, recall]) + off, 0.05, 0.99)
+        k = int(rng.binomial(n, truth * r / p))
+        cases = int(tested * trust**2)
+        seen = [float(np.clip(rng.binomial(cases, x) / cases, 0.05, 0.999)) for x in (precision, recall)]
+        rows.append((str(i), k, n, *seen))
+    for i, k, total, p, r in rows[:60]:  # one measured precision and recall each
+        g = spark.createDataFrame([(i, k, total)], "loc string, k long, n long")
+        ends[i] = estimators.prevalence_interval_adjusted(g, "loc", p, r, tested, trust).first()
+    held = np.mean([e["lower"] <= truth * 100 <= e["upper"] for e in ends.values()])
+    assert held >= 0.88
 
 
 def test_shuffling_keeps_both_columns(spark):
@@ -45,9 +68,26 @@ def test_shuffling_keeps_both_columns(spark):
 
 
 def test_log_curve_finds_its_parameters(spark):
-    rows = [(float(t), float(0.3 * np.log(t + 0.5) + 0.1), i) for i, t in enumerate([0, 7, 14, 21, 40])]
-    a, c, d, sse = estimators.log_curve(spark.createDataFrame(rows, "t double, rate double, i long"), [-1, -0.5, -0.1], F.pow(1 + F.col("i"), 2)).first()
-    assert (a, round(c, 6), round(d, 6)) == (-0.5, 0.3, 0.1) and abs(sse) < 1e-9
+    t = np.array([0, 7, 14, 21, 40, 63, 90], float)
+    rows = [("x", float(u), float(0.3 * np.log(u + 0.5) + 0.1), i + 1.0) for i, u in enumerate(t)]
+    rows += [("y", *r[1:3], 0.0 if i == 3 else r[3]) for i, r in enumerate(rows)] + [("y", None, 0.5, 1.0), ("few", 0.0, 1.0, 1.0), ("few", 7.0, 1.0, 1.0)]
+    got = {r["s"]: r for r in estimators.log_curves(spark.createDataFrame(rows, "s string, t double, rate double, w double"), "s", "t", "rate", "w").collect()}
+    assert sorted(got) == ["x", "y"]
+    assert all(np.allclose([r["a"], r["c"], r["d"]], [-0.5, 0.3, 0.1], atol=1e-4) and r["cost"] < 1e-9 for r in got.values())
+
+
+def test_log_curve_is_robust_and_best():
+    """One wild point hardly moves it, and no point of a dense grid of all three parameters costs less."""
+    rng = np.random.default_rng(5)
+    t = np.arange(0, 140, 7.0)
+    y = 2.0 * np.log(t + 3) + 1 + rng.normal(0, 0.02, len(t))
+    y[12] += 40
+    w = np.ones(len(t))
+    a, c, d, cost = estimators.robust_log_curve(t, y, w)
+    assert abs(a + 3) < 1 and abs(c - 2) < 0.2 and abs(d - 1) < 0.5
+    value = lambda a, c, d: np.sum(np.sqrt(1 + (y - c * np.log(t - a) - d) ** 2) - 1)
+    assert abs(value(a, c, d) - cost) < 1e-9
+    assert all(value(a + x, c + u, d + v) >= cost - 1e-7 for x in np.linspace(-0.5, 0.5, 11) for u in np.linspace(-0.1, 0.1, 11) for v in np.linspace(-0.3, 0.3, 11))
 
 
 @pytest.mark.parametrize("hot", [1000, 3, 0])
@@ -60,22 +100,6 @@ def test_shared_members_with_hot_ones(spark, hot):
     assert {tuple(r) for r in got} == want
 
 
-def test_salvage_keeps_what_is_whole(spark):
-    rows = [(1, '[{"k": 1}, {"k": 2, "s": "x } ] {"}, {"k": 3'), (2, '[{"k": 4}]'), (3, "["), (4, ""), (5, None), (6, "no json"), (7, '[{"k": "five"}]'), (8, '[{"k": 8},\n {"k": 9}'), (9, '[1, {"k": 1}]')]
-    got = files.salvage(spark.createDataFrame(rows, "d long, t string"), "t", "k bigint, s string").select("d", "record.k", f"record.{files.CORRUPT}").collect()
-    assert sorted((r["d"], r["k"]) for r in got if r[files.CORRUPT] is None) == [(1, 1), (1, 2), (2, 4), (8, 8), (8, 9)]
-    assert [r["d"] for r in got if r[files.CORRUPT] is not None] == [7]
-
-
-def test_json_documents_of_any_shape(spark, tmp_path):
-    c = lambda i: {"cid": i, "text": "é\n\"q\"", "user": {"uid": i % 2, "follower_count": i, "following_count": 0, "other": 1}}
-    (tmp_path / "one.json").write_text(json.dumps({"data": {"comments": [c(1), c(2)]}}, indent=2))
-    (tmp_path / "lines.json").write_text("\n".join([json.dumps({"data": {"comments": [c(3)]}}), json.dumps({"data": None}), json.dumps({"data": {}}), json.dumps({}), ""]))
-    (tmp_path / "cut.json").write_text('{"data": {"comments": [{"cid": 9')
-    got = files.comments(files.read_json_documents(spark, str(tmp_path), files.COMMENTS)).collect()
-    assert sorted((r["cid"], r["uid"], r["text"]) for r in got) == [(i, i % 2, "é\n\"q\"") for i in (1, 2, 3)]
-
-
 def test_sidecars_need_a_timestamp(spark, tmp_path):
     (tmp_path / "v_1700000001.5.json").write_text('{"a": 1}')
     assert files.read_sidecars(spark, str(tmp_path), "a long").first().asDict() == {"a": 1, "at": 1700000001.5}
@@ -112,19 +136,22 @@ def test_classifiers_rank_unseen_rows(spark, name, least):
     assert len(hit) > 3 and auc > least
 
 
-def test_mmr_against_a_loop(spark):
+@pytest.mark.parametrize("diversity,most", [(0.4, 1000), (0.4, 10), (0.1, 1000), (0.1, 10)])
+def test_mmr_against_a_loop(spark, diversity, most):
+    """Over all members, whether topics are picked in tasks or in rounds."""
     rng = np.random.default_rng(2)
     v = rng.normal(size=(60, 5)).astype(np.float32)
+    v[7], v[9] = v[5], -v[5]
     df = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)], "vec_id long, label long, embedding array<float>")
-    got = sorted((r["topic"], r["rank"], r["key"]) for r in models.diverse_representatives(df, "label", "vec_id", "embedding", 6, 0.4).collect())
+    got = sorted((r["topic"], r["rank"], r["key"]) for r in models.diverse_representatives(df, "label", "vec_id", "embedding", 6, diversity, most).collect())
     unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     for t in (0, 1):
         own = [i for i in range(60) if i % 2 == t]
         mean = v[own].astype(float).mean(0)
         near, chosen = unit @ mean / np.linalg.norm(mean), []
         while len(chosen) < 6:
-            value = {i: 0.6 * near[i] - 0.4 * max(unit[i] @ unit[j] for j in chosen) if chosen else 0.6 * near[i] for i in own if i not in chosen}
-            chosen.append(max(value, key=lambda i: (value[i], -i)))
+            value = {i: (1 - diversity) * near[i] - (diversity * max(unit[i] @ unit[j] for j in chosen) if chosen else 0) for i in own if i not in chosen}
+            chosen.append(max(value, key=lambda i: (round(value[i], 9), -i)))
         assert [k for topic, _, k in got if topic == t] == chosen
 
 
@@ -138,3 +165,48 @@ def test_least_squares_and_bits(spark):
     bits = spark.createDataFrame([(b + 2 * b + 4 * int(rng.integers(2)),) for b in rng.integers(0, 2, 300).tolist()], "w long")
     c = {(r["bit"], r["other"]): r["coefficient"] for r in models.bit_dependence(bits, "w", 4).collect()}
     assert c[0, 1] > 1 and c[1, 0] > 1 and abs(c[0, 2]) < 1 and c[0, 3] == c[3, 0] == 0
+
+
+def test_topics_of_known_blobs(spark):
+    """Four directions of known sizes, one of too few rows, and rows without a direction; a sample gives the same topics."""
+    rng = np.random.default_rng(12)
+    centres, sizes, rows = np.array([[1, 0.4, 0, 0, 0, 0], [1, -0.4, 0, 0, 0, 0], [-1, 0, 0.6, 0, 0, 0], [-1, 0, -0.6, 0, 0, 0]]), [60, 45, 30, 6], []
+    for t, n in enumerate(sizes):
+        rows += [(len(rows) + i, (centres[t] + rng.normal(0, 0.03, 6)).tolist(), t) for i in range(n)]
+    rows += [(900, [0.0] * 6, 3), (901, None, 3), (902, [], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>, t int").repartition(3)
+    want = {i: t if t < 3 else -1 for i, _, t in rows}
+    for sample in (1000, 100):
+        got = {r["vec_id"]: r["topic"] for r in models.cluster_topics(df, "vec_id", "v", 4, sample).collect()}
+        assert got == want
+    assert {r["topic"] for r in models.cluster_topics(df.where("vec_id >= 900"), "vec_id", "v", 4).collect()} == {-1}
+
+
+def test_scores_and_folds_have_the_values_of_their_models(spark):
+    """batch_score repeats its model's own probabilities; cross_validate's means are those of its folds; project_2d keeps what PCA keeps."""
+    from types import SimpleNamespace
+
+    from pyspark.ml.functions import vector_to_array
+
+    from tidemark.plans import models as plans
+
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    v = SimpleNamespace(table=lambda name: e)
+    rows = plans.examples(v)
+    model = plans.logistic().fit(rows.where("fold = 0"))
+    w, b = np.array(model.coefficients), model.intercept
+    x = {r["vec_id"]: np.array(r["x"]) for r in rows.select("vec_id", vector_to_array("features").alias("x")).collect()}
+    got = registry._queries["batch_score"](v).collect()
+    assert len(got) == len(x) and all(abs(r["probability"] - 1 / (1 + np.exp(-(w @ x[r["vec_id"]] + b)))) < 1e-9 and r["predicted"] == (r["probability"] > 0.43) for r in got)
+    found = {r["metric"]: (r["mean"], r["sd"]) for r in registry._queries["cross_validate"](v).collect()}
+    right = {k: [] for k in range(plans.FOLDS)}
+    for r in models.out_of_fold(rows, plans.logistic(), plans.FOLDS).select("fold", "y", "probability").collect():
+        right[r["fold"]].append((r["probability"] > 0.5) == (r["y"] == 1))
+    shares = [np.mean(x) for x in right.values()]
+    assert abs(found["accuracy"][0] - np.mean(shares)) < 1e-4 and abs(found["accuracy"][1] - np.std(shares)) < 1e-4  # folds' measures have four places
+    flat = np.array([x[k] for k in sorted(x)])
+    axes = np.linalg.svd(flat - flat.mean(0), full_matrices=False)[2][:2]
+    xy = {r["vec_id"]: (r["x"], r["y"]) for r in registry._queries["project_2d"](v).collect()}
+    theirs = np.array([xy[k] for k in sorted(xy)])
+    for i in (0, 1):
+        assert np.isclose(abs(np.corrcoef(theirs[:, i], flat @ axes[i])[0, 1]), 1, atol=1e-6)

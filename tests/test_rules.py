@@ -27,7 +27,7 @@ def test_unicode_hashtag(spark):
 
 def test_success_is_kleene(spark):
     df = spark.createDataFrame([(None, None), (None, 1), (rules.GONE, None), ("x", None)], "s string, i long")
-    assert [r[0] for r in df.select(rules.success(F.col("s"), F.col("i"))).collect()] == [None, True, None, True]  # a missing item without an id stays open
+    assert [r[0] for r in df.select(rules.success(F.col("s"), F.col("i"))).collect()] == [None, True, False, True]
 
 
 def test_unseen_mass(spark):

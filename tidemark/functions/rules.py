@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How answers call a missing item and an id that can't be one.
 GONE = "item doesn't exist"
+INVALID, INVALID_CODE = "invalid item id", 100002
 
 
 def success(status: Column, post_id: Column) -> Column:
@@ -17,8 +19,12 @@ def maybe_existed(code: Column, status: Column, post_id: Column) -> Column:
     """Whether an answer leaves room for a post: not for no answer, a missing item or an invalid id."""
     none = code.isNull() & status.isNull() & post_id.isNull()
     missing = code.isin(10204, 10222) & (status == GONE)
-    invalid = (code == 100002) & (status == "invalid item id")
-    return ~(none | F.coalesce(missing, F.lit(False)) | F.coalesce(invalid, F.lit(False)))
+    return ~(none | F.coalesce(missing, F.lit(False)) | invalid_id(code, status))
+
+
+def invalid_id(code: Column, status: Column) -> Column:
+    """Whether an answer says that the id can't be one; not for no answer."""
+    return F.coalesce((code == INVALID_CODE) & (status == INVALID), F.lit(False))
 
 
 #: What counts as a hashtag in ASCII and in Unicode.
@@ -43,6 +49,11 @@ def human_count(n: Column) -> Column:
             .when(n >= 1_000, F.concat(F.format_number(n / 1_000, 1), F.lit("k"))).otherwise(n.cast("string")))
 
 
+def shortened(text: Column, most: int = 20) -> Column:
+    """The first characters of longer texts, and three dots."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ids
 
 #: The shares of hits of the curve.
 SHARES = (0.9, 0.95, 0.99, 0.995, 0.999, 1.0)
@@ -59,6 +62,26 @@ def entropy(df: DataFrame, x: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).agg(N().alias("values"), F.round(-F.sum(p * F.ln(p)), 4).alias("entropy"))
 
 
+def interval_counts(df: DataFrame, word: str, intervals: Sequence[tuple[int, int]]) -> DataFrame:
+    """segment, x, n: how often each value of each interval of bits occurs, in one pass."""
+    places = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("segment"), ids.segment(F.col(word), a, b).alias("x")) for a, b in intervals])
+    return df.select(F.inline(places)).groupBy("segment", "x").agg(N().alias("n"))
+
+
+def interval_stats(n: DataFrame) -> DataFrame:
+    """segment, values, entropy in nats: ln T - sum(n ln n) / T over counts n that add up to T."""
+    total = F.sum("n")
+    return n.groupBy("segment").agg(N().alias("values"), F.round(F.ln(total) - F.sum(F.col("n") * F.ln("n")) / total, 4).alias("entropy"))
+
+
+def needed_values(n: DataFrame, share: int, of: int) -> DataFrame:
+    """segment, needed: how many of a segment's values, the most frequent first, reach share / of of all; a window holds the values of one interval of bits."""
+    w = Window.partitionBy("segment")
+    before = F.sum("n").over(w.orderBy(F.desc("n"), "x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    rows = n.withColumn("_before", before).withColumn("_total", F.sum("n").over(w))
+    return rows.where(F.col("_before") * of < F.col("_total") * share).groupBy("segment").agg(N().alias("needed"))
+
+
 def missing(df: DataFrame, keys: list[str], x: str, most: float) -> DataFrame:
     """Values between a group's least and largest that it lacks, if they are few for what it has."""
     g = df.groupBy(*keys).agg(F.collect_set(x).alias("seen"), F.min(x).alias("a"), F.max(x).alias("b"))
@@ -66,6 +89,11 @@ def missing(df: DataFrame, keys: list[str], x: str, most: float) -> DataFrame:
     return gone.select(*keys, F.explode("gone").alias(x))
 
 
+def proposals(df: DataFrame, place: str, at: list[str], counter: str, known: DataFrame, most: float) -> DataFrame:
+    """place, at, counter of missing() counters whose pair with the place no request has tried, so that they are worth one; `known` has place and counter."""
+    return missing(df, [place, *at], counter, most).join(known.select(place, counter).distinct(), [place, counter], "left_anti").select(place, *at, counter)
+
+
 def hits_by(df: DataFrame) -> DataFrame:
     """s, hit -> s, hits, requests."""
     return df.groupBy("s").agg(F.count_if("hit").alias("hits"), N().alias("requests"))

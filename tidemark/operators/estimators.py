@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -136,43 +137,70 @@ def prevalence_interval(groups: DataFrame, key: str, precision: float, recall: f
     return groups.mapInPandas(draw, f"{key} string, point double, lower double, upper double")
 
 
-def prevalence_interval_adjusted(groups: DataFrame, key: str, precision: float, recall: float, tested: int, trust: float, replicates: int = 2000,
-                                 level: float = 0.95, seed: int = 7) -> DataFrame:
-    """As prevalence_interval, with a test set that stands for the population to the degree `trust`: fewer effective cases and, below 0.9, a bias.
+#: The fewest cases a test set counts as, the trust from which on it is taken as unbiased, and how far bias may go at none.
+FEWEST_CASES, UNBIASED, BIAS = 10.0, 0.9, 0.2
 
-    point is the median of the replicates, each of which classifies a simulated population.
-    """
-    cases = max(10.0, tested * trust**2)
-
-    def draw(batches):
-        for rows in batches:
-            out = []
-            for g, k, n in zip(rows[key], rows["k"], rows["n"]):
-                r = _draws(g, seed)
-                p = r.beta(precision * cases, (1 - precision) * cases, replicates)
-                q = r.beta(recall * cases, (1 - recall) * cases, replicates)
-                if trust < 0.9:
-                    spread = (1 - trust) * 0.2
-                    p, q = (np.clip(x + r.normal(0, spread, replicates), 0.01, 0.99) for x in (p, q))
-                truly = r.binomial(n, np.clip(k * p / q / n, 0, 1))
-                found = r.binomial(truly, q)
-                wrong = np.clip(found * (1 - p) / np.maximum(p, 1e-12) / np.maximum(n - truly, 1), 0, 1)
-                made = (found + r.binomial(n - truly, wrong)) * p / q / n * 100
-                low, high = np.percentile(made, [(1 - level) / 2 * 100, (1 + level) / 2 * 100])
-                out.append((g, float(np.median(made)), low, high))
-            yield pd.DataFrame(out, columns=[key, "point", "lower", "upper"])
 
-    return groups.mapInPandas(draw, f"{key} string, point double, lower double, upper double")
+def prevalence_interval_adjusted(groups: DataFrame, key: str, precision: float, recall: float, tested: int, trust: float, level: float = 0.95,
+                                 fewest: float = FEWEST_CASES, unbiased: float = UNBIASED, bias: float = BIAS) -> DataFrame:
+    """key, k, n -> key, point, lower, upper in per cent, when the test set stands for the population only to the degree `trust`.
 
+    The estimate k/n * precision/recall is a product of three independent proportions, so its logarithm is about
+    normal and the relative variances add up: a proportion p of m cases has (1 - p) / (p m). By Kish's
+    design effect a test set of trust t is worth tested * t**2 cases, `fewest` at least. Under the trust `unbiased` precision and recall
+    may also be off as a whole, with a standard deviation of (1 - t) * bias. Where nothing was found (k = 0) the upper end
+    is the exact binomial one of no success in n trials. A group without items has no interval.
+    """
+    tail = (1 - level) / 2
+    z, cases = NormalDist().inv_cdf(1 - tail), max(fewest, tested * trust**2)
+    off = (1 - trust) * bias if trust < unbiased else 0.0
+    tested_part = sum((1 - p) / (p * cases) + (off / p) ** 2 for p in (precision, recall))
+    k, n = F.col("k").cast("double"), F.when(F.col("n") > 0, F.col("n").cast("double"))
+    point = prevalence(k, n, precision, recall)
+    spread = F.exp(z * F.sqrt((1 - k / n) / k + tested_part))
+    none = (1 - F.pow(F.lit(tail), 1 / n)) * (precision / recall * 100)
+    upper = F.when(k == 0, none).otherwise(point * spread)
+    lower = F.when((k == 0) & n.isNotNull(), F.lit(0.0)).otherwise(point / spread)
+    return groups.select(key, point.alias("point"), lower.alias("lower"), F.least(upper, F.lit(100.0)).alias("upper"))
+
+
+def robust_log_curve(t: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, levels: int = 12) -> tuple[float, float, float, float]:
+    """a, c, d and the cost of rate = c * ln(t - a) + d under the soft-L1 loss 2 * (sqrt(1 + r**2) - 1) of weighted residuals r.
+
+    For a given a the model is linear: least squares are repeated with each point's weight divided by sqrt(1 + r**2), which lowers
+    the loss in every round. a lies under the first t; its distance from it is searched on a logarithmic grid that
+    is refined around its best point, level by level.
+    """
 
-def log_curve(series: DataFrame, starts: list[float], weight: Column) -> DataFrame:
-    """t, rate, i -> a, c, d, sse of the best rate = c * ln(t - a) + d over the starts a, with a weight for each point (of i, its number from 0)."""
-    rows = series.withColumn("a", F.explode(F.array(*[F.lit(float(a)) for a in starts]))).where("t > a")
-    rows = rows.select("a", F.ln(F.col("t") - F.col("a")).alias("x"), F.col("rate").alias("y"), weight.alias("w"))
-    s = lambda e: F.sum(F.col("w") * e)
-    x, y = F.col("x"), F.col("y")
-    sums = rows.groupBy("a").agg(F.sum("w").alias("sw"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(x * y).alias("sxy"), s(y * y).alias("syy"))
-    c = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    fits = sums.withColumn("c", c).withColumn("d", (F.col("sy") - F.col("c") * F.col("sx")) / F.col("sw"))
-    sse = F.col("syy") - F.col("c") * F.col("sxy") - F.col("d") * F.col("sy")
-    return fits.withColumn("sse", sse).orderBy(F.round("sse", 9), "a").limit(1).select("a", "c", "d", "sse")
+    def at(a: float) -> tuple[float, float, float, float]:
+        x, w = np.column_stack([np.log(t - a), np.ones(len(t))]), weight.copy()
+        for _ in range(rounds):
+            fit = np.linalg.lstsq(x * w[:, None], y * w, rcond=None)[0]
+            r = weight * (y - x @ fit)
+            after = weight / np.power(1 + r * r, 0.25)
+            if np.allclose(after, w, rtol=1e-12, atol=0):
+                break
+            w = after
+        return a, float(fit[0]), float(fit[1]), float(np.sum(np.sqrt(1 + r * r) - 1))
+
+    low, high = np.log(1e-3), np.log(1e3 * max(1.0, float(np.ptp(t))))
+    best = (0.0, 0.0, 0.0, np.inf)
+    for _ in range(levels):
+        grid = np.linspace(low, high, 25)
+        found = [at(float(t.min() - np.exp(g))) for g in grid]
+        k = int(np.argmin([f[3] for f in found]))
+        best = min(best, found[k], key=lambda f: f[3])
+        low, high = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
+    return best
+
+
+def log_curves(series: DataFrame, by: str, t: str, rate: str, weight: str) -> DataFrame:
+    """by, a, c, d, cost of each group's robust_log_curve; a series (a row a week) is in one task. Points with a null or no weight don't count; under three points there is no curve."""
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.dropna().query("_weight > 0").sort_values(["_t", "_rate"])
+        got = [robust_log_curve(*(g[x].to_numpy(float) for x in ("_t", "_rate", "_weight")))] if g["_t"].nunique() > 2 else []
+        return pd.DataFrame([(g[by].iloc[0], *x) for x in got], columns=[by, "a", "c", "d", "cost"])
+
+    rows = series.select(by, F.col(t).cast("double").alias("_t"), F.col(rate).cast("double").alias("_rate"), F.col(weight).cast("double").alias("_weight"))
+    return rows.groupBy(by).applyInPandas(fit, f"{by} string, a double, c double, d double, cost double")

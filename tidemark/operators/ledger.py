@@ -48,3 +48,11 @@ def apply(held: DataFrame, news: DataFrame, most: int) -> DataFrame:
 
 def upsert(held: DataFrame, news: DataFrame, key: str, value: str) -> DataFrame:
     return held.join(news.withColumnRenamed(value, "_v"), key, "left").select(key, F.coalesce("_v", value).alias(value))
+
+
+def split_mismatched(rows: DataFrame, asked: str, echoed: str, by: str, kept: str, quarantine: str) -> None:
+    """Writes the rows whose answer has the id that was asked for, and apart from them all rows of every slice with an answer of another id or of none."""
+    wrong = ~F.col(asked).eqNullSafe(F.col(echoed))
+    rows.where(F.col(asked) == F.col(echoed)).write.parquet(kept)
+    bad = rows.where(wrong).select(by).distinct()
+    rows.join(bad, by, "left_semi").select(*rows.columns).write.parquet(quarantine)

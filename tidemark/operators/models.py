@@ -111,18 +111,26 @@ def centroids(rows: DataFrame, topic: str, vector: str) -> DataFrame:
     return mean.groupBy(topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("centroid"))
 
 
-def diverse_representatives(rows: DataFrame, topic: str, key: str, vector: str, top: int, diversity: float = 0.1, pool: int = 200) -> DataFrame:
-    """topic, rank, key: representatives by maximal marginal relevance to the topic's mean.
+def diverse_representatives(rows: DataFrame, topic: str, key: str, vector: str, top: int, diversity: float = 0.1, most: int = 20_000) -> DataFrame:
+    """topic, rank, key: representatives by maximal marginal relevance to the topic's mean; ties go to the smaller key, a number.
 
-    They are picked among the `pool` members nearest to it, which Spark ranks; a task holds one topic's pool.
+    A member's value is (1 - d) * near - d * alike, with alike from -1 to 1. One of the `top` nearest is always left, so whoever is nearer
+    by less than 2 d / (1 - d) than the last of these can't be picked, and the others hold the whole answer. Topics with up to `most` of
+    them are picked each in a task; in larger ones Spark looks for the best member of all topics in each of `top` rounds, of which
+    the driver keeps a row a topic.
     """
     from ..functions import rules
 
-    near = unit_vectors(rows.select(topic, key, vector), vector)
+    names = F.col(topic).cast("long").alias("topic"), F.col(key).cast("long").alias("key"), F.col(vector).alias("v")
+    unit = unit_vectors(rows.select(topic, key, vector), vector)
     mean = centroids(rows, topic, vector)
-    held = near.join(F.broadcast(mean), topic).withColumn("near", F.round(rules.cosine(F.col(vector), F.col("centroid")), 9))  # a row a topic
-    place = F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("near"), key))
-    pools = held.withColumn("_r", place).where(F.col("_r") <= pool).select(F.col(topic).alias("topic"), F.col(key).alias("key"), F.col(vector).alias("v"), "near")
+    held = unit.join(F.broadcast(mean), topic).select(*names, F.round(rules.cosine(F.col(vector), F.col("centroid")), 9).alias("near"))  # a row a topic
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("near"), "key"))
+    last = held.select("topic", "key", "near").withColumn("_r", place).where(F.col("_r") <= top).groupBy("topic").agg(F.min("near").alias("_last"))
+    able = held.join(F.broadcast(last), "topic").where(F.col("near") >= F.col("_last") - 2 * diversity / (1 - diversity) - 1e-6).drop("_last").checkpoint()
+    size = able.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
+    few = able.join(F.broadcast(size.where(F.col("_n") <= most)), "topic", "left_semi")
+    many = able.join(F.broadcast(size.where(F.col("_n") > most)), "topic", "left_semi")
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("key", ignore_index=True)
@@ -136,4 +144,67 @@ def diverse_representatives(rows: DataFrame, topic: str, key: str, vector: str,
             alike = np.maximum(alike, v @ v[chosen[-1]])
         return pd.DataFrame({"topic": g["topic"].iloc[0], "rank": range(1, len(chosen) + 1), "key": g["key"].to_numpy()[chosen]})
 
-    return pools.groupBy("topic").applyInPandas(pick, "topic long, rank long, key long")
+    return few.groupBy("topic").applyInPandas(pick, "topic long, rank long, key long").unionByName(_picked_in_rounds(many, top, diversity))
+
+
+def _picked_in_rounds(members: DataFrame, top: int, diversity: float) -> DataFrame:
+    """diverse_representatives() of topics too large for a task: members has topic, key, v, near."""
+    from ..functions import rules
+
+    spark, out = members.sparkSession, []
+    chosen: dict[int, tuple[list[int], list[list[float]]]] = {}
+    for r in range(1, top + 1):
+        if r == 1:
+            left, value = members, (1 - diversity) * F.col("near")
+        else:
+            told = spark.createDataFrame([(t, *c) for t, c in chosen.items()], "topic long, keys array<long>, vs array<array<double>>")
+            left = members.join(F.broadcast(told), "topic").where(~F.array_contains("keys", F.col("key")))
+            value = (1 - diversity) * F.col("near") - diversity * F.array_max(F.transform("vs", lambda u: rules.dot(F.col("v"), u)))
+        best = left.groupBy("topic").agg(F.max_by(F.struct("key", "v"), F.struct(F.round(value, 9), -F.col("key"))).alias("b"))
+        picks = best.select("topic", "b.key", "b.v").collect()  # a row a topic
+        if not picks:
+            break
+        for p in picks:
+            keys, vs = chosen.setdefault(p["topic"], ([], []))
+            keys.append(p["key"])
+            vs.append(p["v"])
+            out.append((p["topic"], r, p["key"]))
+    return spark.createDataFrame(out, "topic long, rank long, key long")
+
+
+#: From how many rows on a cluster needs how many members.
+LEAST_MEMBERS = ((1_000_000, 200), (100_000, 50), (0, 10))
+
+
+def cluster_topics(rows: DataFrame, key: str, vector: str, topics: int, sample: int = 100_000, seed: int = 7) -> DataFrame:
+    """key, topic: topics numbered from 0 by falling size; -1 for rows in no topic.
+
+    A sample of at most `sample` rows, the least hashes of their keys, is split in two again and again, the largest divisible cluster
+    first, up to `topics` leaves; all rows then go to the leaf they are nearest to. By the number of all rows a leaf needs so
+    many members (LEAST_MEMBERS), else its rows are in no topic, as are rows without a direction (null, empty or zero vectors).
+    """
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = unit_vectors(rows.select(key, vector), vector).select(key, array_to_vector(vector).alias("features"))
+    n = unit.count()
+    none = F.lit(-1).cast("long").alias("topic")
+    if not n:
+        return rows.select(key, none)
+    fitted = unit if n <= sample else unit.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed))), key).limit(sample)
+    least = next(members for total, members in LEAST_MEMBERS if n >= total)
+    share = min(1.0, sample / n)  # of a cluster's rows, in the sample
+    model = BisectingKMeans(k=topics, seed=seed, maxIter=20, minDivisibleClusterSize=max(1.0, 2 * least * share)).fit(fitted)
+    made = model.transform(unit).select(key, "prediction")
+    size = made.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    rank = size.select("prediction", (F.row_number().over(Window.orderBy(F.desc("n"), "prediction")) - 1).cast("long").alias("topic"))  # a row a leaf
+    told = made.join(F.broadcast(rank), "prediction", "left").select(key, F.coalesce("topic", F.lit(-1)).alias("topic"))
+    return rows.select(key).join(told, key, "left").select(key, F.coalesce("topic", F.lit(-1)).alias("topic"))
+
+
+def align_vectors(ids: DataFrame, vectors: DataFrame, batch: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """ids with their vectors, joined by batch and key, of batches that hold as many of both; and batch, ids, vectors of all others."""
+    one = F.count(F.lit(1))
+    both = ids.groupBy(batch).agg(one.alias("ids")).join(vectors.groupBy(batch).agg(one.alias("vectors")), batch, "full").fillna(0, ["ids", "vectors"])
+    equal = F.col("ids") == F.col("vectors")
+    return ids.join(both.where(equal).select(batch), batch, "left_semi").join(vectors, [batch, key]), both.where(~equal)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ids, rules
-from ..operators import counts
+from ..functions import attempts, ids, pages, rules
+from ..operators import counts, countries, ledger
+from ..sources import files, slices
 from .registry import query
 
 c = F.col
@@ -14,7 +15,10 @@ R = lambda x, n=4: F.round(x, n)
 
 @query("scan_time_slice", "SELECT id, create_s, plays FROM posts WHERE hour(ts) = 19 OR minute(ts) = 42")
 def _(v):
-    return v.posts.where((F.hour("ts") == 19) | (F.minute("ts") == 42)).select("id", "create_s", "plays")
+    """Two slices of a tree of posts; here its leaves are minutes, as a second has few posts."""
+    path = files.scratch(v.spark, "tree")
+    slices.write_slices(v.posts.select("id", "create_s", "plays", "ts"), path, "ts", ["hour", "minute"])
+    return slices.read_slices(v.spark, path, (c("hour") == 19) | (c("minute") == 42)).select("id", "create_s", "plays")
 
 
 @query("scan_projected", "SELECT user_id, event_type FROM events")
@@ -27,10 +31,18 @@ def _(v):
     return v.posts.where("plays > 1000").select("id", ids.suffix(c("id")).alias("suffix"))
 
 
-@query("merge_drifting_schemas", """SELECT event_id AS key, value, -1 AS quality FROM events UNION ALL SELECT doc_id, -1.0, quality FROM labels""")
+@query("merge_drifting_schemas", """SELECT id, CAST(plays AS DOUBLE) AS plays, CASE k % 3 WHEN 0 THEN loc WHEN 2 THEN CAST(author AS VARCHAR) END AS label, CASE WHEN k % 3 = 1 THEN value END AS value,
+ CASE WHEN k % 3 > 0 THEN k END AS info_k, CASE WHEN k % 3 = 2 THEN CAST(dc AS VARCHAR) END AS info_dc FROM posts""")
 def _(v):
-    return v.table("events").select(c("event_id").alias("key"), "value").unionByName(
-        v.table("labels").select(c("doc_id").alias("key"), "quality"), allowMissingColumns=True).fillna({"value": -1.0, "quality": -1})
+    """Three slices: plays grows from int to long to double, label is a name or a number, info gains a field."""
+    path, rows = files.scratch(v.spark, "drift"), v.posts
+    drift = ([c("id"), c("plays").cast("int"), c("loc").alias("label")],
+             [c("id"), c("plays"), c("value"), F.struct(c("k").cast("int").alias("k")).alias("info")],
+             [F.struct("k", c("dc").cast("string").alias("dc")).alias("info"), c("id"), c("plays").cast("double"), c("author").alias("label")])
+    for i, columns in enumerate(drift):
+        rows.where(c("k") % 3 == i).select(*columns).write.parquet(f"{path}/{i}")
+    merged = slices.merge_slices(v.spark, [f"{path}/{i}" for i in range(len(drift))])
+    return merged.select("id", "plays", "label", "value", c("info.k").alias("info_k"), c("info.dc").alias("info_dc"))
 
 
 @query("ingest_mixed_sources", """SELECT event_id AS id, epoch_us(ts) // 1000000 AS create_s, 'events' AS source FROM events
@@ -65,7 +77,7 @@ def _(v):
 
 @query("success_flag", "SELECT event_id, (status_msg <> 'item doesn''t exist' OR CASE WHEN status_msg IS NULL THEN id END IS NOT NULL) AS success FROM posts")
 def _(v):
-    return v.posts.select("event_id", rules.success(c("status_msg"), F.when(c("status_msg").isNull(), c("id"))).alias("success")).where("success is not null")
+    return v.posts.select("event_id", rules.success(c("status_msg"), F.when(c("status_msg").isNull(), c("id"))).alias("success"))
 
 
 @query("maybe_existed", "SELECT event_id, NOT coalesce(status_code IN (10204, 10222) AND status_msg = 'item doesn''t exist', FALSE) AS existed FROM posts")
@@ -73,9 +85,12 @@ def _(v):
     return v.posts.select("event_id", rules.maybe_existed(c("status_code"), c("status_msg"), c("id")).alias("existed"))
 
 
-@query("invalid_id_rate", "SELECT round(avg(CASE WHEN status_msg = 'status_deleted' THEN 1.0 ELSE 0.0 END), 4) AS rate FROM posts")
+@query("invalid_id_rate", "SELECT event_id % 3 AS slice, round(avg(CASE WHEN event_type = 'error' AND event_id % 7 = 0 THEN 1.0 ELSE 0.0 END), 4) AS rate, count(*) AS n FROM posts GROUP BY 1")
 def _(v):
-    return v.posts.agg(R(F.avg(F.when(c("status_msg") == "status_deleted", 1.0).otherwise(0.0))).alias("rate"))
+    """The share of answers in each slice of requests that call the id invalid."""
+    bad = (c("event_type") == "error") & (c("event_id") % 7 == 0)
+    answers = v.posts.select((c("event_id") % 3).alias("slice"), F.when(bad, rules.INVALID_CODE).otherwise(c("status_code")).alias("code"), F.when(bad, rules.INVALID).otherwise(c("status_msg")).alias("status"))
+    return answers.groupBy("slice").agg(R(F.avg(rules.invalid_id(c("code"), c("status")).cast("double"))).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
 @query("id_fields", """SELECT id, id >> 32 AS second, (id >> 22) & 1023 AS ms, (id >> 14) & 255 AS counter, id & 16383 AS geo, (id >> 8) & 63 AS dc, id & 255 AS worker FROM posts""")
@@ -116,9 +131,15 @@ def _(v):
     return v.posts.groupBy(F.floor(c("event_id") / 100).alias("batch")).agg(F.bool_and(echoed == c("id")).alias("valid"))
 
 
-@query("split_mismatched", "SELECT id, CASE WHEN k = 7 THEN 'quarantine' ELSE 'kept' END AS side FROM posts")
+@query("split_mismatched", """WITH r AS (SELECT id, create_s // 3600 AS slice, CASE WHEN k = 7 THEN id + 1 WHEN k = 8 THEN NULL ELSE id END AS echoed FROM posts), b AS (SELECT slice FROM r GROUP BY slice HAVING bool_or(echoed IS DISTINCT FROM id))
+ SELECT 'kept' AS side, id, slice FROM r WHERE echoed = id UNION ALL SELECT 'quarantine', id, slice FROM r WHERE slice IN (SELECT slice FROM b)""")
 def _(v):
-    return v.posts.select("id", F.when(c("k") == 7, "quarantine").otherwise("kept").alias("side"))
+    """Answers whose id is the one asked for, and in quarantine all answers of slices that hold others; both are written."""
+    rows = v.posts.select("id", F.floor(c("create_s") / 3600).alias("slice"), F.when(c("k") == 7, c("id") + 1).when(c("k") != 8, c("id")).alias("echoed"))
+    path = files.scratch(v.spark, "split")
+    ledger.split_mismatched(rows, "id", "echoed", "slice", f"{path}/kept", f"{path}/quarantine")
+    read = lambda side: v.spark.read.schema(rows.schema).parquet(f"{path}/{side}").select(F.lit(side).alias("side"), "id", "slice")
+    return read("kept").unionByName(read("quarantine"))
 
 
 @query("in_dictionary_assert", "SELECT count(*) AS outside FROM posts WHERE (id & 4194303) NOT IN (SELECT id & 4194303 FROM posts WHERE k < 50)")
@@ -157,9 +178,11 @@ def _(v):
     return v.table("pages").select("page_id", rules.path_stem(c("url")).alias("stem"))
 
 
-@query("humanise_counts", """SELECT loc, CASE WHEN n >= 1000000 THEN printf('%.1fm', n / 1000000.0) WHEN n >= 1000 THEN printf('%.1fk', n / 1000.0) ELSE CAST(n AS VARCHAR) END AS shown FROM (SELECT loc, count(*) * 16 AS n FROM posts GROUP BY loc)""")
+@query("humanise_counts", """SELECT loc, CASE WHEN n >= 1000000 THEN printf('%.1fm', n / 1000000.0) WHEN n >= 1000 THEN printf('%.1fk', n / 1000.0) ELSE CAST(n AS VARCHAR) END AS shown, CASE WHEN length(d) > 20 THEN left(d, 20) || '...' ELSE d END AS descr
+ FROM (SELECT loc, count(*) * 16 AS n, max(descr || repeat('+', k)) AS d FROM posts GROUP BY loc)""")
 def _(v):
-    return v.posts.groupBy("loc").agg((F.count(F.lit(1)) * 16).alias("n")).select("loc", rules.human_count(c("n")).alias("shown"))
+    n = v.posts.groupBy("loc").agg((F.count(F.lit(1)) * 16).alias("n"), F.max(F.concat("descr", F.repeat(F.lit("+"), c("k").cast("int")))).alias("d"))
+    return n.select("loc", rules.human_count(c("n")).alias("shown"), rules.shortened(c("d")).alias("descr"))
 
 
 @query("map_values_default", "SELECT event_id, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' ELSE 'Other' END AS label FROM posts")
@@ -168,10 +191,21 @@ def _(v):
     return v.posts.join(F.broadcast(names), "event_type", "left").select("event_id", F.coalesce("label", F.lit("Other")).alias("label"))
 
 
-@query("normalise_country", "SELECT CASE loc WHEN 'CHINA' THEN 'CHN' ELSE upper(substr(loc, 1, 3)) END AS code, count(*) AS n FROM posts GROUP BY 1")
+#: A dimension of made-up two-letter codes, and a table that overrides it.
+CODES_SQL = """WITH d AS (SELECT n_name AS loc, 'N' || chr(65 + n_nationkey) AS alpha2, 'NA' || chr(65 + n_nationkey) AS alpha3 FROM nation WHERE n_nationkey % 7 <> 6),
+ o AS (SELECT 'N' || chr(65 + n_nationkey) AS alpha2, 'OV' || n_regionkey AS alpha3 FROM nation WHERE n_nationkey % 5 = 0),
+ p AS (SELECT lower(' n' || chr(65 + n_nationkey) || ' ') AS code FROM posts JOIN nation ON n_name = loc) """
+
+
+@query("normalise_country", CODES_SQL + "SELECT coalesce(o.alpha3, d.alpha3, '?') AS code, count(*) AS n FROM p LEFT JOIN d ON upper(trim(code)) = d.alpha2 LEFT JOIN o ON upper(trim(code)) = o.alpha2 GROUP BY 1")
 def _(v):
-    code = F.when(c("loc") == "CHINA", "CHN").otherwise(F.upper(F.substring("loc", 1, 3)))
-    return counts.value_counts(v.posts.select(code.alias("code")), ["code"])
+    """Posts by the three-letter code of their two-letter one, an override's first; several countries may share one, unknown codes are '?'."""
+    n = v.table("nation")
+    alpha2 = F.concat(F.lit("N"), F.char((65 + c("n_nationkey")).cast("long")))
+    dimension = n.where("n_nationkey % 7 <> 6").select(alpha2.alias("alpha2"), F.concat(F.lit("NA"), F.char((65 + c("n_nationkey")).cast("long"))).alias("alpha3"))
+    overrides = n.where("n_nationkey % 5 = 0").select(alpha2.alias("alpha2"), F.concat(F.lit("OV"), "n_regionkey").alias("alpha3"))
+    posts = v.posts.join(F.broadcast(n.select(c("n_name").alias("loc"), F.lower(F.concat(F.lit(" "), alpha2, F.lit(" "))).alias("code"))), "loc")
+    return counts.value_counts(countries.normalised(posts, "code", dimension, overrides), ["code"])
 
 
 @query("country_in_list", "SELECT round(avg(CASE WHEN n_regionkey IN (1, 3) THEN 1.0 ELSE 0.0 END), 4) AS share, round(avg(CASE WHEN n_regionkey IN (1, 3) THEN plays END), 4) AS mean_plays FROM posts JOIN countries USING (loc)")
@@ -208,24 +242,54 @@ def _(v):
     return v.posts.select("event_id", R(rules.zero_if_missing(x)).alias("x"))
 
 
-@query("embedded_json", "SELECT page_id, page_id % 3 AS status_code FROM pages")
+#: Pages with the state that a site's script leaves in them: whole, cut off, broken, of an error, without the item, or with none.
+PAGES_SQL = """WITH g AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '{"itemInfo":{"itemStruct":{"id":' || page_id || ',"desc":"a } \\"b\\" {"}}}' WHEN 1 THEN '{"statusCode":10204,"statusMsg":"gone"}'
+  WHEN 2 THEN '{"statusCode":0}' WHEN 3 THEN '{"itemInfo":{"itemStruct":' ELSE '{"itemInfo":{"itemStruct":{"id":1}}}' END AS detail FROM pages) """
+
+
+@query("embedded_json", PAGES_SQL + """SELECT page_id, CASE WHEN page_id % 6 = 0 THEN page_id END AS id, CASE WHEN page_id % 6 = 0 THEN 'a } "b" {' END AS descr, CASE WHEN page_id % 6 = 1 THEN 10204 END AS status_code, CASE WHEN page_id % 6 = 1 THEN 'gone' END AS status_msg,
+ CASE page_id % 6 WHEN 2 THEN 'no item' WHEN 3 THEN 'broken state' WHEN 4 THEN 'no state' WHEN 5 THEN 'no state' END AS error FROM g""")
 def _(v):
-    html = F.concat(F.lit('<x>"detail":{"statusCode":'), (c("page_id") % 3).cast("string"), F.lit('},"end":'), "html")
-    cut = F.regexp_extract(html, r'"detail":(\{.*?\}),"end"', 1)
-    return v.table("pages").select("page_id", F.get_json_object(cut, "$.statusCode").cast("long").alias("status_code"))
+    i = c("page_id")
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    detail = (F.when(i % 6 == 0, say('{"itemInfo":{"itemStruct":{"id":', i.cast("string"), ',"desc":"a } \\"b\\" {"}}}')).when(i % 6 == 1, '{"statusCode":10204,"statusMsg":"gone"}')
+              .when(i % 6 == 2, '{"statusCode":0}').when(i % 6 == 3, '{"itemInfo":{"itemStruct":').otherwise('{"itemInfo":{"itemStruct":{"id":1}}}'))
+    state = say("<script>{", F.lit(pages.START), detail, F.when(i % 6 == 4, "").otherwise(pages.END), "{}}</script>")
+    html = F.when(i % 6 == 5, c("html")).otherwise(F.concat(F.substring("html", 1, 200), state, F.substring("html", F.lit(201), F.length("html"))))
+    got = pages.state(html, "id bigint, desc string")
+    return v.table("pages").select("page_id", got.alias("s")).select("page_id", "s.item.id", c("s.item.desc").alias("descr"), "s.status_code", "s.status_msg", "s.error")
+
 
+ATTEMPTS_SQL = r"""WITH a AS (SELECT event_id, k, ts, unnest(range(k % 4)) AS pos FROM posts), p AS (SELECT event_id, pos, CASE pos WHEN 0 THEN 'Timeout(''x'')' WHEN 1 THEN 'it''s "bad", {', 'post_time'': None}' || chr(10) || '\ end' ELSE repeat('e', 60 + k) END AS exception,
+  CASE WHEN pos <> 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS pre_time, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S.%f') AS post_time FROM a) """.replace("{', 'post", "{'', ''post")
 
-@query("parse_attempts", "SELECT event_id, k % 4 AS n_attempts FROM posts")
+
+def attempts_text(v):
+    """The tried requests of each post as the text of a list of dictionaries: messages with either quote, both, escapes and what looks like the list itself."""
+    number = lambda part: part("ts").cast("string")
+    micros = (F.unix_micros("ts") % 1_000_000).cast("string")
+    date = F.concat_ws(", ", number(F.year), number(F.month), number(F.dayofmonth), number(F.hour), number(F.minute))
+    to_minute = F.concat(F.lit("datetime.datetime("), date, F.lit(")"))
+    full = F.concat(F.lit("datetime.datetime("), date, F.lit(", "), number(F.second), F.when(micros != "0", F.concat(F.lit(", "), micros)).otherwise(""), F.lit(")"))
+    entry = lambda e, pre, post: F.concat(F.lit("{'exception': "), e, F.lit(", 'pre_time': "), pre, F.lit(", 'post_time': "), post, F.lit("}"))
+    long = F.concat(F.lit("'"), F.repeat(F.lit("e"), (60 + c("k")).cast("int")), F.lit("'"))
+    made = F.array(entry(F.lit("\"Timeout('x')\""), full, to_minute), entry(F.lit(r"""'it\'s "bad", {\', \'post_time\': None}\n\\ end'"""), F.lit("None"), to_minute), entry(long, full, to_minute))
+    return v.posts.select("event_id", F.concat(F.lit("["), F.array_join(F.slice(made, F.lit(1), (c("k") % 4).cast("int")), ", "), F.lit("]")).alias("text"))
+
+
+@query("parse_attempts", ATTEMPTS_SQL + "SELECT event_id, CAST(pos AS INTEGER) AS pos, exception, pre_time, post_time FROM p")
 def _(v):
-    text = F.concat(F.lit("["), F.repeat(F.lit("Timeout('x'), "), (c("k") % 4).cast("int")), F.lit("]"))
-    return v.posts.select("event_id", F.size(F.regexp_extract_all(text, F.lit(r"(\w+)\('"), F.lit(1))).cast("long").alias("n_attempts"))
+    shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    rows = attempts_text(v).select("event_id", F.posexplode(attempts.parse(c("text"))).alias("pos", "a"))
+    return rows.select("event_id", "pos", "a.exception", shown(c("a.pre_time")).alias("pre_time"), shown(c("a.post_time")).alias("post_time"))
 
 
-@query("truncate_attempts", "SELECT event_id, least(k, 5) AS longest FROM posts")
+@query("truncate_attempts", ATTEMPTS_SQL + "SELECT event_id, '[' || array_to_string(list(left(exception, 100) ORDER BY pos), ', ') || ']' AS exceptions, max(length(exception)) AS longest FROM p GROUP BY event_id")
 def _(v):
-    attempts = F.array(F.struct(F.repeat(F.lit("e"), c("k").cast("int")).alias("exception"), c("ts").alias("at")))
-    short = F.transform(attempts, lambda a: F.struct(F.substring(a["exception"], 1, 5).alias("exception"), a["at"].alias("at")))
-    return v.posts.select("event_id", F.array_max(F.transform(short, lambda a: F.length(a["exception"]))).cast("long").alias("longest"))
+    parsed = attempts_text(v).select("event_id", attempts.parse(c("text")).alias("a")).where(F.size("a") > 0)
+    short = attempts.truncate(c("a"))
+    return parsed.select("event_id", F.concat(F.lit("["), F.array_join(short["exception"], ", "), F.lit("]")).alias("exceptions"),
+                         F.array_max(F.transform("a", lambda a: F.length(a["exception"]))).cast("long").alias("longest"))
 
 
 @query("bucket_exceptions", "SELECT CASE WHEN contains(event_type, 'err') THEN 'error' WHEN contains(event_type, 'c') THEN 'c' ELSE 'rest' END AS bucket, count(*) AS n FROM posts GROUP BY 1 ORDER BY n DESC, bucket LIMIT 5")
@@ -234,29 +298,55 @@ def _(v):
     return counts.top_k(counts.value_counts(v.posts.select(bucket.alias("bucket")), ["bucket"]), [F.desc("n"), "bucket"], 5)
 
 
-@query("geo_distance_share", "SELECT event_id, round(2 * 6371 * asin(sqrt(pow(sin(radians(plays % 90) / 2), 2))) / (2 * 6371 * asin(sqrt(pow(sin(radians(90.0) / 2), 2)))), 4) AS share FROM posts WHERE plays >= 0")
+#: Where posts are, and the two places between which they are set, in degrees.
+PLACE_SQL, NEAR, FAR = "(user_id % 25) * 4.0 - 48 AS lat, (user_id % 36) * 10.0 - 175 AS lon", (38.9, -77.0), (1.35, 103.8)
+
+
+def km_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return f"2 * 6371 * asin(sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))"
+
+
+@query("geo_distance_share", f"""WITH p AS (SELECT event_id, {PLACE_SQL} FROM posts), w AS (SELECT {km_sql(*map(str, NEAR + FAR))} AS whole)
+ SELECT event_id, round({km_sql('lat', 'lon', *map(str, NEAR))} / whole, 4) AS to_near, round({km_sql('lat', 'lon', *map(str, FAR))} / whole, 4) AS to_far FROM p, w""")
 def _(v):
-    zero = F.lit(0.0)
-    share = rules.haversine_km(zero, zero, (c("plays") % 90).cast("double"), zero) / rules.haversine_km(zero, zero, F.lit(90.0), zero)
-    return v.posts.where("plays >= 0").select("event_id", R(share).alias("share"))
+    """How far posts are from either place, as a share of the way between both."""
+    at = lambda p: map(F.lit, p)
+    whole = rules.haversine_km(*at(NEAR), *at(FAR))
+    rows = v.posts.select("event_id", ((c("user_id") % 25) * 4.0 - 48).alias("lat"), ((c("user_id") % 36) * 10.0 - 175).alias("lon"))
+    share = lambda p: R(rules.haversine_km(c("lat"), c("lon"), *at(p)) / whole)
+    return rows.select("event_id", share(NEAR).alias("to_near"), share(FAR).alias("to_far"))
 
 
 for _name, _frame, _keys in (
     ("value_counts", "posts", ["loc"]), ("value_counts_multi", "posts", ["event_type", "loc"]), ("value_counts_by_country", "posts", ["loc", "plays"]),
-    ("comment_distributions", "comments", ["lang"]), ("worker_country_crosstab", "posts", ["worker", "loc"]), ("geo_counter_heatmap", "posts", ["dc", "counter"])):
+    ("worker_country_crosstab", "posts", ["worker", "loc"]), ("geo_counter_heatmap", "posts", ["dc", "counter"])):
     query(_name, f"SELECT {', '.join(_keys)}, count(*) AS n FROM {_frame} GROUP BY ALL")(
         lambda v, frame=_frame, keys=_keys: counts.value_counts(getattr(v, frame), keys))
 
 
+@query("comment_distributions", "SELECT 'language' AS of, lang AS value, count(*) AS n FROM comments GROUP BY lang UNION ALL SELECT 'second', CAST(create_s AS VARCHAR), count(*) FROM comments GROUP BY create_s")
+def _(v):
+    """Comments by language and by second, from one pass."""
+    each = F.array(F.struct(F.lit("language").alias("of"), c("lang").alias("value")), F.struct(F.lit("second").alias("of"), c("create_s").cast("string").alias("value")))
+    return counts.value_counts(v.comments.select(F.inline(each)), ["of", "value"])
+
+
 @query("merge_value_counts", "SELECT loc, count(*) AS n FROM posts GROUP BY loc")
 def _(v):
     parts = [counts.value_counts(v.posts.where(c("event_id") % 2 == i), ["loc"]) for i in (0, 1)]
     return counts.merge_counts(parts, ["loc"])
 
 
-@query("distinct_authors", "SELECT count(DISTINCT author) AS authors FROM posts")
+@query("distinct_authors", "SELECT count(DISTINCT author) AS authors, TRUE AS estimated, count(DISTINCT CASE WHEN hour(ts) < 12 THEN author END) AS morning, TRUE AS morning_estimated FROM posts")
 def _(v):
-    return v.posts.agg(F.count_distinct("author").alias("authors"))
+    """Exact numbers, and whether those of sketches of the hours, united for the whole day and for its first half, lie within three hundredths."""
+    held = counts.sketches(v.posts.select("author", F.hour("ts").alias("hour")), ["hour"], "author")
+    day = counts.distinct_of(held).select(c("distinct").alias("e_day"))
+    half = counts.distinct_of(held.where("hour < 12")).select(c("distinct").alias("e_half"))
+    exact = v.posts.agg(F.count_distinct("author").alias("authors"), F.count_distinct(F.when(F.hour("ts") < 12, c("author"))).alias("morning"))
+    near = lambda e, n: F.abs(e - n) <= F.greatest(n * 0.03, F.lit(1.0))
+    rows = exact.crossJoin(day).crossJoin(half)  # one row each
+    return rows.select("authors", near(c("e_day"), c("authors")).alias("estimated"), "morning", near(F.coalesce("e_half", F.lit(0)), c("morning")).alias("morning_estimated"))
 
 
 @query("weighted_mean", "SELECT round(avg(plays), 4) AS mean FROM posts")
@@ -265,9 +355,15 @@ def _(v):
     return vc.agg(R(F.sum(c("plays") * c("n")) / F.sum("n")).alias("mean"))
 
 
-@query("log_histogram", "SELECT CASE WHEN plays > 0 THEN CAST(floor(log10(plays) * 10) AS BIGINT) END AS bin, count(*) AS n FROM posts WHERE plays >= 0 GROUP BY 1")
+BINS_SQL = """, b AS (SELECT e AS lo, lead(e) OVER (ORDER BY e) AS hi, lead(e, 2) OVER (ORDER BY e) IS NULL AS closed FROM u),
+ h AS (SELECT lo, hi, count(x) AS n FROM b LEFT JOIN v ON x >= lo AND (x < hi OR closed AND x = hi) WHERE hi IS NOT NULL GROUP BY lo, hi) """
+
+
+@query("log_histogram", """WITH v AS (SELECT plays AS x FROM posts WHERE plays >= 0), m AS (SELECT min(x) AS low, max(x) AS high FROM v),
+ g AS (SELECT pow(10, CASE WHEN low = 0 THEN log10(high) * i / 20 ELSE log10(low) + (log10(high) - log10(low)) * i / 20 END) AS e FROM m, (SELECT unnest(range(0, 21)) AS i) UNION ALL SELECT 0.0 FROM m WHERE low = 0),
+ u AS (SELECT DISTINCT round_even(e, 0) AS e FROM g)""" + BINS_SQL + "SELECT lo, hi, n FROM h")
 def _(v):
-    return counts.log_histogram(v.posts.where("plays >= 0"), "plays", 10)
+    return counts.log_histogram(v.posts.where("plays >= 0"), "plays", 20).select("lo", "hi", "n")
 
 
 @query("linear_histogram", "SELECT least(CAST(floor(plays * 100.0 / m) AS BIGINT), 99) AS bin, count(*) AS n FROM posts, (SELECT max(plays) AS m FROM posts) WHERE plays >= 0 GROUP BY 1")
@@ -275,9 +371,11 @@ def _(v):
     return counts.linear_histogram(v.posts.where("plays >= 0"), "plays", 100)
 
 
-@query("geom_histogram", "SELECT CAST(floor(ln(o) / ln(2)) AS BIGINT) AS bin, count(*) AS n FROM (SELECT create_s - posted_s AS o FROM comments) WHERE o >= 1 GROUP BY 1")
+@query("geom_histogram", """WITH v AS (SELECT create_s - posted_s AS x FROM comments), u AS (SELECT CASE i WHEN 0 THEN 1.0 WHEN 99 THEN high ELSE pow(10, log10(high) * i / 99) END AS e FROM (SELECT max(x) AS high FROM v), (SELECT unnest(range(0, 100)) AS i))""" + BINS_SQL
+       + "SELECT round(lo, 3) AS lo, round(hi, 3) AS hi, n, round(n / sum(n) OVER (), 6) AS share FROM h")
 def _(v):
-    return counts.geometric_histogram(v.comments.select((c("create_s") - c("posted_s")).alias("o")), "o", 2.0)
+    rows = v.comments.select((c("create_s") - c("posted_s")).alias("o"))
+    return counts.geometric_histogram_to_max(rows, "o").select(R(c("lo"), 3).alias("lo"), R(c("hi"), 3).alias("hi"), "n", R(c("share"), 6).alias("share"))
 
 
 @query("offset_hist_by_activity", """WITH a AS (SELECT uid, count(*) AS m FROM comments GROUP BY uid), t AS (SELECT unnest([1, 5, 25]) AS least)
@@ -314,14 +412,19 @@ def _(v):
     return v.posts.groupBy(*[F.unix_timestamp(F.date_trunc(u, "ts")).alias(u) for u in ("minute", "hour")]).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fetch_timeline", "SELECT create_s, count(*) AS fetches, count(status_msg) AS exceptions FROM posts GROUP BY 1")
+@query("fetch_timeline", """WITH f AS (SELECT create_s // 60 * 60 AS at, count(*) AS fetches, count(status_msg) AS exceptions FROM posts GROUP BY 1)
+ SELECT t."at" AS at, coalesce(fetches, 0) AS fetches, coalesce(exceptions, 0) AS exceptions FROM (SELECT unnest(range(min(f.at), max(f.at) + 1, 60)) AS "at" FROM f) t LEFT JOIN f ON t."at" = f."at" """)
 def _(v):
-    return v.posts.groupBy("create_s").agg(F.count(F.lit(1)).alias("fetches"), F.count("status_msg").alias("exceptions"))
+    """By minute, as a second of the given month is empty as a rule; minutes without fetches are there, too."""
+    return counts.timeline(v.posts.select("create_s", "status_msg"), "create_s", 60, fetches=F.count(F.lit(1)), exceptions=F.count("status_msg"))
 
 
-@query("extrapolate_sample", "SELECT hour(ts) AS h, count(*) * 60 AS estimate FROM posts WHERE minute(ts) = 42 GROUP BY 1")
+@query("extrapolate_sample", """WITH m AS (SELECT hour(ts) AS h, minute(ts) AS m, count(*) AS n FROM posts GROUP BY 1, 2), f AS (SELECT avg(n) / max(CASE WHEN m = 42 THEN n END) AS factor FROM m WHERE h = 19)
+ SELECT h, round(n * 60 * factor, 4) AS estimate FROM m, f WHERE m = 42""")
 def _(v):
-    return v.posts.where(F.minute("ts") == 42).groupBy(F.hour("ts").alias("h")).agg((F.count(F.lit(1)) * 60).alias("estimate"))
+    """An hour from its minute 42, times how the whole hour 19 relates to its own minute 42."""
+    per = v.posts.groupBy(F.hour("ts").alias("h"), F.minute("ts").alias("m")).agg(F.count(F.lit(1)).alias("n"))  # 1440 rows
+    return counts.extrapolated(per, "h", "m", 42, per.where("h = 19")).select("h", R(c("estimate")).alias("estimate"))
 
 
 @query("fold_by_second", "SELECT s, count(*) AS seconds, round(avg(n), 4) AS mean, round(stddev_samp(n), 4) AS sd FROM (SELECT create_s % 60 AS s, create_s, count(*) AS n FROM posts GROUP BY 1, 2) GROUP BY s")

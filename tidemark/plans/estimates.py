@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import coverage, estimators
+from .joins_windows import INTERVALS
 from .registry import query
 
 c = F.col
@@ -27,16 +28,11 @@ def _(v):
     return estimators.good_turing(cc).select("r", "species", R(c("p"), 9).alias("p"))
 
 
-#: Bit intervals of the low word, of at most 10 bits each.
-INTERVALS = ((10, 17), (18, 23), (24, 31), (0, 9))
-
-
 @query("segment_distinct_ci", """WITH s AS (SELECT i.a || '-' || i.b AS segment, (id >> (31 - i.b)) & ((1 << (i.b - i.a + 1)) - 1) AS x FROM posts, (SELECT unnest([10, 18, 24, 0]) AS a, unnest([17, 23, 31, 9]) AS b) i),
  n AS (SELECT segment, x, count(*) AS n FROM s GROUP BY 1, 2), r AS (SELECT segment, rep, count(*) FILTER (WHERE CAST('0x' || substr(md5(segment || ':' || x || ':' || rep), 1, 13) AS BIGINT) / 4503599627370496.0 < 1 - exp(-n)) AS d FROM n, (SELECT unnest(range(1, 101)) AS rep) GROUP BY 1, 2)
  SELECT segment, (SELECT count(*) FROM n WHERE n.segment = r.segment) AS distinct_values, round(quantile_cont(d, 0.05), 4) AS lower FROM r GROUP BY segment""")
 def _(v):
-    places = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("segment"), ids.segment(c("id"), a, b).alias("x")) for a, b in INTERVALS])
-    n = v.posts.select(F.inline(places)).groupBy("segment", "x").agg(one().alias("n"))
+    n = coverage.interval_counts(v.posts, "id", INTERVALS)
     return estimators.distinct_interval(n, "segment", "x", 100, 0.95).select("segment", c("distinct").alias("distinct_values"), R(c("lower")).alias("lower"))
 
 
@@ -67,9 +63,17 @@ def _(v):
     return estimators.prevalence_interval(found_by_country(v), "loc", PRECISION, RECALL, 300)
 
 
-@query("prevalence_ci_adjusted")
+TESTED, TRUST = 6110, 0.7
+
+
+@query("prevalence_ci_adjusted", f"""WITH g AS (SELECT loc, CAST(count(*) FILTER (WHERE k > 60) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM posts GROUP BY loc),
+ s AS (SELECT loc, k, n, k * {PRECISION} / {RECALL} / n * 100 AS point, exp(1.959963984540054 * sqrt((1 - k / n) / nullif(k, 0) + {1 - PRECISION} / ({PRECISION} * m) + {1 - RECALL} / ({RECALL} * m)
+  + pow(({1 - TRUST}) * 0.2 / {PRECISION}, 2) + pow(({1 - TRUST}) * 0.2 / {RECALL}, 2))) AS spread FROM g, (SELECT {TESTED} * {TRUST} * {TRUST} AS m))
+ SELECT loc, round(point, 4) AS point, round(CASE WHEN k = 0 THEN 0 ELSE point / spread END, 4) AS lower,
+  round(least(CASE WHEN k = 0 THEN (1 - pow(0.025, 1 / n)) * {PRECISION} / {RECALL} * 100 ELSE point * spread END, 100), 4) AS upper FROM s""")
 def _(v):
-    return estimators.prevalence_interval_adjusted(found_by_country(v), "loc", PRECISION, RECALL, 6110, 0.7)
+    out = estimators.prevalence_interval_adjusted(found_by_country(v), "loc", PRECISION, RECALL, TESTED, TRUST)
+    return out.select("loc", *[R(c(x)).alias(x) for x in ("point", "lower", "upper")])
 
 
 @query("permutation_blocks", """WITH c AS (SELECT cid, uid, small_author AS a FROM comments), r AS (SELECT c.*, rep FROM c, (SELECT unnest(range(1, 6)) AS rep)),
@@ -83,22 +87,16 @@ def _(v):
     return out.select("size", "observed", R(c("mean")).alias("mean"), R(c("sd")).alias("sd"), R(c("p")).alias("p"))
 
 
-STARTS = [-1.0, -0.75, -0.5, -0.25, -0.1, -0.05]
-
-
-@query("deletion_curve", """WITH w AS (SELECT CAST(date_diff('day', DATE '2024-01-01', date_trunc('week', ts)) AS DOUBLE) + 7 AS t, count(*) FILTER (WHERE status_msg = 'status_deleted') / count(*) AS rate FROM posts GROUP BY 1),
- s AS (SELECT 0.0 AS t, 0.0 AS rate UNION ALL SELECT t, rate FROM w), i AS (SELECT t, rate, row_number() OVER (ORDER BY t) - 1 AS i FROM s),
- g AS (SELECT a, ln(t - a) AS x, rate AS y, pow(1 + i, 2) AS w FROM i, (SELECT unnest([CAST(-1.0 AS DOUBLE), -0.75, -0.5, -0.25, -0.1, -0.05]) AS a) WHERE t > a),
- f AS (SELECT a, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM g GROUP BY a),
- h AS (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS c FROM f), k AS (SELECT a, c, (sy - c * sx) / sw AS d, syy - c * sxy - (sy - c * sx) / sw * sy AS sse FROM h)
- SELECT a, round(c, 6) AS c, round(d, 6) AS d, round(sse, 6) AS sse FROM k ORDER BY round(k.sse, 9), a LIMIT 1""")
+@query("deletion_curve")
 def _(v):
-    """Weekly deletion rates after an anchor of rate 0 a week before the first; a point i from the anchor on weighs (1 + i) squared."""
+    """Weekly rates of each status after an anchor of rate 0 a week before the first; a point i from the anchor on weighs 1 + i, as its residual is divided by 1 / (1 + i)."""
     from pyspark.sql import Window
 
-    week = F.date_trunc("week", "ts")
-    rate = F.count_if(c("status_msg") == "status_deleted") / one()
-    weekly = v.posts.groupBy((F.datediff(week, F.lit("2024-01-01")) + 7).cast("double").alias("t")).agg(rate.alias("rate"))
-    anchor = v.spark.range(1).select(F.lit(0.0).alias("t"), F.lit(0.0).alias("rate"))
-    series = anchor.unionByName(weekly).withColumn("i", F.row_number().over(Window.orderBy("t")) - 1)  # a row a week
-    return estimators.log_curve(series, STARTS, F.pow(1 + c("i"), 2)).select("a", *[R(c(x), 6).alias(x) for x in ("c", "d", "sse")])
+    week = ((F.datediff(F.date_trunc("week", "ts"), F.lit("2024-01-01"))) + 7).cast("double")
+    all_ = v.posts.groupBy(week.alias("t")).agg(one().alias("total"))
+    each = v.posts.where("status_msg is not null").groupBy(c("status_msg").alias("status"), week.alias("t")).agg(one().alias("n"))
+    weekly = each.join(all_, "t").select("status", "t", (c("n") / c("total")).alias("rate"))
+    anchors = each.select("status").distinct().select("status", F.lit(0.0).alias("t"), F.lit(0.0).alias("rate"))
+    place = F.row_number().over(Window.partitionBy("status").orderBy("t"))  # a row a week
+    series = anchors.unionByName(weekly).withColumn("weight", place)
+    return estimators.log_curves(series, "status", "t", "rate", "weight")

@@ -15,8 +15,15 @@ def one():
     return F.count(F.lit(1))
 
 
+#: Larger files are read by line; fetched documents over lines are smaller than this.
+SMALL_FILE = 100_000
+
+
 def fetched(v) -> str:
-    """Conversations as fetched comment answers: of each 20 one document, every other one spread over lines in a file of its own, some without comments."""
+    """Conversations as fetched comment answers: of each 20 one document, every other one spread over lines in a file of its own, some without comments.
+
+    Among the documents in lines every other line is broken off.
+    """
     user = F.struct((c("conv_id") % 97).alias("uid"), F.length("text").cast("long").alias("follower_count"), c("turn").alias("following_count"))
     comment = F.struct((c("conv_id") * 1000 + c("turn")).alias("cid"), "text", user.alias("user"))
     docs = v.table("conversations").groupBy(F.floor(c("conv_id") / 20).alias("d")).agg(F.collect_list(comment).alias("comments"))  # 20 conversations a document
@@ -24,19 +31,20 @@ def fetched(v) -> str:
     folder = files.scratch(v.spark, "answers")
     pretty = docs.where("d % 2 = 0").select(F.to_json(F.struct(data.alias("data")), {"pretty": "true"}))
     pretty.write.option("maxRecordsPerFile", 1).text(f"{folder}/kind=pretty")
-    docs.where("d % 2 = 1").select(F.to_json(F.struct(data.alias("data")))).write.text(f"{folder}/kind=lines")
+    line = F.to_json(F.struct(data.alias("data")))
+    docs.where("d % 2 = 1").select(F.explode(F.array(line, F.substring(line, F.lit(1), F.length(line) - 3)))).write.text(f"{folder}/kind=lines")
     return folder
 
 
 @query("ingest_comments_json", "SELECT conv_id * 1000 + turn AS cid, text, conv_id % 97 AS uid FROM conversations WHERE (conv_id // 20) % 7 <> 3")
 def _(v):
-    return files.comments(files.read_json_documents(v.spark, fetched(v), files.COMMENTS)).select("cid", "text", "uid")
+    return files.comments(files.read_json_documents(v.spark, fetched(v), files.COMMENTS, SMALL_FILE)).select("cid", "text", "uid")
 
 
 @query("extract_commenter_profiles", """SELECT conv_id % 97 AS uid, arg_min(length(text), conv_id * 1000 + turn) AS follower_count, arg_min(turn, conv_id * 1000 + turn) AS following_count
  FROM conversations WHERE (conv_id // 20) % 7 <> 3 GROUP BY 1""")
 def _(v):
-    rows = files.comments(files.read_json_documents(v.spark, fetched(v), files.COMMENTS))
+    rows = files.comments(files.read_json_documents(v.spark, fetched(v), files.COMMENTS, SMALL_FILE))
     first = F.min_by(F.struct("follower_count", "following_count"), "cid")
     return rows.groupBy("uid").agg(first.alias("u")).select("uid", "u.*")
 

@@ -130,9 +130,14 @@ def _(v):
     return v.posts.agg((F.count_distinct(ids.suffix(c("id"))) * 1000 * 3600).alias("requests"))
 
 
-@query("join_comment_offsets", "SELECT cid, create_s - posted_s AS seconds FROM comments")
+@query("join_comment_offsets", """WITH k AS (SELECT l_orderkey * 10 + l_linenumber AS cid, CASE WHEN l_linenumber % 3 > 0 THEN epoch_us(l_shipdate) // 1000000 END AS create_s, CASE WHEN l_linenumber % 5 > 0 THEN l_orderkey END AS post FROM lineitem)
+ SELECT cid, create_s - epoch_us(o_orderdate) // 1000000 AS seconds FROM k LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 > 0) ON post = o_orderkey WHERE create_s IS NOT NULL AND o_orderdate IS NOT NULL""")
 def _(v):
-    return v.comments.where("create_s is not null and posted_s is not null").select("cid", (c("create_s") - c("posted_s")).alias("seconds"))
+    """Comments keep their post's time where it is known; only those with both times have an offset."""
+    times = v.table("lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("cid"), F.when(c("l_linenumber") % 3 > 0, F.unix_timestamp("l_shipdate")).alias("create_s"),
+                                       F.when(c("l_linenumber") % 5 > 0, c("l_orderkey")).alias("post"))
+    posts = v.table("orders").where("o_orderkey % 4 > 0").select(c("o_orderkey").alias("post"), F.unix_timestamp("o_orderdate").alias("posted_s"))
+    return times.join(posts, "post", "left").where("create_s is not null and posted_s is not null").select("cid", (c("create_s") - c("posted_s")).alias("seconds"))
 
 
 @query("join_group_size_back", "SELECT event_id, count(*) OVER (PARTITION BY author) AS n FROM posts")
@@ -145,10 +150,14 @@ def _(v):
     return v.predictions.select("doc_id", "prob").join(v.table("labels").select("doc_id", c("toxic").cast("long").alias("toxic")), "doc_id")
 
 
-@query("interaction_sets", "SELECT uid, count(*) AS n, array_to_string(list_sort(list(DISTINCT small_author)), ',') AS authors, count(DISTINCT small_author) AS distinct_authors FROM comments GROUP BY uid")
+@query("interaction_sets", "SELECT uid, count(*) AS n, array_to_string(list(small_author ORDER BY small_author), ',') AS every, array_to_string(list_sort(list(DISTINCT small_author)), ',') AS authors, count(DISTINCT small_author) AS distinct_authors FROM comments GROUP BY uid")
 def _(v):
-    own = F.array_sort(F.collect_set("small_author"))
-    return v.comments.groupBy("uid").agg(N().alias("n"), F.array_join(own, ",").alias("authors"), F.size(own).cast("long").alias("distinct_authors"))
+    """Each commenter's authors, one for each comment, and how many they are; the same without repeats."""
+    per = v.comments.groupBy("uid", "small_author").agg(N().alias("n"))  # a busy commenter's row holds each author once until here
+    own = F.array_sort(F.collect_list(F.struct("small_author", "n")))
+    rows = per.groupBy("uid").agg(F.sum("n").alias("n"), own.alias("own"))
+    every = F.flatten(F.transform("own", lambda x: F.array_repeat(x["small_author"], x["n"].cast("int"))))
+    return rows.select("uid", "n", F.array_join(every, ",").alias("every"), F.array_join(c("own")["small_author"], ",").alias("authors"), F.size("own").cast("long").alias("distinct_authors"))
 
 
 @query("block_groups", "SELECT authors, count(*) AS members FROM (SELECT uid, array_to_string(list_sort(list(DISTINCT small_author)), ',') AS authors FROM comments GROUP BY uid) GROUP BY authors HAVING count(*) > 5")
@@ -192,10 +201,17 @@ def _(v):
     return counts.value_counts(v.posts, ["loc", "worker"]).groupBy("loc").agg(F.min_by("worker", F.struct(-c("n"), c("worker"))).alias("worker"))
 
 
-@query("segment_stats", """WITH s AS (SELECT x, count(*) AS n FROM (SELECT (id >> 14) & 255 AS x FROM posts) GROUP BY x), t AS (SELECT sum(n) AS t FROM s)
- SELECT count(*) AS values, round(-sum(n / t * ln(n / t)), 4) AS entropy FROM s, t""")
+#: Intervals of bits of the low word of an id, of at most 10 bits each; the same in SQL.
+INTERVALS = ((10, 17), (18, 23), (24, 31), (0, 9))
+SEGMENTS_SQL = "WITH i AS (SELECT unnest([10, 18, 24, 0]) AS a, unnest([17, 23, 31, 9]) AS b), s AS (SELECT a || '-' || b AS segment, (id >> (31 - b)) & ((1 << (b - a + 1)) - 1) AS x, count(*) AS n FROM posts, i GROUP BY ALL)"
+
+
+@query("segment_stats", SEGMENTS_SQL + """, t AS (SELECT segment, sum(n) AS t, count(*) AS distinct_values FROM s GROUP BY segment), e AS (SELECT segment, round(-sum(n / t * ln(n / t)), 4) AS entropy FROM s JOIN t USING (segment) GROUP BY segment)
+ SELECT segment, x, n, distinct_values, entropy FROM s JOIN t USING (segment) JOIN e USING (segment)""")
 def _(v):
-    return coverage.entropy(v.posts.select(ids.segment(c("id"), 10, 17).alias("x")), "x")
+    """Each interval's histogram, with its distinct values and its entropy."""
+    n = coverage.interval_counts(v.posts, "id", INTERVALS)
+    return n.join(F.broadcast(coverage.interval_stats(n)), "segment").select("segment", "x", "n", c("values").alias("distinct_values"), "entropy")  # a row an interval
 
 
 @query("observed_combinations", "SELECT DISTINCT id & 4194303 AS suffix FROM posts")
@@ -203,11 +219,18 @@ def _(v):
     return v.posts.select(ids.suffix(c("id")).alias("suffix")).distinct()
 
 
-@query("missing_counters", """WITH g AS (SELECT create_s // 86400 AS day, dc, list(DISTINCT counter) AS seen, min(counter) AS a, max(counter) AS b FROM posts GROUP BY 1, 2),
- m AS (SELECT day, dc, len(seen) AS seen, list_filter(range(a, b + 1), lambda x: NOT list_contains(seen, x)) AS gone FROM g)
- SELECT day, dc, unnest(gone) AS counter FROM m WHERE len(gone) / seen < 0.2""")
+@query("missing_counters", """WITH r AS (SELECT id & 255 AS geo, ms, (id >> 14) & 31 AS counter, create_s // 2592000 AS slot FROM posts WHERE event_id % 32 NOT IN (3, 17) OR user_id % 17 > 8),
+ g AS (SELECT geo, slot, ms // 250 AS quarter, list(DISTINCT counter) AS seen, min(counter) AS a, max(counter) AS b FROM r GROUP BY 1, 2, 3),
+ m AS (SELECT geo, slot, quarter, len(seen) AS seen, list_filter(range(a, b + 1), lambda x: NOT list_contains(seen, x)) AS gone FROM g),
+ p AS (SELECT geo, slot, quarter, unnest(gone) AS counter FROM m WHERE len(gone) / seen < 0.2)
+ SELECT p.geo AS geo, slot, quarter, p.counter AS counter, slot * 2592000 * 4294967296 + quarter * 250 * 4194304 + p.counter * 16384 + p.geo AS proposed FROM p ANTI JOIN (SELECT DISTINCT geo, counter FROM r) k ON k.geo = p.geo AND k.counter = p.counter""")
 def _(v):
-    return coverage.missing(v.posts.withColumn("day", F.floor(c("create_s") / 86400)), ["day", "dc"], "counter", 0.2)
+    """Counters that a place leaves out between others in a quarter of all milliseconds, few enough to be odd, and that it was never asked for: the ids to try."""
+    i = c("id")
+    rows = v.posts.where((~(c("event_id") % 32).isin(3, 17)) | (c("user_id") % 17 > 8)).select(
+        ids.worker(i).alias("geo"), F.floor(c("ms") / 250).alias("quarter"), ids.counter(i).alias("counter"), F.floor(c("create_s") / 2592000).alias("slot"))
+    new = coverage.proposals(rows, "geo", ["slot", "quarter"], "counter", rows, 0.2)
+    return new.select("geo", "slot", "quarter", "counter", ids.compose(c("slot") * 2592000, c("quarter") * 250, c("counter"), c("geo")).alias("proposed"))
 
 
 HITS = "WITH h AS (SELECT id & 4194303 AS s, count(*) FILTER (WHERE status_msg IS NULL) AS hits, count(*) AS requests FROM posts GROUP BY 1), w AS (SELECT *, sum(hits) OVER (ORDER BY hits DESC, s ROWS UNBOUNDED PRECEDING) AS cum, sum(hits) OVER () AS total FROM h)"

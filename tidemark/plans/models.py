@@ -90,20 +90,9 @@ def _(v):
     return models.bit_dependence(v.posts.select((c("id").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))).alias("w")), "w", 32)
 
 
-@query("ols_engagement")
-def _(v):
-    """Standardised log plays on the standardised log of k and on flags of all hashtags of a kind but one."""
-    logs = v.posts.select(F.log1p("plays").alias("p"), F.log1p("k").alias("k"), rules.hashtags(c("descr")).alias("tags"))
-    mean = logs.agg(*[f(x).alias(f"{n}{x}") for x in ("p", "k") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = lambda x: ((c(x) - c(f"m{x}")) / c(f"s{x}")).alias(x)
-    tags = ("click", "error", "purchase", "signup")
-    rows = logs.crossJoin(F.broadcast(mean)).select(z("p"), z("k"), *[F.array_contains("tags", f"#{t}").cast("double").alias(t) for t in tags])
-    return models.least_squares(rows, ["k", *tags], "p").select("feature", F.round("value", 6).alias("value"))
-
-
 @query("mmr_representatives")
 def _(v):
-    return models.diverse_representatives(v.table("embeddings"), "label", "vec_id", "embedding", 8)
+    return models.diverse_representatives(v.table("embeddings"), "label", "vec_id", "embedding", 40)
 
 
 @query("representative_docs", """WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, lang, t, count(*) AS tf FROM w GROUP BY 1, 2, 3),

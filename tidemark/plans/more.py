@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules
-from ..operators import coverage
+from ..operators import coverage, models
+from .joins_windows import INTERVALS, SEGMENTS_SQL
 from .registry import query
 
 c = F.col
@@ -25,14 +26,12 @@ def _(v):
     return rows.select("width", "start", x.alias("x")).groupBy("width", "start", "x").agg(one().alias("n"))
 
 
-@query("coverage_combinations", """WITH b AS (SELECT loc, k, count(*) AS n FROM posts GROUP BY 1, 2), p AS (SELECT loc, n, sum(n) OVER (PARTITION BY loc ORDER BY n DESC, k ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY loc) AS t FROM b)
- SELECT loc, count(*) AS needed FROM p WHERE before < 0.9 * t GROUP BY loc""")
+@query("coverage_combinations", SEGMENTS_SQL + """, p AS (SELECT segment, n, sum(n) OVER (PARTITION BY segment ORDER BY n DESC, x ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY segment) AS t FROM s), k AS (SELECT segment, count(*) AS needed FROM p WHERE before * 10 < t * 9 GROUP BY segment)
+ SELECT segment, needed, CAST((SELECT product(needed) FROM k) AS BIGINT) AS combinations FROM k""")
 def _(v):
-    n = v.posts.groupBy("loc", "k").agg(one().alias("n"))
-    w = Window.partitionBy("loc")
-    before = F.sum("n").over(w.orderBy(F.desc("n"), "k").rowsBetween(Window.unboundedPreceding, 0)) - c("n")
-    p = n.withColumn("before", before).withColumn("t", F.sum("n").over(w))
-    return p.where(c("before") * 10 < c("t") * 9).groupBy("loc").agg(one().alias("needed"))
+    """The fewest values of each interval that reach nine tenths of all posts, and how many combinations they make."""
+    k = coverage.needed_values(coverage.interval_counts(v.posts, "id", INTERVALS), 9, 10)
+    return k.crossJoin(F.broadcast(k.agg(F.product("needed").cast("long").alias("combinations")))).select("segment", "needed", "combinations")  # one row
 
 
 SPECIES = "WITH s AS (SELECT count(*) AS r FROM posts GROUP BY id & 4194303), n AS (SELECT r, count(*) AS f FROM s GROUP BY r) "
@@ -62,18 +61,7 @@ def _(v):
     return species(v).select("r", R(F.when(high.isNull(), c("f") / (c("r") - low)).otherwise(2 * c("f") / (high - low))).alias("z"))
 
 
-@query("one_hot_hashtags", "SELECT id, CAST(contains(descr || ' ', '#click ') AS INTEGER) AS click, CAST(contains(descr || ' ', '#error ') AS INTEGER) AS error FROM posts")
-def _(v):
-    tags = rules.hashtags(c("descr"))
-    return v.posts.select("id", *[F.array_contains(tags, f"#{t}").cast("int").alias(t) for t in ("click", "error")])
-
 
-@query("topic_keyword_stats", "WITH t AS (SELECT k, plays, k = (SELECT min(k) FROM posts WHERE contains(descr, '#error')) AS m FROM posts) SELECT round(100.0 * count(*) FILTER (WHERE m) / count(*), 4) AS percent, count(*) FILTER (WHERE m) AS n, round(avg(plays) FILTER (WHERE m), 4) AS mean FROM t")
-def _(v):
-    first = v.posts.where(c("descr").contains("#error")).agg(F.min("k").alias("first"))
-    t = v.posts.crossJoin(F.broadcast(first))  # one row
-    m = c("k") == c("first")
-    return t.agg(R(100.0 * F.count_if(m) / one()).alias("percent"), F.count_if(m).alias("n"), R(F.avg(F.when(m, c("plays")))).alias("mean"))
 
 
 def vectors(v):
@@ -95,11 +83,5 @@ def _(v):
 
 @query("cluster_topics")
 def _(v):
-    """k-means over all vectors; topics numbered by falling size."""
-    from pyspark.ml.clustering import KMeans
-
-    e = vectors(v)
-    made = KMeans(k=8, seed=7, maxIter=10).fit(e).transform(e).select("vec_id", "prediction")
-    size = made.groupBy("prediction").agg(one().alias("n"))
-    rank = size.select("prediction", (F.row_number().over(Window.orderBy(F.desc("n"), "prediction")) - 1).alias("topic"))
-    return made.join(F.broadcast(rank), "prediction").select("vec_id", "topic")
+    """Topics of all vectors, from splits of a sample."""
+    return models.cluster_topics(v.table("embeddings"), "vec_id", "embedding", 8)

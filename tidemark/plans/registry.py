@@ -12,7 +12,7 @@ from ..sources.views import SQL, Views
 
 _queries: dict[str, Callable[[Views], DataFrame]] = {}
 _sql: dict[str, str] = {}
-MODULES = ("basic", "joins_windows", "statistics", "more", "streams", "files", "estimates", "models")
+MODULES = ("basic", "joins_windows", "statistics", "more", "streams", "files", "estimates", "models", "features")
 
 
 def query(name: str, sql: str | None = None):

@@ -62,15 +62,28 @@ def _(v):
 GROUPS = "avg(plays) FILTER (WHERE {0}) AS m{1}, var_samp(plays) FILTER (WHERE {0}) AS v{1}, count(plays) FILTER (WHERE {0}) AS n{1}"
 
 
-@query("ttest_welch", f"WITH a AS (SELECT {GROUPS.format('k < 10', 'a')}, {GROUPS.format('TRUE', 'b')} FROM posts) SELECT round((ma - mb) / sqrt(va / na + vb / nb), 4) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS dof FROM a")
+def p_value_sql(t: str, dof: str) -> str:
+    """stats.t_p_value() in SQL."""
+    end, n = f"least(pi() / 2, 40 / sqrt({dof}))", stats.STEPS
+    start = f"least(atan(abs({t}) / sqrt({dof})), {end})"
+    part = lambda low: (f"(({end}) - ({low})) * list_sum(list_transform(range(0, {n + 1}), lambda i: CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+                        f" * pow(greatest(cos(({low}) + i * ((({end}) - ({low})) / {n})), 0), ({dof}) - 1)))")
+    return f"round({part(start)} / ({part('0')}), 6)"
+
+
+@query("ttest_welch", f"""WITH a AS (SELECT {GROUPS.format('k < 10', 'a')}, {GROUPS.format('TRUE', 'b')} FROM posts),
+ r AS (SELECT (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS dof FROM a)
+ SELECT round(t, 4) AS t, round(dof, 4) AS dof, {p_value_sql('t', 'dof')} AS p FROM r""")
 def _(v):
     return stats.t_test(v.posts, c("plays"), c("k") < 10, F.lit(True))
 
 
-@query("ttest_pooled", f"WITH a AS (SELECT {GROUPS.format('minute(ts) = 0', 'a')}, {GROUPS.format('minute(ts) <> 0', 'b')} FROM posts) SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 4) AS t, round(CAST(na + nb - 2 AS DOUBLE), 4) AS dof FROM a")
+@query("ttest_pooled", f"""WITH a AS (SELECT {GROUPS.format('minute(ts) = 0', 'a')}, {GROUPS.format('minute(ts) <> 0', 'b')} FROM posts),
+ r AS (SELECT (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) AS t, CAST(na + nb - 2 AS DOUBLE) AS dof FROM a)
+ SELECT round(t, 4) AS t, round(dof, 4) AS dof, {p_value_sql('t', 'dof')} AS p FROM r""")
 def _(v):
     zero = F.minute("ts") == 0
-    return stats.t_test(v.posts, c("plays"), zero, ~zero, True).withColumn("dof", c("dof").cast("double"))
+    return stats.t_test(v.posts, c("plays"), zero, ~zero, True)
 
 
 LOCS = "WITH g AS (SELECT loc, count(*) AS n, max(population) AS population, max(young_share) AS young, max(coverage) AS coverage FROM posts JOIN countries USING (loc) GROUP BY loc) "
@@ -156,30 +169,51 @@ def _(v):
     return v.table("labels").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), c("doc_id") % 4)).alias("frame"))
 
 
-@query("topic_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
-def _(v):
-    return counts.value_counts(v.table("embeddings"), ["label"])
+#: Topics are the labels of vectors; a description is a nation's name and those of the two after it.
+TOPICS_SQL = """WITH d AS (SELECT CAST(a.n_nationkey AS BIGINT) AS topic, a.n_name || ' ' || b.n_name || ' ' || c.n_name AS description FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25 JOIN nation c ON c.n_nationkey = (a.n_nationkey + 2) % 25 WHERE a.n_nationkey < 12),
+ """
 
 
-@query("topic_distributions", "SELECT label, k % 5 AS bucket, count(*) AS n FROM posts JOIN embeddings ON vec_id = event_id GROUP BY 1, 2")
-def _(v):
-    t = v.table("embeddings").select(c("vec_id").alias("event_id"), "label")
-    return v.posts.join(t, "event_id").groupBy("label", (c("k") % 5).alias("bucket")).agg(one().alias("n"))
+def topic_descriptions(v):
+    n = v.table("nation").select(c("n_nationkey").cast("long").alias("topic"), "n_name")
+    named = lambda k: n.select(F.pmod(c("topic") - k, F.lit(25)).alias("topic"), c("n_name").alias(f"n{k}"))
+    rows = named(0).join(F.broadcast(named(1)), "topic").join(F.broadcast(named(2)), "topic")  # 25 rows
+    return rows.where("topic < 12").select("topic", F.concat_ws(" ", "n0", "n1", "n2").alias("description"))
 
 
-@query("one_hot_topics", "SELECT vec_id, CAST(label = 0 AS INTEGER) AS t0, CAST(label = 1 AS INTEGER) AS t1, CAST(label = 2 AS INTEGER) AS t2 FROM embeddings")
+@query("topic_counts", TOPICS_SQL + "n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT topic, description, coalesce(n, 0) AS n FROM d LEFT JOIN n ON topic = label")
 def _(v):
-    return v.table("embeddings").select("vec_id", *[(c("label") == i).cast("int").alias(f"t{i}") for i in range(3)])
+    """Descriptions with counts anew; topics that have lost all their rows stay."""
+    n = counts.value_counts(v.table("embeddings"), ["label"]).select(c("label").cast("long").alias("topic"), "n")
+    return topic_descriptions(v).join(n, "topic", "left").fillna(0, ["n"]).select("topic", "description", "n")
+
+
+#: Looked for in the descriptions of topics.
+KEYWORDS = ("nation_3", "ion_1 ", "_9 nation_10", "none")
 
 
-@query("drop_rare_features", "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(descr, '#[a-zA-Z0-9_]+')) AS tag FROM posts) GROUP BY tag HAVING count(*) >= 100")
+@query("topic_keyword_stats", TOPICS_SQL + f"""p AS (SELECT CAST(label AS BIGINT) AS topic, plays FROM posts JOIN embeddings ON vec_id = event_id), w AS (SELECT unnest({list(KEYWORDS)}) AS keyword),
+ f AS (SELECT keyword, min(topic) AS topic FROM w JOIN d ON contains(lower(description), keyword) GROUP BY keyword),
+ g AS (SELECT keyword, f.topic AS topic, {GROUPS.format('p.topic = f.topic', 'a')}, {GROUPS.format('TRUE', 'b')}, count(*) FILTER (WHERE p.topic = f.topic) AS n, count(*) AS total FROM f, p GROUP BY ALL),
+ r AS (SELECT *, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS dof FROM g)
+ SELECT keyword, topic, n, round(100.0 * n / total, 4) AS percent, round(ma, 4) AS mean, round(t, 4) AS t, round(dof, 4) AS dof, {p_value_sql('t', 'dof')} AS p FROM r""")
 def _(v):
-    return counts.value_counts(v.posts.select(F.explode(rules.hashtags(c("descr"))).alias("tag")), ["tag"]).where("n >= 100")
+    """The first topic whose description has each keyword: its share of posts, their number and mean plays, and how far that is from all posts' mean."""
+    words = v.spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")
+    found = topic_descriptions(v).join(F.broadcast(words), F.lower("description").contains(c("keyword"))).groupBy("keyword").agg(F.min("topic").alias("topic"))
+    p = v.posts.join(v.table("embeddings").select(c("vec_id").alias("event_id"), c("label").cast("long").alias("_topic")), "event_id").select("_topic", "plays")
+    same = c("_topic") == c("topic")
+    g = p.crossJoin(F.broadcast(found)).groupBy("keyword", "topic").agg(  # a row a keyword
+        *stats.moments(c("plays"), same, "a"), *stats.moments(c("plays"), F.lit(True), "b"), F.count_if(same).alias("n"), one().alias("total"))
+    kept = ["keyword", "topic", "n", R(100.0 * c("n") / c("total")).alias("percent"), R(c("m_a")).alias("mean")]
+    held = g.select("*", *kept[3:])
+    return stats.t_of(held, keep=["keyword", "topic", "n", "percent", "mean"])
 
 
-@query("collinear_pairs", "SELECT round(corr(plays, value), 4) AS r FROM posts")
+@query("topic_distributions", "SELECT label, k % 5 AS bucket, count(*) AS n FROM posts JOIN embeddings ON vec_id = event_id GROUP BY 1, 2")
 def _(v):
-    return v.posts.agg(R(F.corr("plays", "value")).alias("r"))
+    t = v.table("embeddings").select(c("vec_id").alias("event_id"), "label")
+    return v.posts.join(t, "event_id").groupBy("label", (c("k") % 5).alias("bucket")).agg(one().alias("n"))
 
 
 @query("topic_centroids", "SELECT label, i, round(avg(x), 4) + 0.0 AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2")
@@ -212,15 +246,18 @@ def _(v):
     return s.withColumn("rn", rn).where("rn <= 10").drop("rn")
 
 
-@query("zero_shot_scores", CENTROIDS + """, s AS (SELECT v.vec_id, t.topic, exp(5 * list_dot_product(CAST(v.embedding AS DOUBLE[]), t.e)) AS x FROM embeddings v, t)
- SELECT vec_id, round(avg(CASE WHEN topic < 5 THEN x END) / (avg(CASE WHEN topic < 5 THEN x END) + avg(CASE WHEN topic >= 5 THEN x END)), 4) AS score FROM s GROUP BY vec_id""")
+@query("zero_shot_scores", CENTROIDS + """, s AS (SELECT v.vec_id, t.topic, exp(5 * list_dot_product(CAST(v.embedding AS DOUBLE[]), t.e) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(t.e, t.e))) AS x FROM embeddings v, t),
+ p AS (SELECT vec_id, topic, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM s)
+ SELECT vec_id, round(avg(CASE WHEN topic < 5 THEN p END) / (avg(CASE WHEN topic < 5 THEN p END) + avg(CASE WHEN topic >= 5 THEN p END)), 4) AS score, arg_max(topic, (round(p, 8), -topic)) AS best FROM p GROUP BY vec_id""")
 def _(v):
-    """Prompts are the topics' mean vectors, those of topics 0 to 4 positive."""
+    """Prompts are the topics' mean vectors, those of topics 0 to 4 positive; vectors and prompts are normalised, their scaled products go through a softmax."""
     e = v.table("embeddings")
     p = models.centroids(e, "label", "embedding").toDF("topic", "e")
-    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(p)).select("vec_id", "topic", F.exp(5 * rules.dot(c("embedding"), c("e"))).alias("x"))
-    pos, neg = F.avg(F.when(c("topic") < 5, c("x"))), F.avg(F.when(c("topic") >= 5, c("x")))
-    return s.groupBy("vec_id").agg(R(pos / (pos + neg)).alias("score"))
+    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(p)).select("vec_id", "topic", F.exp(5 * rules.cosine(c("embedding"), c("e"))).alias("x"))  # a row a topic
+    own = s.groupBy("vec_id").agg(F.sum("x").alias("all"), F.avg(F.when(c("topic") < 5, c("x"))).alias("pos"), F.avg(F.when(c("topic") >= 5, c("x"))).alias("neg"),
+                                  F.collect_list(F.struct("x", "topic")).alias("each"))  # as many as topics
+    share = lambda x: F.struct(F.round(x["x"] / c("all"), 8).alias("p"), (-x["topic"]).alias("t"))
+    return own.select("vec_id", R(c("pos") / c("all") / (c("pos") / c("all") + c("neg") / c("all"))).alias("score"), (-F.array_max(F.transform("each", share))["t"]).alias("best"))
 
 
 @query("dedup_embeddings", "WITH u AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings) SELECT min(vec_id) AS vec_id FROM u GROUP BY embedding")
@@ -230,9 +267,17 @@ def _(v):
     return both.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
 
 
-@query("align_embeddings", "SELECT label AS batch, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) = count(DISTINCT vec_id)")
+@query("align_embeddings", """WITH i AS (SELECT event_id AS id, event_id // 50 AS batch FROM events), e AS (SELECT vec_id, vec_id // 50 AS batch, embedding FROM embeddings WHERE vec_id % 97 > 0),
+ b AS (SELECT coalesce(x.batch, y.batch) AS batch, coalesce(n, 0) AS ids, coalesce(m, 0) AS vectors FROM (SELECT batch, count(*) AS n FROM i GROUP BY batch) x FULL JOIN (SELECT batch, count(*) AS m FROM e GROUP BY batch) y ON x.batch = y.batch)
+ SELECT 'aligned' AS side, b.batch AS batch, i.id AS id, round(CAST(embedding[1] AS DOUBLE), 5) AS x FROM b JOIN i ON b.batch = i.batch JOIN e ON i.batch = e.batch AND i.id = e.vec_id WHERE ids = vectors
+ UNION ALL SELECT 'quarantine', batch, NULL, NULL FROM b WHERE ids <> vectors""")
 def _(v):
-    return v.table("embeddings").groupBy(c("label").alias("batch")).agg(one().alias("n"), F.count_distinct("vec_id").alias("d")).where("n = d").select("batch", "n")
+    """Vectors by id for batches that have as many vectors as ids; the numbers of others."""
+    ids = v.table("events").select(c("event_id").alias("id"), F.floor(c("event_id") / 50).alias("batch"))
+    vectors = v.table("embeddings").where("vec_id % 97 > 0").select(c("vec_id").alias("id"), F.floor(c("vec_id") / 50).alias("batch"), "embedding")
+    joined, quarantine = models.align_vectors(ids, vectors, "batch", "id")
+    aligned = joined.select(F.lit("aligned").alias("side"), "batch", "id", R(c("embedding")[0].cast("double"), 5).alias("x"))
+    return aligned.unionByName(quarantine.select(F.lit("quarantine").alias("side"), "batch"), allowMissingColumns=True)
 
 
 @query("sample_n", "SELECT id, plays FROM posts ORDER BY md5(id || ':7'), id, plays LIMIT 500")
