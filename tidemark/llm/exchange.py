@@ -10,6 +10,9 @@ Spark partitions, shuffles and retries them.
 
 from __future__ import annotations
 
+import bisect
+import copy
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +25,8 @@ from .text import trim
 
 ASK = "_b int, _k int, n int, keys binary, vals binary"
 ASK_TYPE = pa.schema([("_b", pa.int32()), ("_k", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
+#: What a null doc_id counts as.
+NO_ID = -(2**63)
 ANSWER = "_b int, _k int, reply binary"
 ANSWER_TYPE = pa.schema([("_b", pa.int32()), ("_k", pa.int32()), ("reply", pa.binary())])
 
@@ -45,10 +50,44 @@ def unpack(packed: bytes, n: int) -> np.ndarray:
     return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+class Edges:
+    """Where batches begin: at a doc_id, or inside one at a hash of its texts. Batches count from 0 in the order of ids, a crowded id's in that of hashes."""
+
+    def __init__(self, cuts: list[int], least: int):
+        """cuts: quantiles of doc_ids, one again for each share of the rows that it holds; least: the smallest doc_id, at which the first batch begins."""
+        ids, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.ids: list[int] = []
+        self.hashes: list[int] = []
+        for i, n in zip(ids.tolist(), times.tolist()):
+            for k in range(n + (i == least) if n > 1 or i != least else 0):
+                if (i, k) != (least, 0):  # so the first batch isn't empty
+                    self.ids.append(i)
+                    self.hashes.append((k << 64) // (n + (i == least)))
+        self.n, self.number = len(self.ids) + 1, None
+        self.crowded = len(set(self.ids)) < len(self.ids)
+
+    def batch(self, ids: np.ndarray, texts: pa.Array) -> np.ndarray:
+        own = np.array(self.ids, np.int64)
+        low, high = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
+        out = high.copy()
+        for at in np.flatnonzero(high - low > 1).tolist():
+            mark = int.from_bytes(hashlib.blake2b((texts[at].as_py() or "").encode(), digest_size=8).digest(), "big")
+            out[at] = bisect.bisect_right(self.hashes, mark, int(low[at]), int(high[at]))
+        return out if self.number is None else self.number[out]
+
+    def without_empty(self, held: list[int]) -> Edges:
+        """The same edges with the batches that hold rows counted anew."""
+        out = copy.copy(self)
+        out.n, out.number = len(held), np.full(self.n, -1)
+        out.number[np.sort(held)] = np.arange(len(held))
+        return out
+
+
 class Batches:
     """Documents as (doc_id, text, _b): batches of about batch_mb MB with consecutive doc_ids.
 
-    Rows of equal doc_id are in one batch; a null doc_id counts as the smallest. The rows are shuffled
+    A null doc_id counts as the smallest. Rows of one doc_id are in one batch, but where they would fill several, which shows by the
+    id being several of the quantiles that batches begin at: these share out its rows by ranges of a hash of the text. The rows are shuffled
     once, as compressed runs of one batch each, and every grouping by _b reuses that shuffle.
     """
 
@@ -57,26 +96,31 @@ class Batches:
         self.rows = rows = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
             *[c.alias(name) for name, c in more.items()])
-        size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least")).first()
+        size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("least")).first()
         self.docs, self.bytes = size["docs"], size["bytes"] or 0
         self.n = int(min(max(1, self.docs), max(1, -(-self.bytes // int(batch_mb * 1e6)))))
         cuts: list[int] = []
         if self.n > 1:
             at = [i / self.n for i in range(1, self.n)]
-            cuts = rows.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * self.n)).alias("c")).first()["c"] or []
-        edges = np.array(sorted({c for c in cuts if c > size["least"]}), np.int64)  # so no batch is empty
+            cuts = rows.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NO_ID)), at, max(10_000, 20 * self.n)).alias("c")).first()["c"] or []
+        edges = Edges(cuts, NO_ID if size["least"] is None or size["ids"] < self.docs else size["least"])
+
+        def dealt(edges: Edges) -> DataFrame:
+            return rows.mapInArrow(lambda batches: deal(batches, edges), "_b int, rows binary")
 
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def deal(batches: Iterator[pa.RecordBatch], edges: Edges) -> Iterator[pa.RecordBatch]:
             for rows in batches:
-                b = np.searchsorted(edges, rows["doc_id"].fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
+                b = edges.batch(rows["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False), rows["text"])
                 order = np.argsort(b, kind="stable")
                 heads = np.append(np.flatnonzero(np.diff(b[order], prepend=-1)), len(b))
                 runs = [(int(b[order[i]]), zipped(rows.take(pa.array(order[i:j])))) for i, j in zip(heads[:-1], heads[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in runs], pa.int32()), pa.array([z for _, z in runs], pa.binary())], ["_b", "rows"])
             trim()
 
-        self.n = len(edges) + 1
-        self._dealt = rows.mapInArrow(deal, "_b int, rows binary").repartition(self.n, "_b")
+        if edges.crowded:  # few texts may leave a range of hashes empty
+            edges = edges.without_empty([r["_b"] for r in dealt(edges).select("_b").distinct().collect()])
+        self.n = edges.n
+        self._dealt = dealt(edges).repartition(self.n, "_b")
 
     def each(self, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
         """What `work` makes of each batch's rows."""
@@ -187,7 +231,7 @@ def heard(table: pa.Table, keys: np.ndarray, buckets: int, dtype: np.dtype | str
 
 
 def ordered(table: pa.Table) -> pa.Table:
-    """A batch's rows by doc_id (null first), equal ones by text (null first)."""
+    """A batch's rows by doc_id (null first), equal ones by text (null first); those of a crowded id are in the order of hashes across batches."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if len(table) < 2 else table.take(
         pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
