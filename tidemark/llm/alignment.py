@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import scratch
-from .bpe import LEAF, Codec, codec
+from .bpe import SPREAD_LEAF, Codec, codec
 from .pieces import PieceCodec, piece_codec, text_slices, texts
 from .text import trim
 
@@ -90,8 +90,7 @@ class Aligner:
 
     def encoded(self, text: str) -> np.ndarray:
         """A's ids; a long text's leaves are joined in a tree."""
-        leaves = [text[i : i + LEAF] for i in range(0, len(text), LEAF)] if len(text) > 2 * LEAF else [text]
-        return self.a.tree([(leaf.encode(), self.a.ordinary(leaf)) for leaf in leaves]).astype(np.int64)
+        return self.a.joined(text, SPREAD_LEAF).astype(np.int64)
 
     def groups(self, ids_a: np.ndarray, ids_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> bytes:
         """`a1,a2|b1;a3|b2,b3` from the places of the last tokens of the groups on both sides."""

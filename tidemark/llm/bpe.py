@@ -1,14 +1,15 @@
 """BPE encoding and decoding with a byte-level vocabulary file, by tree concatenation.
 
-A long text is cut into leaves at fixed places, wherever words or white space stand. Spark deals
-the leaves over its tasks, each is encoded on its own, and neighbouring runs are joined in a tree:
+A text is cut into leaves at fixed places, wherever words or white space stand: every LEAF characters inside the
+task that has the text; texts over two leaves of SPREAD_LEAF characters are first cut into these, which Spark deals
+over its tasks. Each leaf is encoded on its own, and neighbouring runs are joined in a tree:
 a window of tokens around the join is encoded anew and grows until both sides agree with it. The
 window may end where white space follows a character (no piece of the split pattern crosses such a
 place), at the ends of the runs, or between letters inside a word, where its outermost token must
 equal the run's own token there. Two neighbouring tokens that stand together in a right encoding do
 so in every right encoding, so such an agreement makes the joined run exact.
 
-Texts up to LEAF * 2 characters are encoded whole. Strings of special tokens are cut out first, as
+Texts up to two leaves are encoded whole. Strings of special tokens are cut out first, as
 the tokenizers library does. The leaves of a text are gathered by its doc_id and a hash of it, never
 by a place in a partition, so a task that is run again gives the same ones. Null text is empty and
 has no ids. Repeated rows give repeated results. Extra columns are ignored.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .exchange import slices
 
-LEAF = 16_384
+LEAF, SPREAD_LEAF = 1000, 16_384
 SLICE = 2_000_000  # bytes of text that a task works on at a time
 #: The split pattern of byte-level BPE, and White_Space of Unicode.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -95,11 +96,18 @@ class Codec:
     def ordinary(self, text: str) -> np.ndarray:
         return np.array(self.base.encode_ordinary(text), "<u4")
 
+    def joined(self, text: str, leaf: int = LEAF) -> np.ndarray:
+        """ordinary() of a text from its leaves."""
+        if len(text) <= 2 * leaf:
+            return self.ordinary(text)
+        leaves = [text[i : i + leaf] for i in range(0, len(text), leaf)]
+        return self.tree([(t.encode(), self.ordinary(t)) for t in leaves])
+
     def encode(self, text: str) -> np.ndarray:
         found = parts(text, self.cut)
         if len(found) == 1:
-            return self.ordinary(text)
-        return np.concatenate([self.ordinary(p) if i % 2 == 0 else np.array([self.special[p]], "<u4") for i, p in enumerate(found)])
+            return self.joined(text)
+        return np.concatenate([self.joined(p) if i % 2 == 0 else np.array([self.special[p]], "<u4") for i, p in enumerate(found)])
 
     def raw(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -198,7 +206,7 @@ def _encoded(docs: DataFrame, path: str, leaf: int, make: Callable[[Codec, list[
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [np.array([c.special[t]], "<u4") if p % 2 else c.ordinary(t) for t, p in zip(batch["text"].to_pylist(), batch["part"].to_pylist())]
+            ids = [np.array([c.special[t]], "<u4") if p % 2 else c.joined(t) for t, p in zip(batch["text"].to_pylist(), batch["part"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "key", "part", "leaf", "ids"])
 
     def join(table: pa.Table) -> pa.Table:
@@ -220,7 +228,7 @@ def _encoded(docs: DataFrame, path: str, leaf: int, make: Callable[[Codec, list[
     return short.unionByName(found.groupBy("doc_id", "key").applyInArrow(join, schema))
 
 
-def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, path: str, leaf: int = SPREAD_LEAF) -> DataFrame:
     """doc_id and ids of every whole text."""
     return _encoded(docs, path, leaf, lambda c, ids: [_lists(ids)], "doc_id long, ids array<int>")
 
@@ -237,6 +245,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, leaf: int = SPREAD_LEAF) -> DataFrame:
     """doc_id, ids as little-endian unsigned 32-bit integers, and decoded, the text they stand for, by one task for each text."""
     return _encoded(docs, path, leaf, _decoded, "doc_id long, ids binary, decoded string")
