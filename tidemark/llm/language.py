@@ -71,6 +71,10 @@ def codewords(n: int) -> np.ndarray:
 class Model:
     def __init__(self, names: list[str], frequencies: np.ndarray):
         self.names, self.code = names, codewords(len(names))
+        self.trust = np.ones_like(self.code)
+        if not names:  # nothing was learned; verdict() asks nothing of such a model
+            self.weights, self.middle = np.zeros((SIZE, 1), np.float32), np.zeros(1)
+            return
         smooth = frequencies + 1e-5
         smooth /= smooth.sum(1, keepdims=True)
         on, off = (self.code > 0).T.astype(float), (self.code <= 0).T.astype(float)
@@ -80,7 +84,6 @@ class Model:
         self.weights = (self.weights * (4 / np.maximum(typical, 1e-9))).astype(np.float32)
         centre = smooth @ self.weights  # the middle between the languages with and without the bit
         self.middle = np.array([(centre[self.code[:, b] > 0, b].min() + centre[self.code[:, b] <= 0, b].max()) / 2 if len(names) > 1 else 0 for b in range(self.code.shape[1])])
-        self.trust = np.ones_like(self.code)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights - self.middle
@@ -101,11 +104,14 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
     of = {name: i for i, name in enumerate(names)}
     over = [n for n in names if sizes[n] > per_language]
     sample = rows
-    if over:  # a hash that at least per_language rows of a language don't pass, then an exact limit
-        cuts = {n: rows.where(F.col("lang") == n).agg(F.percentile_approx("h", min(1.0, per_language / sizes[n] + 2e-4), 10_000)).first()[0] for n in over}
-        cut = F.create_map(*[F.lit(x) for n in names for x in (n, cuts.get(n, 2**63 - 1))])
+    if over:  # a hash that at least per_language rows of a language don't pass, in one aggregate; then, without texts, the exact one; then the rows
         place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-        sample = rows.where(F.col("h") <= cut[F.col("lang")]).withColumn("_r", place).where(F.col("_r") <= per_language)
+        below = lambda cuts: F.col("h") <= F.create_map(*[F.lit(x) for n in names for x in (n, cuts.get(n, 2**63 - 1))])[F.col("lang")]
+        share = lambda n: min(1.0, per_language / sizes[n] + 2e-4)
+        about = rows.agg(*[F.percentile_approx(F.when(F.col("lang") == n, F.col("h")), share(n), 10_000) for n in over]).first()
+        few = rows.where(below(dict(zip(over, about)))).select("lang", "h").withColumn("_r", place).where(F.col("_r") <= per_language)
+        exact = {r["lang"]: r["h"] for r in few.groupBy("lang").agg(F.max("h").alias("h")).collect() if r["lang"] in over}
+        sample = rows.where(below(exact)).withColumn("_r", place).where(F.col("_r") <= per_language)
     sample = sample.select("lang", "text")
 
     def summed(make, width: int) -> np.ndarray:
