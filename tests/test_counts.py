@@ -58,3 +58,18 @@ def test_attempts_as_python_writes_them(spark):
     assert got[900] is None and got[901] == [] and got[902] == []
     short = df.select(attempts.truncate(attempts.parse(F.col("t")), 3)["exception"].alias("e")).collect()
     assert [r["e"] for r in short[: len(lists)]] == [[None if a["exception"] is None else a["exception"][:3] for a in x] for x in lists]
+
+
+def test_timelines_hold_empty_intervals(spark):
+    """By the second, over more intervals than a block of the grid holds."""
+    df = spark.createDataFrame([(t,) for t in (5, 5, 7, 25_007, None)], "t long")
+    got = counts.timeline(df, "t", 1, n=F.count(F.lit(1))).collect()
+    assert len(got) == 25_003 and {r["at"]: r["n"] for r in got if r["n"]} == {5: 2, 7: 1, 25_007: 1} and {r["at"] for r in got} == {*range(5, 25_008)}
+    assert {tuple(r) for r in counts.timeline(df.where("t < 10"), "t", 3, n=F.count(F.lit(1))).collect()} == {(3, 2), (6, 1)}
+    assert counts.timeline(df.where("t is null"), "t", 3, n=F.count(F.lit(1))).count() == 0
+
+
+def test_extrapolation_follows_the_whole_hour(spark):
+    per = spark.createDataFrame([(19, m, 10 + (m == 42) * 10) for m in range(60)] + [(3, 42, 6), (4, 41, 9)], "h int, m int, n long")
+    got = {r["h"]: r["estimate"] for r in counts.extrapolated(per, "h", "m", 42, per.where("h = 19")).collect()}
+    assert set(got) == {3, 19} and abs(got[19] - 610) < 1e-9 and abs(got[3] - 6 * 60 * (610 / 60) / 20) < 1e-9

@@ -154,3 +154,16 @@ def test_files_that_drift(spark, tmp_path):
     assert str(out._jdf.queryExecution().optimizedPlan()).count("Relation [") == 4  # a and e are read together
     with pytest.raises(ValueError, match="no slices"):
         slices.merge_slices(spark, [])
+
+
+def test_states_of_pages(spark):
+    from tidemark.functions import pages
+
+    good = '{"itemInfo":{"itemStruct":{"id":7,"desc":"é \\" } ,\\"webapp"}}}'
+    wrap = lambda x: f"<p>{pages.START}{x}{pages.END}null</p>{pages.END}"
+    rows = [(1, wrap(good)), (2, wrap('{"statusCode":10222,"statusMsg":"x"}')), (3, wrap("{}")), (4, wrap('{"itemInfo":')), (5, f"{pages.START}{good}"), (6, f"{good}{pages.END}"), (7, ""), (8, None),
+            (9, f"{pages.END}{wrap(good)}"), (10, wrap('{"statusCode":0,"itemInfo":{"itemStruct":{"id":8}}}')), (11, wrap(""))]
+    got = {r["i"]: r["s"] for r in spark.createDataFrame(rows, "i int, t string").select("i", pages.state(F.col("t"), "id bigint, desc string").alias("s")).collect()}
+    assert [(i, s["item"]["id"]) for i, s in got.items() if s["item"]] == [(1, 7), (9, 7), (10, 8)] and got[1]["item"]["desc"] == 'é " } ,"webapp'
+    assert (got[2]["status_code"], got[2]["status_msg"], got[2]["error"]) == (10222, "x", None)
+    assert {i: s["error"] for i, s in got.items() if s["error"]} == {3: pages.NO_ITEM, 4: pages.BROKEN, 5: pages.NO_STATE, 6: pages.NO_STATE, 7: pages.NO_STATE, 8: pages.NO_STATE, 11: pages.BROKEN}

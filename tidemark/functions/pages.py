@@ -26,7 +26,7 @@ def state(html: Column, item: str, start: str = START, end: str = END) -> Column
     told = F.from_json(text, schema, {"columnNameOfCorruptRecord": "_corrupt"})
     failed = F.coalesce(told["statusCode"], F.lit(0)) != 0
     found = told["itemInfo"]["itemStruct"]
-    error = F.when(text.isNull(), NO_STATE).when(told["_corrupt"].isNotNull(), BROKEN).when(~failed & found.isNull(), NO_ITEM)
+    error = F.when(text.isNull(), NO_STATE).when(told.isNull() | told["_corrupt"].isNotNull(), BROKEN).when(~failed & found.isNull(), NO_ITEM)
     good = error.isNull() & ~failed
     return F.struct(F.when(good, found).alias("item"), F.when(failed & error.isNull(), told["statusCode"]).alias("status_code"),
                     F.when(failed & error.isNull(), told["statusMsg"]).alias("status_msg"), error.alias("error"))

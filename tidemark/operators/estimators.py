@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import reduce
 from statistics import NormalDist
@@ -72,15 +73,20 @@ def uniform_segments(words: DataFrame, word: str, bits: int, shortest: int, long
     return shorter.groupBy("start", "len").agg(F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd")).select("start", (F.col("start") + F.col("len")).alias("stop"), "sd")
 
 
+#: Rows of a range that one task sorts, of all values of `by` together.
+RANGE = 1_000_000
+
+
 def numbered(rows: DataFrame, by: list[str], order: Column, ties: list[str]) -> DataFrame:
-    """rows with i: the place from 0 in `by`, in the order of a hexadecimal string and tie breakers, sorted in 4096 ranges of it."""
-    parts = rows.withColumn("_o", order).withColumn("_p", F.substring("_o", 1, 3))
+    """rows with i: the place from 0 in `by`, in the order of a hexadecimal string and tie breakers, sorted in ranges of it: 4096, or more for more rows than RANGE in each."""
+    digits = max(3, math.ceil(math.log(max(1, rows.count() / RANGE), 16)))
+    parts = rows.withColumn("_o", order).withColumn("_p", F.substring("_o", 1, digits))
     before = F.sum("n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     keys = [*by, "_p"]
     offsets = parts.groupBy(*keys).agg(N().alias("n")).select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(keys)])
     place = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_o", *ties)) - 1
-    ranked = parts.withColumn("_i", place).join(F.broadcast(offsets), same)  # at most 4096 rows for each value of `by`
+    ranked = parts.withColumn("_i", place).join(offsets, same)  # a row for each range and value of `by`; Spark broadcasts what is small
     return ranked.withColumn("i", F.col("_i") + F.col("_before")).drop("_o", "_p", "_i", "_before", *[f"_by{i}" for i in range(len(keys))])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -75,27 +76,35 @@ def least_squares(rows: DataFrame, features: list[str], y: str) -> DataFrame:
     return rows.sparkSession.createDataFrame(values, "feature string, value double")
 
 
-def bit_dependence(words: DataFrame, word: str, bits: int) -> DataFrame:
+def bit_dependence(words: DataFrame, word: str, bits: int, at_once: int = 8) -> DataFrame:
     """bit, other, coefficient of logistic regressions of each bit (0: the lowest) on all others; 0 for bits that don't vary.
 
-    Words are counted first, so a fit reads distinct words with their counts as weights.
+    Words are counted first, so a fit reads distinct words with their counts as weights. `at_once` fits run side by side, as their
+    rounds are short jobs.
     """
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    spark = words.sparkSession
     bit = lambda i: F.shiftrightunsigned(F.col(word), i).bitwiseAND(F.lit(1).cast("long")).cast("double")
     counted = words.groupBy(word).agg(F.count(F.lit(1)).cast("double").alias("n")).select("n", *[bit(i).alias(f"b{i}") for i in range(bits)]).checkpoint()
     share = counted.agg(*[F.avg(f"b{i}").alias(f"b{i}") for i in range(bits)]).first().asDict()
     varying = [i for i in range(bits) if 0 < (share[f"b{i}"] or 0) < 1]
-    found = {}
-    for i in varying:  # one fit a bit
+
+    @inheritable_thread_target(spark)
+    def fit(i: int) -> dict[tuple[int, int], float]:
         others = [j for j in varying if j != i]
-        if others:
-            rows = VectorAssembler(inputCols=[f"b{j}" for j in others], outputCol="x").transform(counted).select("x", "n", F.col(f"b{i}").alias("y"))
-            model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="n", maxIter=10, regParam=1e-3).fit(rows)
-            found |= {(i, j): float(v) for j, v in zip(others, model.coefficients)}
+        if not others:
+            return {}
+        rows = VectorAssembler(inputCols=[f"b{j}" for j in others], outputCol="x").transform(counted).select("x", "n", F.col(f"b{i}").alias("y"))
+        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="n", maxIter=10, regParam=1e-3).fit(rows)
+        return {(i, j): float(v) for j, v in zip(others, model.coefficients)}
+
+    with ThreadPoolExecutor(at_once) as pool:
+        found = {k: v for part in pool.map(fit, varying) for k, v in part.items()}
     values = [(i, j, found.get((i, j), 0.0)) for i in range(bits) for j in range(bits) if i != j]
-    return words.sparkSession.createDataFrame(values, "bit int, other int, coefficient double")
+    return spark.createDataFrame(values, "bit int, other int, coefficient double")
 
 
 def unit_vectors(rows: DataFrame, vector: str):
@@ -172,7 +181,7 @@ def _picked_in_rounds(members: DataFrame, top: int, diversity: float) -> DataFra
     return spark.createDataFrame(out, "topic long, rank long, key long")
 
 
-#: From how many rows on a cluster needs how many members.
+#: Over how many rows a cluster needs how many members.
 LEAST_MEMBERS = ((1_000_000, 200), (100_000, 50), (0, 10))
 
 
@@ -191,8 +200,8 @@ def cluster_topics(rows: DataFrame, key: str, vector: str, topics: int, sample:
     none = F.lit(-1).cast("long").alias("topic")
     if not n:
         return rows.select(key, none)
-    fitted = unit if n <= sample else unit.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed))), key).limit(sample)
-    least = next(members for total, members in LEAST_MEMBERS if n >= total)
+    fitted = (unit if n <= sample else unit.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed))), key).limit(sample)).checkpoint()  # read again in every split
+    least = next(members for total, members in LEAST_MEMBERS if n > total)
     share = min(1.0, sample / n)  # of a cluster's rows, in the sample
     model = BisectingKMeans(k=topics, seed=seed, maxIter=20, minDivisibleClusterSize=max(1.0, 2 * least * share)).fit(fitted)
     made = model.transform(unit).select(key, "prediction")

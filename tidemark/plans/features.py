@@ -23,7 +23,7 @@ TAGS_SQL = f"""WITH d AS (SELECT event_id, descr || CASE WHEN k < 30 THEN ' #twi
 
 
 class Chain:
-    """The steps over one scale's posts."""
+    """The steps over one scale's posts; what later steps read several times is kept in the shared checkpoint folder."""
 
     def __init__(self, v):
         self.v = v
@@ -36,7 +36,7 @@ class Chain:
 
     @functools.cached_property
     def vocab(self):
-        return features.vocabulary(self.tagged, "tags", LEAST)
+        return features.vocabulary(self.tagged, "tags", LEAST).checkpoint()
 
     @functools.cached_property
     def matrix(self):
@@ -44,7 +44,8 @@ class Chain:
 
     @functools.cached_property
     def pruned(self):
-        return features.prune(self.matrix, self.vocab, LEAST_SUM)
+        m, kept = features.prune(self.matrix.checkpoint(), self.vocab, LEAST_SUM)
+        return m.checkpoint(), kept.checkpoint()
 
 
 def shown(m):

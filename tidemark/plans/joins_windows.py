@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules
-from ..operators import counts, coverage, ledger
+from ..operators import counts, coverage, ledger, series
 from .registry import query
 
 c = F.col
@@ -275,18 +275,16 @@ def _(v):
 
 @query("win_lag_gap", "SELECT event_id, coalesce(create_s - lag(create_s) OVER (PARTITION BY author ORDER BY create_s, event_id), -1) AS gap FROM posts")
 def _(v):
-    gap = c("create_s") - F.lag("create_s").over(Window.partitionBy("author").orderBy("create_s", "event_id"))
-    return v.posts.select("event_id", F.coalesce(gap, F.lit(-1)).alias("gap"))
+    rows = series.with_gaps(v.posts.select("author", "create_s", "event_id"), "author", "create_s", "event_id")
+    return rows.select("event_id", F.coalesce("gap", F.lit(-1)).alias("gap"))
 
 
 @query("rle_series", """WITH d AS (SELECT author, event_id, create_s, k, create_s - lag(create_s) OVER (PARTITION BY author ORDER BY create_s, event_id) AS d FROM posts)
- SELECT author, string_agg(CASE WHEN d > 1 THEN CAST(-(d - 1) AS VARCHAR) || ',' ELSE '' END || CAST(k AS VARCHAR), ',' ORDER BY create_s, event_id) AS series FROM d GROUP BY author""")
+ SELECT author, create_s // 86400 AS day, string_agg(CASE WHEN d > 1 THEN CAST(-(d - 1) AS VARCHAR) || ',' ELSE '' END || CAST(k AS VARCHAR), ',' ORDER BY create_s, event_id) AS series FROM d GROUP BY author, create_s // 86400""")
 def _(v):
-    d = c("create_s") - F.lag("create_s").over(Window.partitionBy("author").orderBy("create_s", "event_id"))
-    step = F.when(c("d") > 1, F.array(-(c("d") - 1), c("k"))).otherwise(F.array("k"))
-    rows = v.posts.withColumn("d", d).select("author", F.struct("create_s", "event_id", step.alias("v")).alias("x"))
-    series = F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]))
-    return rows.groupBy("author").agg(F.array_join(series, ",").alias("series"))
+    """A row a day, as an author's posts may be more than a row holds."""
+    rows = series.run_lengths(v.posts.select("author", "create_s", "event_id", "k"), "author", "create_s", "event_id", "k")
+    return rows.select("author", c("block").alias("day"), F.array_join("series", ",").alias("series"))
 
 
 @query("win_pareto", """WITH a AS (SELECT author, count(*) AS n, round(avg(plays), 4) AS mean FROM posts GROUP BY author),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,8 +109,9 @@ def merge_slices(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     so the union has a branch for each distinct schema.
     """
     alike: dict[str, tuple[T.StructType, list[str]]] = {}
-    for p in paths:
-        schema = nullable(spark.read.parquet(p).schema)
+    with ThreadPoolExecutor(16) as pool:  # short jobs, side by side
+        schemas = [*pool.map(inheritable_thread_target(spark)(lambda p: nullable(spark.read.parquet(p).schema)), paths)]
+    for p, schema in zip(paths, schemas):
         alike.setdefault(schema.json(), (schema, []))[1].append(p)
     whole: T.DataType = T.StructType([])
     for schema, _ in alike.values():
