@@ -252,3 +252,25 @@ def test_suffixes_with_crowded_anchors(spark, crowd):
             if count[b[k : k + 200]] > 1:
                 gone[k : k + 200] = True
         assert got[i]["n_removed"] == gone.sum() and got[i]["kept_sha256"] == hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), i
+
+
+def test_neighbours_on_odd_tables(spark):
+    """Columns with the names used inside; null, zero, infinite and short vectors; repeated ids with equal and unlike vectors; ties; few candidates."""
+    schema = "vec_id long, embedding array<double>, cell int, part int, q string, parts int, query_id long, rank int, score string, d int"
+    rng = np.random.default_rng(3)
+    v = {i: rng.normal(size=6).round(2).tolist() for i in range(40)}
+    v[11], v[12] = v[10], v[10]  # ties
+    rows = [*v.items(), (None, v[3]), (50, None), (100, [0.0] * 6), (150, [1.0, float("inf"), 0.0, 0.0, 0.0, 0.0]), (200, [float("nan")] + [1.0] * 5), (250, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (300, [1.0, 2.0]), (350, []),
+            (10, v[10]), (20, v[20]), (30, v[31])]
+    df = spark.createDataFrame([(i, x, 1, 2, "q", 3, 4, 5, "s", 6) for i, x in rows], schema).repartition(3)
+    got = imi.search(df, F.col("vec_id") % 10 == 0, nearest=4, share=1.0).collect()
+    known = [(i, np.array(x)) for i, x in rows if i is not None and x is not None and len(x) == 6 and all(y is not None and math.isfinite(y) for y in x) and any(x)]
+    want = []
+    for i, x in {(i, tuple(x)) for i, x in known if i % 10 == 0}:
+        near = [(round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 9), j) for j, y in known if j != i]
+        want += [(i, r + 1, j, s) for r, (s, j) in enumerate(sorted(near, key=lambda t: (-t[0], t[1]))[:4])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
+    assert {r["query_id"] for r in got} == {0, 10, 20, 30} and sum(r["query_id"] == 30 for r in got) == 8
+    assert imi.search(spark.createDataFrame([], schema), F.lit(True)).count() == 0
+    assert imi.search(df.where("vec_id >= 100"), F.lit(True)).count() == 0
+    assert [tuple(r)[:3] for r in imi.search(df.where("vec_id in (1, 2)"), F.col("vec_id") == 1, share=0.01).collect()] == [(1, 1, 2)]
