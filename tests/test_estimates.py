@@ -40,21 +40,17 @@ def test_prevalence_of_a_known_case(spark):
 
 @pytest.mark.parametrize("trust", [1.0, 0.8])
 def test_adjusted_intervals_hold_the_true_prevalence(spark, trust):
-    """Populations of a known prevalence, tested with a set that is off by as much as the trust says."""
+    """Populations of a known prevalence, found with a precision and a recall that differ from the measured ones by as much as the test set and the trust allow."""
     rng, truth, precision, recall, tested, n = np.random.default_rng(6), 0.08, 0.85, 0.8, 400, 3000
-    rows, ends = [], {}
-    for i in range(400):
-        off = rng.normal(0, (1 - trust) * 0.2, 2) if trust < 0.9 else np.zeros(2)
-        p, r = np.clip(np.array([precision, recall]) + off, 0.05, 0.99)
-        k = int(rng.binomial(n, truth * r / p))
-        cases = int(tested * trust**2)
-        seen = [float(np.clip(rng.binomial(cases, x) / cases, 0.05, 0.999)) for x in (precision, recall)]
-        rows.append((str(i), k, n, *seen))
-    for i, k, total, p, r in rows[:60]:  # one measured precision and recall each
-        g = spark.createDataFrame([(i, k, total)], "loc string, k long, n long")
-        ends[i] = estimators.prevalence_interval_adjusted(g, "loc", p, r, tested, trust).first()
-    held = np.mean([e["lower"] <= truth * 100 <= e["upper"] for e in ends.values()])
-    assert held >= 0.88
+    cases, rows = tested * trust**2, []
+    for i in range(600):
+        p, r = (rng.beta(x * cases, (1 - x) * cases) for x in (precision, recall))
+        if trust < 0.9:
+            p, r = np.clip(np.array([p, r]) + rng.normal(0, (1 - trust) * 0.2, 2), 0.05, 0.99)
+        rows.append((str(i), int(rng.binomial(n, truth * r / p)), n))
+    ends = estimators.prevalence_interval_adjusted(spark.createDataFrame(rows, "loc string, k long, n long"), "loc", precision, recall, tested, trust).collect()
+    held = np.mean([e["lower"] <= truth * 100 <= e["upper"] for e in ends])
+    assert 0.92 <= held <= 0.98
 
 
 def test_shuffling_keeps_both_columns(spark):
