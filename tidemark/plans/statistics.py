@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import counts, models, stats
+from ..operators import counts, estimators, models, stats
 from .registry import query
 
 c = F.col
@@ -293,13 +293,8 @@ def _(v):
     return v.table("embeddings").select("vec_id", "label", rn.alias("rn")).where("rn <= 5").drop("rn")
 
 
-@query("stratified_folds")
+@query("stratified_folds", "SELECT doc_id, toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || ':7'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels")
 def _(v):
-    from pyspark.sql import Window
-
-    rows = v.table("labels").select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(7)).alias("h")).withColumn("part", F.shiftright("h", 52))  # 4096 ranges of the hash
-    before = F.sum("n").over(Window.partitionBy("toxic").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offset = rows.groupBy("toxic", "part").agg(one().alias("n")).select(c("toxic").alias("y"), c("part").alias("p"), F.coalesce(before, F.lit(0)).alias("offset"))
-    rn = F.row_number().over(Window.partitionBy("toxic", "part").orderBy("h", "doc_id"))
-    ranked = rows.select("doc_id", "toxic", "part", rn.alias("rn")).join(F.broadcast(offset), c("toxic").eqNullSafe(c("y")) & (c("part") == c("p")))
-    return ranked.select("doc_id", "toxic", ((c("rn") + c("offset")) % 5).cast("int").alias("fold"))
+    """Folds that each label's rows are dealt to in turn, in a random order of keys; rows without a label are a label of their own."""
+    ranked = estimators.numbered(v.table("labels").select("doc_id", "toxic"), ["toxic"], seeded("doc_id"), ["doc_id"])
+    return ranked.select("doc_id", "toxic", (c("i") % 5).cast("int").alias("fold"))
