@@ -12,7 +12,7 @@ so in every right encoding, so such an agreement makes the joined run exact.
 Texts up to two leaves are encoded whole. Strings of special tokens are cut out first, as
 the tokenizers library does. The leaves of a text are gathered by its doc_id and a hash of it, never
 by a place in a partition, so a task that is run again gives the same ones. Null text is empty and
-has no ids. Repeated rows give repeated results. Extra columns are ignored.
+has no ids. Repeated rows give repeated results, an empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations

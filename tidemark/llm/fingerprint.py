@@ -9,8 +9,9 @@ SPAN code points (a shorter text is one span). Likeness is the share of common h
 smallest ones of both together, which estimates the Jaccard index of the span sets; 1 for equal
 whole hashes. Two empty texts have likeness 1, an empty and a full one 0.
 
-Null text is empty. The next document is that of the next doc_id (null first, ties by text); after
-the last comes the first, which for one document is itself. Extra columns are ignored.
+Null text is empty. The next document is that of the next doc_id (null first, ties by text, or by a hash of it first where
+they fill several batches); after the last comes the first, which for one document is itself. Repeated rows follow each
+other. A very long text is taken whole in one task. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ beyond that its segments stay in Spark, every batch sends its distinct bigrams t
 tasks that hold a segment probe it and answer. Both ways give the same scores.
 
 Null and empty texts have the end alone. A null doc_id counts as training. Repeated rows count as
-documents of their own. With no training tokens N = V = 0 and every score is 0. Extra columns are
-ignored.
+documents of their own. With no training tokens N = V = 0 and every score is 0. An empty table
+gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,8 +19,8 @@ been tried.
 
 Null texts are empty. Rows of null doc_id are linked with nothing and have the component null.
 Repeated rows are in one class and keep together. Rows of one doc_id and unlike texts are documents
-of their own: each has the component of its own text, and the smallest doc_id in it names it. Extra
-columns are ignored.
+of their own: each has the component of its own text, and the smallest doc_id in it names it. An empty
+table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ norm after placing ("norm") or the largest weighted dot product of demand and re
 Ties go to the sequence opened first, equal lengths by doc_id and piece.
 
 Each group may leave one sequence half full, so the number of groups, not the data, bounds the
-loss. Null and empty texts are END_ID alone. Repeated rows are documents of their own. Extra
-columns are ignored.
+loss. Null and empty texts are END_ID alone. Repeated rows are documents of their own, a very long text is as many pieces as
+it needs, which may fall into several groups. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ Two-stage sorting: suffixes smaller than their successors are sorted directly by
 `length` bytes; the others are induced by one scan over the buckets of first bytes.
 
 Null and empty texts have no bytes. Rows of equal doc_id and repeated rows are documents of their
-own, so exact repeats of 200 bytes or more go in every copy. Extra columns are ignored.
+own, so exact repeats of 200 bytes or more go in every copy. A very long text is one batch. An empty table gives an empty
+one. Extra columns are ignored.
 """
 
 from __future__ import annotations

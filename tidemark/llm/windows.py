@@ -9,8 +9,9 @@ Each batch of consecutive doc_ids asks for its distinct window hashes; the bucke
 hash tells every batch but the first that the window has been seen. Words of 64-bit hashes stand
 for word sequences: n windows give about n*n/2**65 false matches.
 
-Null and empty texts have no words. Rows of equal doc_id are ordered by text, and repeated rows
-are documents of their own, so the later one's windows repeat. Extra columns are ignored.
+Null and empty texts have no words. Rows of equal doc_id are ordered by text (where they fill several batches
+by a hash of it first), and repeated rows are documents of their own, so the later one's windows repeat. A very long
+text is in one batch. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
