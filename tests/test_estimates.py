@@ -1,5 +1,6 @@
 """Known answers and properties of estimators, files, headers, models and block finding."""
 
+import hashlib
 import itertools
 import json
 import random
@@ -63,6 +64,25 @@ def test_shuffling_keeps_both_columns(spark):
     assert len({tuple((r["u"], r["a"]) for r in sorted(out) if r["rep"] == rep) for rep in (1, 2, 3)}) == 3
 
 
+@pytest.mark.parametrize("block", [1 << 16, 40])
+def test_shuffling_reads_once_and_pairs_by_place(spark, monkeypatch, block):
+    """Against two plain sorts, with repeated keys, in one block and in many; the rows aren't made anew for each count and deal."""
+    monkeypatch.setattr(estimators, "BLOCK", block)
+    made, rng = spark.sparkContext.accumulator(0), random.Random(3)
+    rows = [(i // 2 if i < 60 else i, rng.randrange(9), rng.randrange(5)) for i in range(700)]
+
+    def once(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    out = estimators.shuffled(spark.createDataFrame(rows, "k long, u long, a long").mapInPandas(once, "k long, u long, a long"), "k", "u", "a", 2).collect()
+    order = lambda name, rep, at: [r[at] for r in sorted(rows, key=lambda r: (hashlib.md5(f"{name}:{r[0]}:{rep}".encode()).hexdigest(), r[at]))]
+    for rep in (1, 2):
+        assert sorted((r["u"], r["a"]) for r in out if r["rep"] == rep) == sorted(zip(order("a", rep, 1), order("b", rep, 2)))
+    assert made.value == len(rows)
+
+
 def test_log_curve_finds_its_parameters(spark):
     t = np.array([0, 7, 14, 21, 40, 63, 90], float)
     rows = [("x", float(u), float(0.3 * np.log(u + 0.5) + 0.1), i + 1.0) for i, u in enumerate(t)]

@@ -9,8 +9,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def N():
@@ -90,18 +93,55 @@ def numbered(rows: DataFrame, by: list[str], order: Column, ties: list[str]) ->
     return ranked.withColumn("i", F.col("_i") + F.col("_before")).drop("_o", "_p", "_i", "_before", *[f"_by{i}" for i in range(len(keys))])
 
 
+#: Rows of a range of hashes, and of a block of places, that one task pairs; of more ranges than MOST_RANGES the table isn't broadcast.
+DEALT, BLOCK, MOST_RANGES = 1 << 16, 1 << 16, 1_000_000
+
+
 def shuffled(rows: DataFrame, key: str, keep: str, move: str, replicates: int) -> DataFrame:
-    """rep, keep, move: for each replicate the column `move` dealt anew over the rows, so both columns' counts stay."""
-    reps = rows.select(key, keep, move).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    hash_ = lambda name: F.md5(F.concat_ws(":", F.lit(name), F.col(key), F.col("rep")))
-    a = numbered(reps.select("rep", key, keep), ["rep"], hash_("a"), [key, keep]).select("rep", "i", keep)
-    b = numbered(reps.select("rep", key, move), ["rep"], hash_("b"), [key, move]).select("rep", "i", move)
-    return a.join(b, ["rep", "i"]).drop("i")
+    """rep, keep, move: for each replicate the column `move` dealt anew over the rows, so both columns' counts stay.
+
+    Both columns are put in orders of their own hashes and meet by place. Ranges of hashes are counted first, so it is known which
+    blocks of places a range reaches; its rows go there at once, are sorted in the block's task and paired with the other column's. Rows of one hash
+    are those of one key; their values rise.
+    """
+    held = rows.select(key, keep, move).checkpoint()  # read for each count and each deal
+    n = held.count()
+    digits = max(3, math.ceil(math.log(max(1, n / DEALT), 16)))
+    block = max(BLOCK, 8 * math.ceil(n / 16**digits))  # so that few ranges lie in two blocks
+    reps = held.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+
+    def dealt(name: str, value: str) -> DataFrame:
+        hashed = reps.select("rep", F.col(value).alias("_v"), F.md5(F.concat_ws(":", F.lit(name), F.col(key), F.col("rep"))).alias("_h"))
+        hashed = hashed.withColumn("_p", F.substring("_h", 1, digits))
+        before = F.sum("_n").over(Window.partitionBy("rep").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+        ranges = hashed.groupBy("rep", "_p").agg(N().alias("_n")).withColumn("_first", before)
+        reach = F.sequence(F.floor(F.col("_first") / block), F.floor((F.col("_first") + F.col("_n") - 1) / block))
+        ranges = ranges.select("rep", "_p", "_first", F.explode(reach).alias("_block"))
+        ranges = F.broadcast(ranges) if replicates * 16**digits <= MOST_RANGES else ranges
+        return hashed.join(ranges, ["rep", "_p"]).select((F.shiftleft(F.col("rep").cast("long"), 40) + F.col("_block")).alias("_g"), "_first", F.unhex("_h").alias("_h"), "_v")
+
+    def placed(side: pa.Table, first: int) -> pa.Array:
+        """The values of the block that begins at place `first`, in order."""
+        h, i = side["_h"].combine_chunks(), pc.min(side["_first"]).as_py()
+        h = h.chunk(0) if isinstance(h, pa.ChunkedArray) else h
+        head = np.frombuffer(h.cast(pa.binary(16)).buffers()[1], ">u8")[h.offset * 2 : (h.offset + len(h)) * 2 : 2].astype(np.uint64)
+        order = np.argsort(head)
+        if (np.diff(head[order]) == 0).any():
+            order = pc.sort_indices(side.select(["_h", "_v"]), [("_h", "ascending"), ("_v", "ascending")], null_placement="at_start").to_numpy()
+        return side["_v"].take(pa.array(order[max(0, first - i) : first - i + block]))
+
+    def paired(g: tuple[pa.Scalar], a: pa.Table, b: pa.Table) -> pa.Table:
+        rep, at = divmod(g[0].as_py(), 1 << 40)
+        x, y = placed(a, at * block), placed(b, at * block)
+        return pa.table([pa.array(np.full(len(x), rep, np.int32)), x, y], names=["rep", keep, move])
+
+    schema = StructType([StructField("rep", IntegerType()), held.schema[keep], held.schema[move]])
+    return dealt("a", keep).groupBy("_g").cogroup(dealt("b", move).groupBy("_g")).applyInArrow(paired, schema)
 
 
 def group_sizes(rows: DataFrame, by: list[str], member: str, author: str) -> DataFrame:
     """by, size, groups: how many groups of so many members have one set of authors in common."""
-    sets = rows.groupBy(*by, member).agg(F.array_sort(F.collect_set(author)).alias("s"))
+    sets = rows.select(*by, member, author).distinct().groupBy(*by, member).agg(F.array_sort(F.collect_list(author)).alias("s"))
     size = sets.groupBy(*by, F.md5(F.array_join("s", ",")).alias("k")).agg(N().alias("size"))
     return size.groupBy(*by, "size").agg(N().alias("groups"))
 
