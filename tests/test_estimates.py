@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -116,6 +117,20 @@ def test_shared_members_with_hot_ones(spark, hot):
     assert {tuple(r) for r in got} == want
 
 
+def test_shared_members_in_tasks_of_bounded_size(spark, monkeypatch):
+    """As many tasks as the pairs ask for, which adaptive execution doesn't join again, with hot members and without."""
+    monkeypatch.setattr(coverage, "TASK_ROWS", 40)
+    rng = random.Random(5)
+    edges = {(g, m) for g in range(15) for m in range(9) if rng.random() < 0.6}
+    own = {g: {m for h, m in edges if h == g} for g in range(15)}
+    want = {(a, b, len(own[a] & own[b])) for a, b in itertools.combinations(range(15), 2) if len(own[a]) > 1 and len(own[b]) > 1 and len(own[a] & own[b]) > 1}
+    for hot in (1000, 8):
+        out = coverage.shared_members(spark.createDataFrame(sorted(edges), "g long, m long"), "g", "m", 2, 2, hot)
+        assert {tuple(r) for r in out.collect()} == want
+        dealt = [int(x) for x in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", out._jdf.queryExecution().executedPlan().toString())]
+        assert dealt and (hot < 1000 or max(dealt) >= 8)
+
+
 def test_sidecars_need_a_timestamp(spark, tmp_path):
     (tmp_path / "v_1700000001.5.json").write_text('{"a": 1}')
     assert files.read_sidecars(spark, str(tmp_path), "a long").first().asDict() == {"a": 1, "at": 1700000001.5}
