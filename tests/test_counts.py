@@ -73,3 +73,13 @@ def test_extrapolation_follows_the_whole_hour(spark):
     per = spark.createDataFrame([(19, m, 10 + (m == 42) * 10) for m in range(60)] + [(3, 42, 6), (4, 41, 9)], "h int, m int, n long")
     got = {r["h"]: r["estimate"] for r in counts.extrapolated(per, "h", "m", 42, per.where("h = 19")).collect()}
     assert set(got) == {3, 19} and abs(got[19] - 610) < 1e-9 and abs(got[3] - 6 * 60 * (610 / 60) / 20) < 1e-9
+
+
+def test_attempts_with_very_long_messages(spark):
+    """Their length costs no stack, and no text is scanned once more for each part of a time."""
+    long = ["x" * 200_000, "it's " * 40_000, '\\"\'' * 30_000]
+    log = repr([{"exception": e, "pre_time": None, "post_time": None} for e in long])
+    got = spark.createDataFrame([(log,)], "t string").select(attempts.parse(F.col("t")).alias("a")).first()["a"]
+    assert [r["exception"] for r in got] == long
+    plan = spark.createDataFrame([("None",)], "t string").select(attempts.time(F.col("t")).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
