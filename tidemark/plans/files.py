@@ -74,7 +74,7 @@ def _(v):
 def _(v):
     rows = v.table("pages").groupBy(F.floor(c("page_id") / 10).alias("d")).agg(one().alias("pages"))
     path = files.scratch(v.spark, "sidecars")
-    rows.withColumn("name", F.concat((c("d") + 1700000000).cast("string"), F.lit(".25_video"))).write.partitionBy("name").json(path)
+    files.write_sidecars(rows, F.concat((c("d") + 1700000000).cast("string"), F.lit(".25_video")), path)
     return files.read_sidecars(v.spark, path, "d long, pages long").select("d", "pages", "at")
 
 
