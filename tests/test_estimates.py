@@ -139,6 +139,30 @@ def test_sidecars_need_a_timestamp(spark, tmp_path):
         files.read_sidecars(spark, str(tmp_path), "a long").collect()
 
 
+def test_sidecars_are_written_by_many_tasks(spark, tmp_path):
+    """However few bytes they have, and read without a column for their folders."""
+    rows = spark.range(300).select(F.col("id").alias("d")).coalesce(1)
+    files.write_sidecars(rows, F.concat((F.col("d") + 1700000000).cast("string"), F.lit(".25_v")), str(tmp_path / "s"))
+    assert len({p.name.split("-")[1] for p in (tmp_path / "s").rglob("part-*.json")}) > 3
+    got = files.read_sidecars(spark, str(tmp_path / "s"), "d long")
+    assert got.columns == ["d", "at"] and sorted(map(tuple, got.collect())) == [(i, 1700000000.25 + i) for i in range(300)]
+
+
+def test_representatives_read_texts_once_for_classes_and_once_for_documents(spark):
+    from types import SimpleNamespace
+
+    docs = spark.createDataFrame([(1, "a", "Ab ab c-D"), (1, "a", "ab"), (2, "a", "zz"), (3, "b", "ab"), (4, "b", None), (5, "b", "123")], "doc_id long, lang string, text string")
+    registry.queries()
+    out = registry._queries["representative_docs"](SimpleNamespace(table=lambda name: docs))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    tf = {("a", 1): {"ab": 3, "c": 1, "d": 1}, ("a", 2): {"zz": 1}, ("b", 3): {"ab": 1}}
+    k = {x: sum((n.get(x[1], 0) for (lang, _), n in tf.items() if lang == x[0])) for x in [(lang, t) for lang in "ab" for t in ("ab", "c", "d", "zz")]}
+    value = lambda lang, t: k[lang, t] * np.log(1 + 3.5 / (k["a", t] + k["b", t]))
+    want = {(lang, d): sum(n * value(lang, t) for t, n in x.items()) / np.sqrt(sum(n * n for n in x.values())) for (lang, d), x in tf.items()}
+    got = {(r["lang"], r["doc_id"]): r["score"] for r in out.collect()}
+    assert sorted(got) == sorted(want) and all(abs(got[x] - want[x]) < 1e-3 for x in want)
+
+
 def test_headers_and_hours(spark):
     rows = [({"x-cache": "TCP_MISS from a1-2-3-4.deploy x", "x-parent-response-time": "1,9.9.9.9, 2,8.8.8.8, 3,7.7.7.7"},), ({"x-cache": "NONE"},), ({},), (None,)]
     got = spark.createDataFrame(rows, "h map<string,string>").select(network.cache_path(F.col("h")).alias("p")).select("p.*").collect()

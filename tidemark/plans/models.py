@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -95,18 +100,32 @@ def _(v):
     return models.diverse_representatives(v.table("embeddings"), "label", "vec_id", "embedding", 40)
 
 
+#: Words of all classes up to which their values are broadcast.
+MOST_WORDS = 1_000_000
+
+
+@F.arrow_udf("array<struct<t: string, tf: bigint>>")
+def word_counts(texts: pa.Array) -> pa.Array:
+    """Each word of a-z in a text, and how often it is there."""
+    each = [Counter(re.findall("[a-z]+", t or "")) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, each)])
+    words = pa.array([t for x in each for t in x], pa.string())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array([n for x in each for n in x.values()], pa.int64())], ["t", "tf"]))
+
+
 @query("representative_docs", """WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, lang, t, count(*) AS tf FROM w GROUP BY 1, 2, 3),
  k AS (SELECT lang, t, sum(tf) AS tf FROM n GROUP BY 1, 2), f AS (SELECT t, sum(tf) AS f FROM k GROUP BY t), a AS (SELECT avg(z) AS a FROM (SELECT sum(tf) AS z FROM k GROUP BY lang)),
  s AS (SELECT k.lang, k.t, k.tf * ln(1 + a / f) AS s FROM k JOIN f USING (t), a), d AS (SELECT n.doc_id, n.lang, round(sum(n.tf * s) / sqrt(sum(n.tf * n.tf)), 3) AS score FROM n JOIN s ON n.lang = s.lang AND n.t = s.t GROUP BY 1, 2)
  SELECT lang, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rn FROM d) WHERE rn <= 3""")
 def _(v):
     """The three documents of each language whose words lie closest to its class TF-IDF vector."""
-    w = v.table("documents").where("text is not null").select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("t"))
-    n = w.groupBy("doc_id", "lang", "t").agg(F.count(F.lit(1)).alias("tf"))
-    k = n.groupBy("lang", "t").agg(F.sum("tf").alias("ctf"))
+    docs = v.table("documents").where("text is not null").select("doc_id", "lang", F.explode(word_counts(F.lower("text"))).alias("w")).select("doc_id", "lang", "w.t", "w.tf")
+    k = docs.groupBy("lang", "t").agg(F.sum("tf").alias("ctf")).checkpoint()  # the words of each class, from one pass over the texts
     f = k.groupBy("t").agg(F.sum("ctf").alias("f"))
     a = k.groupBy("lang").agg(F.sum("ctf").alias("z")).agg(F.avg("z").alias("a"))
     s = k.join(f, "t").crossJoin(F.broadcast(a)).select("lang", "t", (c("ctf") * F.ln(1 + c("a") / c("f"))).alias("s"))
+    s = F.broadcast(s) if k.count() <= MOST_WORDS else s
+    n = docs.groupBy("doc_id", "lang", "t").agg(F.sum("tf").alias("tf"))
     d = n.join(s, ["lang", "t"]).groupBy("doc_id", "lang").agg(F.round(F.sum(c("tf") * c("s")) / F.sqrt(F.sum(c("tf") * c("tf"))), 3).alias("score"))
     rn = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id"))
     return d.withColumn("rn", rn).where("rn <= 3").select("lang", "doc_id", "score")
