@@ -85,3 +85,14 @@ def test_least_squares_with_dependent_columns(spark, data):
     assert abs(r2 - (1 - ((y - fitted) ** 2).sum() / ((y - y.mean()) ** 2).sum())) < 1e-8
     with pytest.raises(ValueError, match="too many"):
         features.least_squares(m, "y", 5000)
+
+
+def test_moments_are_added_up_in_batches(spark, monkeypatch):
+    """Against NumPy, with rows without entries and rows of more pairs than a task holds at a time."""
+    monkeypatch.setattr(features, "PAIRS", 20)
+    x = np.random.default_rng(4).integers(0, 3, (60, 9)).astype(float)
+    x[7] = 0
+    rows = [([int(i) for i in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for r in x]
+    got = {(r["i"], r["j"]): r["dot"] for r in features.moments(spark.createDataFrame(rows, "indices array<int>, values array<double>")).collect()}
+    want = x.T @ x
+    assert got == {(i, j): want[i, j] for i in range(9) for j in range(i, 9) if want[i, j]}

@@ -6,6 +6,8 @@ A matrix is a DataFrame with a row a key: `indices` and `values` of what isn't z
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +50,35 @@ def prune(m: DataFrame, vocab: DataFrame, least: float) -> tuple[DataFrame, Data
     return left, kept.drop("idx").withColumnRenamed("_new", "idx")
 
 
+#: Pairs that a task holds at a time.
+PAIRS = 2_000_000
+
+
 def moments(m: DataFrame) -> DataFrame:
-    """i, j (i <= j) and dot: the sum of products of every two columns that some row holds together, by one pass over the rows' own pairs."""
-    e = F.arrays_zip(*ENTRIES)
-    pairs = F.flatten(F.transform(e, lambda a, k: F.transform(F.slice(e, k + 1, F.size(e)), lambda b: F.struct(a["indices"].alias("i"), b["indices"].alias("j"), (a["values"] * b["values"]).alias("p")))))
-    return m.select(F.inline(pairs)).groupBy("i", "j").agg(F.sum("p").alias("dot"))
+    """i, j (i <= j) and dot: the sum of products of every two columns that some row holds together, by one pass over the rows' own pairs.
+
+    A batch's pairs are added up in its task, so what is shuffled is a row a pair of columns and PAIRS pairs, not one a pair and row.
+    """
+
+    def added(batches):
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch["indices"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            index, x = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ENTRIES)
+            ends = np.repeat(np.cumsum(lengths), lengths)
+            partners = ends - np.arange(len(index))  # an entry's own row from it on
+            cuts = np.append(0, np.cumsum(partners))
+            start = 0
+            while start < len(index):
+                stop = max(start + 1, int(np.searchsorted(cuts, cuts[start] + PAIRS, "right")) - 1)
+                n = partners[start:stop]
+                a = np.repeat(np.arange(start, stop), n)
+                b = a + np.arange(len(a)) - np.repeat(cuts[start:stop] - cuts[start], n)
+                key, at = np.unique(index[a].astype(np.int64) << 32 | index[b], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(np.bincount(at, x[a] * x[b], len(key)))], ["i", "j", "p"])
+                start = stop
+
+    held = m.select(F.col("indices").cast("array<int>").alias("indices"), F.col("values").cast("array<double>").alias("values"))
+    return held.mapInArrow(added, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("dot"))
 
 
 def correlated(m: DataFrame, above: float = 0.8) -> DataFrame:
