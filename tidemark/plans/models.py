@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import rules
 from ..operators import models
@@ -104,7 +105,7 @@ def _(v):
 MOST_WORDS = 1_000_000
 
 
-@F.arrow_udf("array<struct<t: string, tf: bigint>>")
+@F.arrow_udf(ArrayType(StructType([StructField("t", StringType()), StructField("tf", LongType())])))
 def word_counts(texts: pa.Array) -> pa.Array:
     """Each word of a-z in a text, and how often it is there."""
     each = [Counter(re.findall("[a-z]+", t or "")) for t in texts.to_pylist()]
