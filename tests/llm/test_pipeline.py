@@ -1,6 +1,7 @@
 """Stages of the pipeline on small fixtures, against plain Python."""
 
 import random
+import re
 
 import pytest
 
@@ -26,6 +27,28 @@ def test_near_duplicates_of_080_to_085_go(spark):
     assert sorted(map(tuple, left.collect())) == [r for r in rows if r[0] not in gone]
 
 
+def test_near_duplicates_plans_stay_small(spark, monkeypatch):
+    """Of a family with many components, no step's plan repeats what an earlier one can keep: the driver holds each plan, and anew after each of its stages."""
+    rng, rows, exchanges = random.Random(11), [], []
+    base = [f"w{rng.randrange(400)}" for _ in range(260)]
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.choice([4, 6, 8, 9])):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keep = type(docs).checkpoint
+
+    def counted(df, *args, **more):
+        exchanges.append(len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString())))
+        return keep(df, *args, **more)
+
+    monkeypatch.setattr(type(docs), "checkpoint", counted)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert 1 < left.count() < 80
+    assert 1 < max(exchanges) <= 10
+
+
 @pytest.mark.parametrize("threshold", [50, 80, 85, 95, 100])
 def test_bands_find_pairs_at_the_threshold(threshold):
     bands, rows = minhash.banding(threshold)

@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, let_go
 from .exchange import slices
 from .text import LOWER, mix, trim, utf8, window_hashes, word_hashes, words
 
@@ -232,7 +232,7 @@ def _blocks(placed: DataFrame, classes: DataFrame) -> DataFrame:
     parts = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_HASHES))
     cut = most.where("k > 1").select("key", F.col("top.c").alias("main"), parts(F.col("n"), F.col("w")).alias("ms"),
                                      parts(F.expr("n - top.n"), F.expr("w - top.w")).alias("qs"))
-    open_ = sized.join(cut, "key")
+    open_ = sized.join(cut, "key").select("key", "rep", "c", "main", "qs", "ms").checkpoint()  # both sides read it, so neither plans it anew
     place, every = lambda n: F.pmod(F.xxhash64("rep"), n), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = open_.where("c != main").select("key", "main", place("qs").alias("q"), every("ms").alias("m"), F.lit(True).alias("asks"), "rep", "c")
     asked = open_.select("key", "main", every("qs").alias("q"), place("ms").alias("m"), F.lit(False).alias("asks"), "rep", "c")
@@ -336,14 +336,18 @@ def grouped(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) ->
         F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).checkpoint()
     signatures = classes.select(node("id", "f1").alias("rep"), "signature")
 
+    let_go(docs.sparkSession)  # here and below: what plans and stages left, before the next large plan
     shared = _shared(classes).checkpoint()
     star = shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct().checkpoint()  # each class that any pair can hold is in it
     sets = full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("rep")), width).checkpoint()
+    let_go(docs.sparkSession)
     signed = star.join(signatures.toDF("a", "x"), "a").join(signatures.toDF("b", "y"), "b")
     links = confirmed(sets, signed.where(estimate("x", "y") >= floor(threshold)).select("a", "b"), threshold)
     parts = components(links)
     placed = shared.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    rest = _across_blocks(_blocks(placed, classes), sets, threshold).checkpoint()
+    blocks = _blocks(placed, classes)
+    let_go(docs.sparkSession)
+    rest = _across_blocks(blocks, sets, threshold).checkpoint()
     if not rest.isEmpty():
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     member = classes.select("f1", "f2", "n_shingles", node("id", "f1").alias("rep")).join(parts, F.col("rep") == F.col("node"), "left").select(
