@@ -5,7 +5,10 @@ import itertools
 import json
 import random
 import re
+import threading
+from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +87,49 @@ def test_shuffling_reads_once_and_pairs_by_place(spark, monkeypatch, block):
     assert made.value == len(rows)
 
 
+def test_permutations_of_odd_rows_as_in_sql(spark, monkeypatch):
+    """In many blocks and a round for each replicate; repeated keys, some with members that aren't known, which come last; no rows."""
+    rng = random.Random(5)
+    rows = [(i // 3 if i < 90 else i, None if i % 4 == 0 else rng.randrange(60), rng.randrange(5)) for i in range(500)]
+    monkeypatch.setattr(estimators, "BLOCK", 40)
+    monkeypatch.setattr(estimators, "ROUND", len(rows), raising=False)
+    sql = registry.oracle_sql()["permutation_blocks"]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE comments (cid BIGINT, uid BIGINT, small_author BIGINT)")
+    for some in (rows, []):
+        duck.execute("DELETE FROM comments")
+        duck.executemany("INSERT INTO comments VALUES (?, ?, ?)", some) if some else None
+        want = duck.execute("WITH " + sql[sql.index("c AS (SELECT cid") :]).fetchall()
+        comments = spark.createDataFrame(some, "cid long, uid long, small_author long")
+        assert sorted(map(tuple, registry._queries["permutation_blocks"](SimpleNamespace(comments=comments)).collect())) == sorted(want)
+
+
+def test_permutations_hold_one_round_on_disk(spark, monkeypatch):
+    """Six replicates take less than three times the shuffle files that one takes."""
+    monkeypatch.setattr(estimators, "ROUND", 1, raising=False)
+    rows = spark.range(20_000).select("id", (F.col("id") * 7919 % 5003).alias("u"), (F.col("id") * 104729 % 7).alias("a"))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> dict[str, int]:
+        return {f.getPath(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if "shuffle_" in f.getName()}
+
+    def most(replicates: int) -> int:
+        before, peak, done = set(files()), [0], threading.Event()
+
+        def watch() -> None:
+            while not done.wait(0.1):
+                peak[0] = max(peak[0], sum(n for f, n in files().items() if f not in before))
+
+        watcher = threading.Thread(target=watch)
+        watcher.start()
+        assert estimators.permutation_blocks(rows, "id", "u", "a", replicates).collect()
+        done.set()
+        watcher.join()
+        return peak[0]
+
+    assert most(6) < 3 * most(1)
+
+
 def test_log_curve_finds_its_parameters(spark):
     t = np.array([0, 7, 14, 21, 40, 63, 90], float)
     rows = [("x", float(u), float(0.3 * np.log(u + 0.5) + 0.1), i + 1.0) for i, u in enumerate(t)]

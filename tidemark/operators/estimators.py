@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 from statistics import NormalDist
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..session import shuffles_dropped
+
 
 def N():
     return F.count(F.lit(1))
@@ -93,50 +96,106 @@ def numbered(rows: DataFrame, by: list[str], order: Column, ties: list[str]) ->
     return ranked.withColumn("i", F.col("_i") + F.col("_before")).drop("_o", "_p", "_i", "_before", *[f"_by{i}" for i in range(len(keys))])
 
 
-#: Rows of a range of hashes, and of a block of places, that one task pairs; of more ranges than MOST_RANGES the table isn't broadcast.
-DEALT, BLOCK, MOST_RANGES = 1 << 16, 1 << 16, 1_000_000
+#: Rows of a block of places that one task pairs, at least and at most; ranges of hashes a block; rows, counted for each replicate, that a
+#: task packs at once; rows, counted so, that are dealt in one round.
+BLOCK, MOST_BLOCK, RANGES, PACKED, ROUND = 1 << 16, 1 << 20, 32, 1 << 20, 1 << 25
 
 
-def shuffled(rows: DataFrame, key: str, keep: str, move: str, replicates: int) -> DataFrame:
-    """rep, keep, move: for each replicate the column `move` dealt anew over the rows, so both columns' counts stay.
+def _words(hashes: pa.Array) -> np.ndarray:
+    """Hashes of 16 bytes as two numbers each."""
+    fixed = hashes.cast(pa.binary(16))
+    return np.frombuffer(fixed.buffers()[1], ">u8")[fixed.offset * 2 :][: len(fixed) * 2].reshape(-1, 2).astype(np.uint64)
+
+
+def _zipped(run: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, run.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(run)
+    return out.getvalue().to_pybytes()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together until they have so many rows."""
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b] if b.num_rows else held, n + b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _dealt(held: DataFrame, n: int, key: str, keep: str, move: str, reps: list[int], distinct: bool = False) -> DataFrame:
+    """rep, keep, move of the n rows of `held`: for each of reps the column `move` dealt anew; if distinct, equal rows of a block once.
 
     Both columns are put in orders of their own hashes and meet by place. Ranges of hashes are counted first, so it is known which
-    blocks of places a range reaches; its rows go there at once, are sorted in the block's task and paired with the other column's. Rows of one hash
-    are those of one key; their values rise.
+    blocks of places a range reaches; its rows go there at once, in compressed runs, are sorted in the block's task and paired with the other column's.
+    The driver has 8 bytes for each range and column of a replicate. Rows of one hash are those of one key; their values rise.
     """
-    held = rows.select(key, keep, move).checkpoint()  # read for each count and each deal
-    n = held.count()
-    digits = max(3, math.ceil(math.log(max(1, n / DEALT), 16)))
-    block = max(BLOCK, 8 * math.ceil(n / 16**digits))  # so that few ranges lie in two blocks
-    reps = held.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-
-    def dealt(name: str, value: str) -> DataFrame:
-        hashed = reps.select("rep", F.col(value).alias("_v"), F.md5(F.concat_ws(":", F.lit(name), F.col(key), F.col("rep"))).alias("_h"))
-        hashed = hashed.withColumn("_p", F.substring("_h", 1, digits))
-        before = F.sum("_n").over(Window.partitionBy("rep").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-        ranges = hashed.groupBy("rep", "_p").agg(N().alias("_n")).withColumn("_first", before)
-        reach = F.sequence(F.floor(F.col("_first") / block), F.floor((F.col("_first") + F.col("_n") - 1) / block))
-        ranges = ranges.select("rep", "_p", "_first", F.explode(reach).alias("_block"))
-        ranges = F.broadcast(ranges) if replicates * 16**digits <= MOST_RANGES else ranges
-        return hashed.join(ranges, ["rep", "_p"]).select((F.shiftleft(F.col("rep").cast("long"), 40) + F.col("_block")).alias("_g"), "_first", F.unhex("_h").alias("_h"), "_v")
-
-    def placed(side: pa.Table, first: int) -> pa.Array:
-        """The values of the block that begins at place `first`, in order."""
-        h, i = side["_h"].combine_chunks(), pc.min(side["_first"]).as_py()
-        h = h.chunk(0) if isinstance(h, pa.ChunkedArray) else h
-        head = np.frombuffer(h.cast(pa.binary(16)).buffers()[1], ">u8")[h.offset * 2 : (h.offset + len(h)) * 2 : 2].astype(np.uint64)
+    block = min(max(BLOCK, n // 512), max(BLOCK, MOST_BLOCK))
+    blocks = max(1, -(-n // block))
+    bits = (blocks * RANGES).bit_length()
+    ranges, shift, piece = 1 << bits, np.uint64(64 - bits), min(1 << bits, 4096)
+    sides = [(rep, name) for rep in reps for name in ("a", "b")]
+    hashes = [F.unhex(F.md5(F.concat_ws(":", F.lit(name), F.col(key), F.lit(rep)))).alias(f"{name}{rep}") for rep, name in sides]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(sides), ranges), np.int64)
+        for b in batches:
+            for i in range(len(sides) if b.num_rows else 0):
+                sums[i] += np.bincount((_words(b.column(i))[:, 0] >> shift).astype(np.int64), minlength=ranges)
+        pieces = sums.reshape(-1, piece)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array([x.tobytes() for x in pieces], pa.binary())], ["i", "n"])
+
+    def added(i: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        return pa.table([pa.array([i[0].as_py()], pa.int32()), pa.array([sum(np.frombuffer(x, np.int64) for x in rows["n"].to_pylist()).tobytes()], pa.binary())], names=["i", "n"])
+
+    counts = sorted(held.select(*hashes).mapInArrow(counted, "i int, n binary").groupBy("i").applyInArrow(added, "i int, n binary").collect())
+    ends = np.frombuffer(b"".join(r["n"] for r in counts) or bytes(8 * len(sides) * ranges), np.int64).reshape(len(sides), ranges).cumsum(axis=1)
+    places = np.arange(blocks) * block
+    low = np.array([np.searchsorted(e, places, "right") for e in ends])  # the range with a block's first place
+    high = np.array([np.searchsorted(e, np.minimum(places + block, n), "left") for e in ends])  # and that with its last
+    begins = np.array([np.append(0, e)[at] for e, at in zip(ends, low)])  # the first place of the former
+    least, most = low.astype(np.uint64) << shift, ((high.astype(np.uint64) + np.uint64(1)) << shift) - np.uint64(1)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered(batches, PACKED // len(reps)):
+            for i, (rep, name) in enumerate(sides):
+                h, v = _words(rows[f"{name}{rep}"].chunk(0)), rows["_keep" if name == "a" else "_move"].chunk(0)
+                order = np.argsort(h[:, 0])
+                head, tail = h[order].T.copy()
+                run = pa.RecordBatch.from_arrays([pa.array(head), pa.array(tail), v.take(pa.array(order))], ["head", "tail", "v"])
+                start, stop = np.searchsorted(head, least[i], "left"), np.searchsorted(head, most[i], "right")
+                to = np.flatnonzero(stop > start)
+                runs = [_zipped(run.slice(start[k], stop[k] - start[k])) for k in to]
+                yield pa.RecordBatch.from_arrays([pa.array(i // 2 * blocks + to, pa.int64()), pa.array(np.full(len(to), name == "b")), pa.array(runs, pa.binary())], ["_g", "_b", "run"])
+
+    def placed(runs: pa.ChunkedArray, skip: int) -> pa.ChunkedArray:
+        """The values of a block in order, of runs that begin so many places before it."""
+        side = pa.concat_tables([pa.ipc.open_stream(r).read_all() for r in runs.to_pylist()]).combine_chunks()
+        head = side["head"].to_numpy()
         order = np.argsort(head)
         if (np.diff(head[order]) == 0).any():
-            order = pc.sort_indices(side.select(["_h", "_v"]), [("_h", "ascending"), ("_v", "ascending")], null_placement="at_start").to_numpy()
-        return side["_v"].take(pa.array(order[max(0, first - i) : first - i + block]))
+            order = pc.sort_indices(side, [(c, "ascending") for c in ("head", "tail", "v")], null_placement="at_end").to_numpy()
+        return side["v"].take(pa.array(order[skip : skip + block]))
 
-    def paired(g: tuple[pa.Scalar], a: pa.Table, b: pa.Table) -> pa.Table:
-        rep, at = divmod(g[0].as_py(), 1 << 40)
-        x, y = placed(a, at * block), placed(b, at * block)
-        return pa.table([pa.array(np.full(len(x), rep, np.int32)), x, y], names=["rep", keep, move])
+    def paired(g: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        i, at = divmod(g[0].as_py(), blocks)
+        x, y = (placed(rows.filter(pc.equal(rows["_b"], k == 1))["run"], places[at] - begins[2 * i + k][at]) for k in (0, 1))
+        out = pa.table([x, y], names=[keep, move])
+        out = out.group_by([keep, move], use_threads=False).aggregate([]) if distinct else out
+        return out.add_column(0, "rep", pa.array(np.full(len(out), reps[i], np.int32)))
 
     schema = StructType([StructField("rep", IntegerType()), held.schema[keep], held.schema[move]])
-    return dealt("a", keep).groupBy("_g").cogroup(dealt("b", move).groupBy("_g")).applyInArrow(paired, schema)
+    runs = held.select(F.col(keep).alias("_keep"), F.col(move).alias("_move"), *hashes).mapInArrow(packed, "_g long, _b boolean, run binary")
+    return runs.groupBy("_g").applyInArrow(paired, schema)
+
+
+def shuffled(rows: DataFrame, key: str, keep: str, move: str, replicates: int) -> DataFrame:
+    """rep, keep, move: for each replicate the column `move` dealt anew over the rows, so both columns' counts stay."""
+    held = rows.select(key, keep, move).checkpoint()  # read for the counts and the deal
+    return _dealt(held, held.count(), key, keep, move, list(range(1, replicates + 1)))
 
 
 def group_sizes(rows: DataFrame, by: list[str], member: str, author: str) -> DataFrame:
@@ -147,10 +206,22 @@ def group_sizes(rows: DataFrame, by: list[str], member: str, author: str) -> Dat
 
 
 def permutation_blocks(rows: DataFrame, key: str, member: str, author: str, replicates: int) -> DataFrame:
-    """size, observed, mean, sd, p: groups of each observed size against replicates with authors dealt anew."""
-    seen = group_sizes(rows, [], member, author).withColumnRenamed("groups", "observed")
-    made = group_sizes(shuffled(rows, key, member, author, replicates), ["rep"], member, author)
-    grid = seen.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    """size, observed, mean, sd, p: groups of each observed size against replicates with authors dealt anew.
+
+    The replicates are dealt in rounds of ROUND rows, one at least, and what a round has shuffled is dropped before the next, so the disk
+    holds the rows and one round. The driver gets a row for each size, of which there are at most the root of twice the members.
+    """
+    spark, made = rows.sparkSession, []
+    with shuffles_dropped(spark):
+        held = rows.select(key, member, author).checkpoint()
+        n = held.count()
+        seen = group_sizes(held, [], member, author).collect()
+        once = max(1, math.ceil(replicates / max(1, math.ceil(replicates * n / ROUND))))
+        for first in range(1, replicates + 1, once):
+            pairs = _dealt(held, n, key, member, author, list(range(first, min(first + once, replicates + 1))), distinct=True)
+            made += group_sizes(pairs.repartition("rep", member), ["rep"], member, author).collect()
+    made = spark.createDataFrame([tuple(r) for r in made], "rep int, size long, groups long")
+    grid = spark.createDataFrame([tuple(r) for r in seen], "size long, observed long").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     both = grid.join(made, ["rep", "size"], "left").fillna(0, ["groups"])
     return both.groupBy("size", "observed").agg(F.avg("groups").alias("mean"), F.stddev_pop("groups").alias("sd"),
                                                 F.avg((F.col("groups") >= F.col("observed")).cast("double")).alias("p"))
