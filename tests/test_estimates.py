@@ -88,9 +88,9 @@ def test_shuffling_reads_once_and_pairs_by_place(spark, monkeypatch, block):
 
 
 def test_permutations_of_odd_rows_as_in_sql(spark, monkeypatch):
-    """In many blocks and a round for each replicate; repeated keys, some with members that aren't known, which come last; no rows."""
+    """In many blocks and a round for each replicate; repeated keys, keys and members that aren't known, which come last; no rows."""
     rng = random.Random(5)
-    rows = [(i // 3 if i < 90 else i, None if i % 4 == 0 else rng.randrange(60), rng.randrange(5)) for i in range(500)]
+    rows = [(i // 3 if i < 90 else None if i < 100 else i, None if i % 4 == 0 else rng.randrange(60), rng.randrange(5)) for i in range(500)]
     monkeypatch.setattr(estimators, "BLOCK", 40)
     monkeypatch.setattr(estimators, "ROUND", len(rows), raising=False)
     sql = registry.oracle_sql()["permutation_blocks"]

@@ -131,14 +131,15 @@ def _dealt(held: DataFrame, n: int, key: str, keep: str, move: str, reps: list[i
 
     Both columns are put in orders of their own hashes and meet by place. Ranges of hashes are counted first, so it is known which
     blocks of places a range reaches; its rows go there at once, in compressed runs, are sorted in the block's task and paired with the other column's.
-    The driver has 8 bytes for each range and column of a replicate. Rows of one hash are those of one key; their values rise.
+    The driver has 8 bytes for each range and column of a replicate. Rows of one hash are those of one key; their values rise,
+    and nulls come last, of keys as of values.
     """
     block = min(max(BLOCK, n // 512), max(BLOCK, MOST_BLOCK))
     blocks = max(1, -(-n // block))
     bits = (blocks * RANGES).bit_length()
     ranges, shift, piece = 1 << bits, np.uint64(64 - bits), min(1 << bits, 4096)
     sides = [(rep, name) for rep in reps for name in ("a", "b")]
-    hashes = [F.unhex(F.md5(F.concat_ws(":", F.lit(name), F.col(key), F.lit(rep)))).alias(f"{name}{rep}") for rep, name in sides]
+    hashes = [F.unhex(F.coalesce(F.md5(F.concat(F.lit(f"{name}:"), F.col(key).cast("string"), F.lit(f":{rep}"))), F.lit("f" * 32))).alias(f"{name}{rep}") for rep, name in sides]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(sides), ranges), np.int64)
